@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, quality, simhash_dedup, warc
+from . import ann, decontaminate, html_text, mixing, quality, simhash_dedup, warc
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest vectors found for every twentieth vector."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to WARC archives with revisit records and read back by the salvage reader."""
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, mixing, quality, simhash_dedup, warc
+from . import ann, decontaminate, html_text, mixing, packing, quality, simhash_dedup, warc
 from .common import table
 
 
@@ -32,6 +32,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids in packed rows, with segments and where positions start again."""
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.withColumn("position_resets", F.slice("cu_seqlens", 1, F.size("cu_seqlens") - 1))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

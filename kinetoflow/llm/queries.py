@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, mixing, packing, quality, simhash_dedup, warc
+from . import ann, decontaminate, html_text, line_dedup, mixing, packing, quality, simhash_dedup, warc
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that repeat, even roughly, an earlier line."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, packing, quality, simhash_dedup, warc
+from . import ann, decontaminate, html_text, line_dedup, mixing, packing, pii, quality, simhash_dedup, warc
 from .common import table
 
 
@@ -37,6 +37,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data and secrets."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids in packed rows, with segments and where positions start again."""
     packed = packing.pack(table(spark, sf_dir, "documents"))

@@ -92,14 +92,8 @@ def _fold(units: Column) -> Column:
     return F.aggregate(F.slice(units, 2, F.greatest(F.size(units) - 1, F.lit(0))), F.struct(first.alias("open"), none.alias("done")), step)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
-    """(id, size, source_size, target, copies) for each row of ``docs``.
-
-    copies, at most ``most``, is how often the mix takes the row. Rows without words have 0 copies. Rows with the same id,
-    source and size are one unit with their number: they round together and the copies are dealt among them. Null
-    sources form a source, ranked last; null ids are ids. Draws depend on ids, sizes and sources alone, so reruns agree.
-    An empty table gives no rows.
-    """
+def _units(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, total: float, most: float, chunk: int) -> DataFrame:
+    """(source, id, size, n, whole, source_size, target): whole copies in all of the n rows with this source, id and size."""
     sized = settle(docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size")), "sized")
     targets = settle(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most), "targets")
     few = targets.count() <= BROADCAST_SOURCES
@@ -133,8 +127,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     settled = done[0]
     for part in done[1:]:
         settled = settled.unionByName(part)
-    ends = targets.select("rank", "source_size", "target")
-    settled = settled.join(F.broadcast(ends) if few else ends, "rank")
+    ends = targets.select("rank", "source", "source_size", "target")
+    return settled.join(F.broadcast(ends) if few else ends, "rank").drop("rank")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
+    """(id, size, source_size, target, copies) for each row of ``docs``.
+
+    copies, at most ``most``, is how often the mix takes the row. Rows without words have 0 copies. Rows with the same id,
+    source and size are one unit with their number: they round together and the copies are dealt among them. Null
+    sources form a source, ranked last; null ids are ids. Draws depend on ids, sizes and sources alone, so reruns agree.
+    An empty table gives no rows.
+    """
+    units = _units(docs, id_col, text_col, source_col, weights, total, most, chunk)
     each, more = F.floor(F.col("whole") / F.col("n")), F.col("whole") % F.col("n")
-    rows = settled.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    rows = units.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (each + F.when(F.col("i") <= more, 1).otherwise(0)).cast("long").alias("copies"))
+
+
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, total: float = TOTAL, most: float = MOST, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` as mixed: each row as often as the mix takes it, with its columns as they are.
+
+    Of rows with the same id, source and size each is taken equally often, and what is left over falls to the smallest of them.
+    """
+    units = settle(_units(docs, id_col, text_col, source_col, weights, total, most, chunk), "mix").where("whole > 0")
+    keys = units.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("size").alias("__n"), F.floor(F.col("whole") / F.col("n")).alias("__each"), (F.col("whole") % F.col("n")).alias("__more"))
+    own = docs.withColumn("__size", word_count(F.col(text_col)))
+    met = own.join(keys, F.col(source_col).eqNullSafe(F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__n")))
+    times = lambda df, n: df.withColumn("__k", F.explode(F.expr(f"case when {n} > 0 then sequence(1L, {n}) else cast(array() as array<bigint>) end"))).select(*docs.columns)
+    out = times(met, "__each")
+    if units.where("whole % n > 0").isEmpty():
+        return out
+    left = met.where("__more > 0").groupBy("__s", "__i", "__n", "__more").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return out.unionByName(times(left.select("__row.*", "__more"), "__more"))

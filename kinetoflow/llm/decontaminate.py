@@ -31,9 +31,14 @@ BLOCKS = 4
 BROADCAST_SHINGLES = 500_000
 
 
-def _hashes(words: Column, n: Column, size: int) -> Column:
-    """Hashes of the shingles of ``size`` words in order; fewer words give none."""
-    return F.transform(F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))
+def _hashes(words: Column, size: int) -> Column:
+    """Hashes of the shingles of ``size`` words in order; fewer words give none.
+
+    The words' hashes are bound by a transform over an array of one, so that the words are not made again for each shingle.
+    """
+    own = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+    places = lambda h: F.when(F.size(h) >= size, F.sequence(F.lit(0), F.size(h) - size)).otherwise(F.array().cast("array<int>"))
+    return F.element_at(F.transform(own, lambda h: F.transform(places(h), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))), 1)
 
 
 def _fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return spark.createDataFrame([], schema)
     parts = []
     for k in sizes:
-        hs = _hashes(F.col("words"), F.col("n"), k)
+        hs = _hashes(F.col("words"), k)
         parts.append(kinds.where(F.col("k") == k).select("kind", "n", "k", F.posexplode(hs).alias("q", "h")))
     grams = parts[0]
     for p in parts[1:]:
@@ -77,24 +82,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     few = grams.count() <= BROADCAST_SHINGLES
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    worded = own.select("id", F.xxhash64("text").alias("mark"), word_array(F.lower(F.col("text"))).alias("words")).withColumn("total", F.size("words"))
+    words = word_array(F.lower(F.col("text")))
     found = None
     for k in sizes:
-        hashed = worded.select("id", "mark", "total", _hashes(F.col("words"), F.col("total"), k).alias("hs"))
+        hashed = own.select("id", F.xxhash64("text").alias("mark"), _hashes(words, k).alias("hs"))
         # the lookup keeps only positions of benchmark shingles; each gives the windows of the items that have it
         anchors = grams.where(F.col("k") == k).select("h", "n", "q").distinct()
-        spread = hashed.select("id", "mark", "total", F.posexplode("hs").alias("p", "h"))
+        spread = hashed.select("id", "mark", F.size("hs").alias("last"), F.posexplode("hs").alias("p", "h"))
         hits = spread.join(F.broadcast(anchors) if few else anchors, "h")
-        starts = hits.select("id", "mark", "n", "total", F.lit(k).alias("k"), (F.col("p") - F.col("q")).alias("start")).where("start >= 0 and start + n <= total").drop("total").distinct()
+        starts = hits.select("id", "mark", "n", "last", F.lit(k).alias("k"), (F.col("p") - F.col("q")).alias("start")).where("start >= 0 and start + n - k < last").drop("last").distinct()
         found = starts if found is None else found.unionByName(starts)
     windows = settle(found, "windows")
     # the shingles of each window: documents with windows are shingled again, a window's positions are a slice
     chosen = windows.groupBy("id", "mark", "k").agg(F.collect_set(F.struct("n", "start")).alias("at"))
     texts = own.withColumn("mark", F.xxhash64("text")).alias("d").join(chosen.alias("c"), F.expr("d.id <=> c.id and d.mark = c.mark")).select("d.id", "d.mark", "d.text", "c.k", "c.at")
-    texts = texts.select("id", "mark", "k", "at", word_array(F.lower(F.col("text"))).alias("words")).dropDuplicates(["id", "mark", "k"]).withColumn("total", F.size("words"))
+    texts = texts.dropDuplicates(["id", "mark", "k"])
     pieces = None
     for k in sizes:
-        hs = texts.where(F.col("k") == k).select("id", "mark", "k", "at", _hashes(F.col("words"), F.col("total"), k).alias("hs"))
+        hs = texts.where(F.col("k") == k).select("id", "mark", "k", "at", _hashes(words, k).alias("hs"))
         piece = hs.select("id", "mark", "k", "hs", F.explode("at").alias("w")).select("id", "mark", F.col("w.n").alias("n"), F.col("w.start").alias("start"), F.explode(F.slice("hs", F.col("w.start") + 1, F.col("w.n") - F.lit(k) + 1)).alias("h"))
         pieces = piece if pieces is None else pieces.unionByName(piece)
     pieces = settle(pieces, "pieces")

@@ -18,7 +18,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ _HEADER_MOST = 1 << 16
 #: Payload bytes and records of an archive file, on average and at most: a file is read as one piece.
 _FILE_BYTES, _FILE_ROWS = 32 << 20, 5_000
 
-RECORDS = "file string, offset long, length long, type string, record_id string, uri string, headers map<string,string>, payload binary, gap boolean, reason string"
+RECORDS = "file string, offset long, length long, type string, record_id string, uri string, headers map<string,string>, payload binary, n_bytes long, sha string, gap boolean, reason string"
 
 
 def digest(payload: bytes) -> str:
@@ -205,31 +204,37 @@ def salvage(data: bytes) -> Iterator[dict]:
     yield from closed(len(data))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps of all archives under ``path``, a row each (columns: see RECORDS).
 
-    A file is the unit of a task; gaps have gap true, their reason, and no payload. Empty files give no rows.
+    A file is the unit of a task; gaps have gap true, their reason, and no payload. n_bytes and sha are taken from the payload
+    that was read, payload itself is left null on request. Empty files give no rows.
     """
     small_batches(spark, 8)
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for name, data in zip(files["path"], files["content"]):
-                rows = []
+            for name, data in zip(files.column(0).to_pylist(), files.column(1)):
+                rows: list[tuple] = []
                 held = 0
-                for r in salvage(bytes(data)):
-                    h = r.get("headers", {})
-                    payload = r.get("payload")
-                    rows.append((name, r["offset"], r["length"], h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h, payload, r["gap"], r.get("reason")))
-                    held += len(payload or b"")
+                for r in salvage(data.as_py()):
+                    h, payload = r.get("headers", {}), r.get("payload")
+                    rows.append((name, r["offset"], r["length"], h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), list(h.items()), payload if payloads else None, None if payload is None else len(payload), None if payload is None else digest(payload), r["gap"], r.get("reason")))
+                    held += len(payload or b"") if payloads else 500
                     if held > 1 << 24:
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
+                        yield _batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
+                    yield _batch(rows)
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
-    return files.mapInPandas(records, RECORDS)
+    return files.mapInArrow(records, RECORDS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    text, whole = pa.string(), pa.int64()
+    types = [text, whole, whole, text, text, text, pa.map_(text, text), pa.binary(), whole, text, pa.bool_(), text]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -237,24 +242,18 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
 
     Returns (page_id, url, payload_bytes, payload_digest, record_type, refers_to), a row for each page: repeated rows
     have a record each, null html is an empty payload, null urls come back null. Digests and lengths of responses are
-    taken from the payload that was read, those of revisits from the record's headers. A gap in the archives raises an error.
+    computed from the payload that was read, those of revisits from the record's headers. A gap in the archives raises an error.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least)
-    rows = read(spark, path)
+    rows = read(spark, path, payloads=False)
     h = F.col("headers")
     revisit = F.col("type") == "revisit"
     id_type = pages.schema["page_id"].dataType
     checked = F.when(F.col("gap"), F.raise_error(F.concat(F.lit("gap in an archive just written: "), F.col("reason")))).otherwise(F.col("type"))
-    sha = F.when(revisit, F.regexp_replace(h["warc-payload-digest"], "^sha1:", "")).otherwise(_base32_sha1(F.col("payload")))
+    sha = F.when(revisit, F.regexp_replace(h["warc-payload-digest"], "^sha1:", "")).otherwise(F.col("sha"))
     return rows.select(
         h["x-page-id"].cast(id_type).alias("page_id"), F.when(h["x-no-uri"].isNull(), F.col("uri")).alias("url"),
-        F.when(revisit, h["x-payload-length"].cast("long")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, h["x-payload-length"].cast("long")).otherwise(F.col("n_bytes")).alias("payload_bytes"),
         sha.alias("payload_digest"), checked.alias("record_type"), h["x-refers-to-page"].cast(id_type).alias("refers_to"))
-
-
-def _base32_sha1(payload):
-    """Base32 of SHA-1 from built-in functions: 160 bits in 32 groups of five, looked up in the alphabet."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.sha1(payload), i, 10), 16, 2), 40, "0") for i in range(1, 41, 10)])
-    return F.concat(*[F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, 5 * k + 1, 5), 2, 10).cast("int") + 1, F.lit(1)) for k in range(32)])

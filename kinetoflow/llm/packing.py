@@ -10,7 +10,6 @@ them) and, by them, where positions start again from 0.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +26,6 @@ LENGTH = 2048
 BUFFER = 1 << 23
 #: Id that follows each document.
 END = 50256
-#: Pieces of text whose ids a task remembers.
-_MEMO = 500_000
 PACKED = "part int, row int, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, piece_starts array<long>"
 
 
@@ -41,51 +38,6 @@ def load_encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Tokens:
-    """Ids of whole texts, with memory for pieces that come again.
-
-    A space before a character that isn't white space starts a token's piece, whatever precedes it, so texts are cut there and
-    the ids of a piece do not depend on the rest.
-    """
-
-    ODD = re.compile(r" (?=\s)")
-
-    def __init__(self, path: str) -> None:
-        self.encode = load_encoding(path).encode_ordinary
-        self.numbers: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.ends = [0]
-
-    def _number(self, piece: str) -> int:
-        ids = self.encode(piece)
-        start = self.ends[-1]
-        if start + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-        self.flat[start : start + len(ids)] = ids
-        self.ends.append(start + len(ids))
-        self.numbers[piece] = n = len(self.ends) - 2
-        return n
-
-    def ids(self, text: str) -> np.ndarray:
-        """As ``encode_ordinary`` gives them."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if self.ODD.search(text):
-            return np.array(self.encode(text), np.uint32)
-        if len(self.numbers) > _MEMO:
-            self.numbers.clear()
-            self.ends = [0]
-        head, *rest = text.split(" ")
-        pieces = ([head] if head else []) + [" " + p for p in rest]
-        known = self.numbers.get
-        which = np.array([n if (n := known(p)) is not None else self._number(p) for p in pieces], np.int64)
-        ends = np.array(self.ends, np.int64) if len(self.ends) < 4 * len(which) else None
-        low, high = (ends[which], ends[which + 1]) if ends is not None else (np.fromiter((self.ends[k] for k in which), np.int64, len(which)), np.fromiter((self.ends[k + 1] for k in which), np.int64, len(which)))
-        size = high - low
-        out = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return self.flat[out]
-
-
 class Rooms:
     """Segment tree over rooms 0..capacity: which of them have open bins, and the least one that is large enough."""
 
@@ -149,9 +101,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = Tokens(vocabulary)
+        encoding = load_encoding(vocabulary)
         part, rows = TaskContext.get().partitionId(), 0
-        kind = "<u2" if max(len(tokens.encode.__self__._mergeable_ranks), (end or 0) + 1) <= 1 << 16 else "<u4"
+        kind = "<u2" if max(encoding.n_vocab, (end or 0) + 1) <= 1 << 16 else "<u4"
         names = [c.split()[0] for c in PACKED.split(", ")]
         held: list[tuple[int | None, int, np.ndarray]] = []
         size = 0
@@ -171,7 +123,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens.ids(text or "")
+                ids = np.array(encoding.encode_ordinary(text or ""), np.uint32)
                 if end is not None:
                     ids = np.append(ids, np.uint32(end))
                 for at in range(0, len(ids), length):

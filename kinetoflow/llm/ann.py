@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import settle
 
 TREES = 6
-#: Rows at most that the trees are fitted on, and rows of a leaf aimed at.
-SAMPLE, LEAF = 20_000, 512
+#: Rows at most that the trees are fitted on, and rows of this sample in a leaf aimed at. The number of leaves so is bounded, and
+#: with it what the leaves of a query give to be merged; leaves grow with the table and are cut into blocks.
+SAMPLE, LEAF = 20_000, 320
 MAX_DEPTH = 9
 #: Rows of a block, and queries beyond which a leaf's queries are cut too.
 BLOCK, QUERY_BLOCK = 4_096, 1 << 15
@@ -77,10 +78,10 @@ class Forest:
         return taken
 
 
-def fit(sample: np.ndarray, norm: float, rows: int, trees: int = TREES, seed: int = 5) -> Forest:
+def fit(sample: np.ndarray, norm: float, trees: int = TREES, seed: int = 5) -> Forest:
     """Random planes with cuts at the sample's median in each node."""
     rng = np.random.default_rng(seed)
-    depth = int(np.clip(np.ceil(np.log2(max(rows, 1) / LEAF)), 0, min(MAX_DEPTH, max(0, int(np.log2(max(len(sample), 1) / 16))))))
+    depth = int(np.clip(np.ceil(np.log2(max(len(sample), 1) / LEAF)), 0, MAX_DEPTH))
     inner = (1 << depth) - 1
     planes = rng.normal(size=(trees, inner, sample.shape[1] + 1))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True)
@@ -130,7 +131,7 @@ def _search_width(valid: DataFrame, width: int, every: int, k: int) -> DataFrame
     rows, norm = valid.agg(F.count("*"), F.sqrt(F.max(norm2))).first()
     sample = valid.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     sample = np.stack(sample.to_list()) if len(sample) else np.zeros((0, width))
-    forest = fit(sample, float(norm or 0), rows)
+    forest = fit(sample, float(norm or 0))
     share = needed_share(forest, sample, k)
     shared = spark.sparkContext.broadcast(vars(forest))
     trees, leaves = len(forest.planes), 1 << forest.depth

@@ -110,7 +110,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     masks = _variants(width, radius // BLOCKS)
     block = F.posexplode(F.array(*[F.shiftrightunsigned("fp", b * width).bitwiseAND((1 << width) - 1) for b in range(BLOCKS)])).alias("b", "v")
     wide = item_prints.select("kind", "n", "fp", block).withColumn("mask", F.explode(F.lit(masks).cast("array<long>"))).select("n", "b", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "kind", F.col("fp").alias("item_fp"))
-    near = prints.select(*key, "fp", block).join(wide, ["n", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "kind").distinct()
+    # many rows grow out of few items: their estimated size says nothing, so neither side may be broadcast
+    near = prints.select(*key, "fp", block).hint("merge").join(wide, ["n", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "kind").distinct()
     # exact weighted Jaccard: sum of minima over sum of maxima of the shingle counts; both sides have as many shingles
     counts = pieces.groupBy(*key, "h").agg(F.count("*").alias("c"))
     item_counts = grams.groupBy("kind", "k", "n", "h").agg(F.count("*").alias("ic"))

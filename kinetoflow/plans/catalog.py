@@ -507,9 +507,10 @@ def grna_anchor(spark, d):
 
 @query()
 def grna_edit_graph(spark, d):
+    """Full duplexes of guide cores with mRNAs, Ts inserted freely, none of whose letters is a mismatch."""
     g = inputs.guides(spark, d).select("guide", F.col("core").alias("gseq"))
     m = inputs.mrnas(spark, d).select("target", dna.letters(F.col("mseq")).alias("letters"), dna.runs(F.col("mseq")).alias("runs"))
-    return guides.edit_graph_hits(g, m)
+    return guides.edit_graph_hits(g, m, least=24, scoring=guides.Scoring(score_min=90))
 
 
 # --- k-mers ------------------------------------------------------------------------------------------------------------

@@ -68,5 +68,15 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+#: What the archives must give back; base32 is four characters for every five hex digits.
+WARC_SQL = """with p as (select page_id, url, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+f as (select hex, min(page_id) as first_id from p group by hex)
+select page_id, url, cast(octet_length(encode(body)) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(hex, 5 * (k // 4) + 1, 5) as integer) >> cast(15 - 5 * (k % 4) as integer)) & 31 as integer) + 1, 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
+from p join f using (hex)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints, networks, tokenizers and random draws have no SQL form; tests/llm compares those with brute force."""
+    return {"op10_warc": WARC_SQL}

@@ -1,10 +1,12 @@
 """Fuzzy line dedup: SimHash of normalised lines, joins on pigeonhole blocks, edit similarity, one line kept of each group.
 
 1. One pass over the texts turns every line into words (lower case, digits as 0, no punctuation), a 128-bit key of the word
-   sequence and a 64-bit SimHash of the words. Lines with equal keys are one kind; only numbers are shuffled.
+   sequence and a 64-bit SimHash of its pairs of adjacent words. Lines with equal keys are one kind; only numbers are shuffled.
 2. Fingerprints within ``RADIUS`` = 3 bits agree in at least two of five blocks: kinds meet on each of the ten pairs of blocks
    (about 26 bits), and pairs within the radius are candidates.
-3. The texts of candidates are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line.
+3. The texts of candidates are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line. First
+   the pairs of a block's first kind with its others are, which connects most copies; then only pairs of blocks whose kinds are not
+   yet in one group, of kinds from different groups. Pairs inside a group would add nothing.
 4. Links join kinds to groups; of each group the first occurrence (by id, then line) stays.
 
 Blocks that more than ``HOT`` kinds share are compared in tiles of kinds: a task takes two tiles, tests all pairs, and gives
@@ -35,6 +37,7 @@ BROADCAST_DOCS = 200_000
 WORD = re.compile(r"\w+")
 _CUTS = (0, 13, 26, 39, 52, 64)
 _MEMO = 400_000
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 class _Hashes(dict):
@@ -45,6 +48,13 @@ class _Hashes(dict):
         return h
 
 
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two words' hashes, in their order; unsigned 64 bits."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Hashes()
     for batch in batches:
@@ -63,12 +73,25 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs += [d] * len(starts)
             numbers += at_line
             keys += [xxhash.xxh3_128_digest(h[i:j].tobytes()) for i, j in zip(bounds, bounds[1:])]
-            ones = np.zeros((len(starts), 64), np.int64)
-            for a in range(0, len(flat), 1 << 16):  # bounded memory for any length of line
-                bits = np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                first = int(np.searchsorted(starts, a, "right")) - 1
-                last = int(np.searchsorted(starts, a + len(bits), "left"))
-                ones[first:last] += np.add.reduceat(bits, [max(0, s - a) for s in starts[first:last]], axis=0, dtype=np.int64)
+            # features: pairs of adjacent words, or the word of a line that has one; single words are too alike from line to line
+            ends = np.array(bounds[1:]) - 1
+            last = np.zeros(len(flat), bool)
+            last[ends] = True
+            single = np.zeros(len(flat), bool)
+            single[ends[np.diff(bounds) == 1]] = True
+            with np.errstate(over="ignore"):
+                f = pair_hash(h, np.append(h[1:], np.uint64(0)))
+            f = np.where(single, h, f)[~last | single]
+            starts = (np.cumsum(np.append(0, np.maximum(np.diff(bounds) - 1, 1)))[:-1]).tolist()
+            bounds = [*starts, len(f)]
+            # a byte's bits as eight counters of a byte each: up to 255 words add up without a carry
+            pieces = sorted({*starts, *range(0, len(f), 255)})
+            ones = np.empty((len(pieces), 64), np.uint8)
+            for a in range(0, len(pieces), 256):  # bounded memory for any length of line
+                end = pieces[a + 256] if a + 256 < len(pieces) else len(f)
+                part = LANES[f[pieces[a] : end].view(np.uint8).reshape(-1, 8)]
+                ones[a : a + 256] = np.add.reduceat(part, [x - pieces[a] for x in pieces[a : a + 256]], axis=0).view(np.uint8)
+            ones = np.add.reduceat(ones, np.searchsorted(pieces, starts), axis=0, dtype=np.int32)
             size = np.diff(bounds)[:, None]
             prints.append(np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0])
         if docs:
@@ -103,6 +126,21 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(d, most + 1)
 
 
+def alike(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit distance is at most (1 - similarity) of the longer string.
+
+    Putting one line's words in place of the other's, where they have as many, is a way to edit it: if that is cheap enough, no
+    distance need be computed.
+    """
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
+        return True
+    return edit_distance(a, b, most) <= most
+
+
 def _tile_links(similarity: float):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("lid").sort_values("lid")
@@ -124,8 +162,7 @@ def _tile_links(similarity: float):
                     continue
                 a, b = root(k), root(o)
                 if a != b:
-                    most = int((1 - similarity) * max(len(texts[k]), len(texts[o])) + 1e-9)
-                    if edit_distance(texts[k], texts[o], most) <= most:
+                    if alike(texts[k], texts[o], similarity):
                         up[a] = b
                         found.append((lids[k], lids[o]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -140,6 +177,27 @@ def _by_document(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how).drop("_id", "_mark")
 
 
+def _texts(own: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lid, norm): normalised text of the wanted kinds, from their first occurrences."""
+    at = kinds.join(wanted, "lid").select("first.id", "first.mark", F.struct(F.col("first.line").alias("line"), "lid").alias("at")).groupBy("id", "mark").agg(F.collect_list("at").alias("at"))
+    # each text is split once, bound by a transform over an array of one; the wanted lines are taken from there
+    picked = F.flatten(F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("at", lambda w: F.struct(w["lid"].alias("lid"), F.get(ls, w["line"]).alias("line")))))
+    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("w.line"), r"[^\p{L}\p{N}_]+", " "), r"\p{Nd}", "0"))
+    found = _by_document(own, settle(at, "at"), "inner").select(F.explode(picked).alias("w"))
+    return found.select("w.lid", norm.alias("norm")).groupBy("lid").agg(F.min("norm").alias("norm"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of kinds whose texts are alike."""
+
+    @F.pandas_udf("boolean")
+    def holds(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y, similarity) for x, y in zip(left, right)], dtype=bool)
+
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
+    return both.where(holds("ta", "tb")).select("a", "b")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """(id, text, n_lines, n_removed) for each row: its text without lines that repeat, even roughly, an earlier one.
 
@@ -155,25 +213,30 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     kinds = lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n"))
     kinds = settle(kinds.withColumn("lid", F.monotonically_increasing_id()), "kinds")
     rows = _blocks(kinds)
-    heavy = settle(rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > hot), "heavy")
-    any_heavy = not heavy.isEmpty()
-    cold = rows.join(F.broadcast(heavy) if count_at_most(heavy, 100_000) else heavy, "block", "left_anti") if any_heavy else rows
-    pairs = cold.select("block", F.col("lid").alias("a"), F.col("fp").alias("fa")).join(cold.select("block", F.col("lid").alias("b"), F.col("fp").alias("fb")), "block")
-    pairs = settle(pairs.where(f"a < b and bit_count(fa ^ fb) <= {RADIUS}").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid"))
-    if any_heavy:
-        tiled = rows.join(heavy, "block").withColumn("tiles", F.ceil(F.col("n") / hot)).select("block", "lid", "fp", "tiles", F.pmod(F.xxhash64("lid"), "tiles").cast("int").alias("tile"))
-        wanted = wanted.unionByName(tiled.select("lid"))
-    at = kinds.join(wanted.distinct(), "lid").select("first.id", "first.mark", F.struct(F.col("first.line").alias("line"), "lid").alias("at")).groupBy("id", "mark").agg(F.collect_list("at").alias("at"))
-    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.element_at(F.split("text", "\n"), F.col("w.line") + 1)), r"[^\p{L}\p{N}_]+", " "), r"\p{Nd}", "0"))
-    texts = settle(_by_document(own, settle(at, "at"), "inner").withColumn("w", F.explode("at")).select(F.col("w.lid").alias("lid"), norm.alias("norm")).groupBy("lid").agg(F.min("norm").alias("norm")), "texts")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
-    most = f"cast({1 - similarity!r} * greatest(length(ta), length(tb)) + 1e-9 as int)"
-    links = both.where(F.expr(f"abs(length(ta) - length(tb)) <= {most} and levenshtein(ta, tb, {most}) >= 0")).select("a", "b")
-    if any_heavy:
-        parts = tiled.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "fp")
-        found = parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity), "a long, b long")
-        links = links.unionByName(found)
+    heads = rows.groupBy("block").agg(F.min(F.struct("lid", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = settle(rows.join(heads, "block"), "shared")
+    star = shared.where(f"lid <> head.lid and bit_count(fp ^ head.fp) <= {RADIUS}").select(F.col("head.lid").alias("a"), F.col("lid").alias("b")).distinct()
+    star = settle(star, "star")
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    texts = settle(_texts(own, kinds, ends(star)), "texts")
+    first = settle(_verified(star, texts, similarity), "links")
+    joined = components(first)
+    met = shared.select("block", "lid", "fp").join(joined.select(F.col("node").alias("lid"), "root"), "lid", "left").select("block", "lid", "fp", F.coalesce("root", "lid").alias("root"))
+    mixed = met.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    met = settle(met.join(mixed, "block"), "met")
+    cold, tiled = met.where(F.col("roots") <= hot), met.where(F.col("roots") > hot)
+    pairs = cold.select("block", F.col("lid").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra")).join(cold.select("block", F.col("lid").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb")), "block")
+    pairs = settle(pairs.where(f"ra < rb and bit_count(fa ^ fb) <= {RADIUS}").select("a", "b").distinct(), "pairs")
+    any_tiled = not tiled.isEmpty()
+    more = ends(pairs).unionByName(tiled.select("lid").distinct()).distinct() if any_tiled else ends(pairs)
+    more = settle(more.join(texts.select("lid"), "lid", "left_anti"), "more")
+    if not more.isEmpty():
+        texts = texts.unionByName(settle(_texts(own, kinds, more), "texts"))
+    links = first.unionByName(_verified(pairs, texts, similarity))
+    if any_tiled:
+        tiles = tiled.withColumn("tiles", F.ceil(F.col("n") / hot)).withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
+        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "fp")
+        links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity), "a long, b long"))
     roots = components(links)
     grouped = kinds.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").select("key", "first", "n", F.coalesce("root", "lid").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")

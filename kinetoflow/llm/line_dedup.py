@@ -9,6 +9,12 @@
    yet in one group, of kinds from different groups. Pairs inside a group would add nothing.
 4. Links join kinds to groups; of each group the first occurrence (by id, then line) stays.
 
+Three bits are far less than what 0.8 of edit similarity allows. With ``keyed`` kinds meet otherwise in step 2: ``KEYS`` times the
+``DRAWN`` words of a line that a weighted min-hash draws (weight: square of the length) are its blocks, and lines of up to ``SHORT``
+letters also meet on all they can become by as many deletions as edits are allowed, which misses none; lines of up to ``FEW``
+words and ``LONGER`` letters meet on what one deletion leaves of them, which misses none that one edit parts. Pairs whose lengths
+differ too much are dropped (exact), and pairs of ``FIRM`` or more words whose SimHashes of single words differ in more than ``WIDE`` bits.
+
 Blocks that more than ``HOT`` kinds share are compared in tiles of kinds: a task takes two tiles, tests all pairs, and gives
 only links that connect something new, so no task holds a group and pairs are not emitted.
 """
@@ -32,11 +38,17 @@ from .components import components
 RADIUS = 3
 SIMILARITY = 0.8
 HOT = 256
+KEYS, DRAWN = 16, 3
+SHORT, LONGER, FEW = 14, 40, 5
+#: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
+FIRM, WIDE = 12, 24
 #: Documents with candidate or dropped lines up to which their line numbers are broadcast; beyond, documents are shuffled.
 BROADCAST_DOCS = 200_000
 WORD = re.compile(r"\w+")
 _CUTS = (0, 13, 26, 39, 52, 64)
 _MEMO = 400_000
+_KEYS = [f"k{n}" for n in range(KEYS)]
+_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, KEYS * DRAWN).astype(np.uint64)[None, :]
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
@@ -48,6 +60,66 @@ class _Hashes(dict):
         return h
 
 
+class _Draws(dict):
+    """Number of each word, with its hash and its min-hash values in the rows ``hashes`` and ``values``."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+        self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, KEYS * DRAWN), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+    def fill(self) -> None:
+        if not self.fresh:
+            return
+        end, start = len(self), len(self) - len(self.fresh)
+        if end > len(self.hashes):
+            self.hashes = np.append(self.hashes, np.empty(end, np.uint64))
+            self.values = np.append(self.values, np.empty((end, KEYS * DRAWN), np.float32), axis=0)
+        for at in range(0, len(self.fresh), 4096):
+            words = self.fresh[at : at + 4096]
+            h = np.array([xxhash.xxh64_intdigest(re.sub(r"\d", "0", w).encode("utf-8", "surrogatepass"), 1) for w in words], np.uint64)
+            with np.errstate(over="ignore"):
+                u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(11)).astype(float)
+            weight = np.array([len(w) ** 2 for w in words], float)[:, None]
+            self.hashes[start + at : start + at + len(words)] = h
+            self.values[start + at : start + at + len(words)] = -np.log((u + 1) / 2**53) / weight
+        self.fresh = []
+
+
+def _keys(values: np.ndarray, words: np.ndarray, starts: list[int]) -> np.ndarray:
+    """(lines, KEYS): hash of the words drawn for each key of each line; memory stays bounded for any length of line."""
+    pieces = sorted({*starts, *range(0, len(words), 16384)})
+    least = np.empty((len(pieces), values.shape[1]), np.float32)
+    a = 0
+    while a < len(pieces):
+        b = a + 1
+        while b < len(pieces) and pieces[b] - pieces[a] < 16384:
+            b += 1
+        end = pieces[b] if b < len(pieces) else len(words)
+        least[a:b] = np.minimum.reduceat(values[words[pieces[a] : end]], [x - pieces[a] for x in pieces[a:b]], axis=0)
+        a = b
+    drawn = np.minimum.reduceat(least, np.searchsorted(pieces, starts), axis=0).view(np.uint32).astype(np.uint64).reshape(len(starts), KEYS, DRAWN)
+    out = np.arange(KEYS, dtype=np.uint64)[None, :]
+    with np.errstate(over="ignore"):
+        for k in range(DRAWN):
+            out = pair_hash(out, drawn[:, :, k])
+    return out.view(np.int64)
+
+
+def _shorter(text: str, similarity: float) -> set[str]:
+    """``text`` and all that deletions leave of it: as many as edits are allowed between it and a line of up to SHORT letters, or one."""
+    most = 1 if len(text) > SHORT else int((1 - similarity) * min(SHORT, int(len(text) / similarity + 1e-9)) + 1e-9)
+    out = last = {text}
+    for _ in range(most):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return out
+
+
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two words' hashes, in their order; unsigned 64 bits."""
     x = a * np.uint64(0x9E3779B97F4A7C15) + b
@@ -55,35 +127,46 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _Hashes()
+def _lines(batches: Iterator[pa.RecordBatch], keyed: bool = False) -> Iterator[pa.RecordBatch]:
+    memo = _Draws() if keyed else _Hashes()
     for batch in batches:
-        docs, numbers, keys, prints = [], [], [], []
+        if keyed and len(memo) > _MEMO:
+            memo = _Draws()
+        docs, numbers, keys, prints, sizes, drawn = [], [], [], [], [], []
         for d, text in enumerate(batch.column(2).to_pylist()):
             flat, starts, at_line = [], [], []
             for n, line in enumerate((text or "").split("\n")):
                 if words := WORD.findall(line.lower()):
                     starts.append(len(flat))
+                    sizes.append((len(words), sum(map(len, words)) + len(words) - 1))
                     at_line.append(n)
                     flat.extend([memo[w] for w in words])
             if not starts:
                 continue
-            h = np.array(flat, np.uint64)
             bounds = [*starts, len(flat)]
+            if keyed:
+                memo.fill()
+                h = memo.hashes[np.array(flat)]
+                drawn.append(_keys(memo.values, np.array(flat), starts))
+            else:
+                h = np.array(flat, np.uint64)
             docs += [d] * len(starts)
             numbers += at_line
             keys += [xxhash.xxh3_128_digest(h[i:j].tobytes()) for i, j in zip(bounds, bounds[1:])]
-            # features: pairs of adjacent words, or the word of a line that has one; single words are too alike from line to line
-            ends = np.array(bounds[1:]) - 1
-            last = np.zeros(len(flat), bool)
-            last[ends] = True
-            single = np.zeros(len(flat), bool)
-            single[ends[np.diff(bounds) == 1]] = True
-            with np.errstate(over="ignore"):
-                f = pair_hash(h, np.append(h[1:], np.uint64(0)))
-            f = np.where(single, h, f)[~last | single]
-            starts = (np.cumsum(np.append(0, np.maximum(np.diff(bounds) - 1, 1)))[:-1]).tolist()
-            bounds = [*starts, len(f)]
+            if keyed:  # features: the words
+                f = h
+            else:
+                # features: pairs of adjacent words, or the word of a line that has one; single words are too alike from line to line
+                ends = np.array(bounds[1:]) - 1
+                last = np.zeros(len(flat), bool)
+                last[ends] = True
+                single = np.zeros(len(flat), bool)
+                single[ends[np.diff(bounds) == 1]] = True
+                with np.errstate(over="ignore"):
+                    f = pair_hash(h, np.append(h[1:], np.uint64(0)))
+                f = np.where(single, h, f)[~last | single]
+                starts = (np.cumsum(np.append(0, np.maximum(np.diff(bounds) - 1, 1)))[:-1]).tolist()
+                bounds = [*starts, len(f)]
             # a byte's bits as eight counters of a byte each: up to 255 words add up without a carry
             pieces = sorted({*starts, *range(0, len(f), 255)})
             ones = np.empty((len(pieces), 64), np.uint8)
@@ -95,14 +178,37 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(bounds)[:, None]
             prints.append(np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0])
         if docs:
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.concatenate(prints))], names=["id", "mark", "line", "key", "fp"])
+            columns = [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.concatenate(prints)), *(pa.array(c, pa.int32()) for c in zip(*sizes))]
+            if keyed:
+                columns += [pa.array(c) for c in np.ascontiguousarray(np.concatenate(drawn).T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "line", "key", "fp", "words", "size", *(_KEYS if keyed else ())])
 
 
 def _blocks(kinds: DataFrame) -> DataFrame:
-    """(block, lid, fp): ten rows for each kind, one for each pair of blocks."""
+    """(block, lid, p): ten rows for each kind, one for each pair of blocks."""
     part = [f"(shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for a, b in zip(_CUTS, _CUTS[1:])]
     pairs = [f"shiftleft({n}L, 26) | shiftleft({part[i]}, 13) | {part[j]}" for n, (i, j) in enumerate(combinations(range(5), 2))]
-    return kinds.select(F.explode(F.expr(f"cast(array({', '.join(pairs)}) as array<int>)")).alias("block"), "lid", "fp")
+    return kinds.select(F.explode(F.expr(f"cast(array({', '.join(pairs)}) as array<int>)")).alias("block"), "lid", "p")
+
+
+def _key_blocks(kinds: DataFrame, short: DataFrame, similarity: float) -> DataFrame:
+    """(block, lid, p): a row for each key of a kind, and for each variant of the short kinds' texts (lid, norm)."""
+
+    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63), i) for i, t in zip(b["lid"], b["norm"]) for v in _shorter(t, similarity)]
+            yield pd.DataFrame(rows, columns=["block", "lid"], dtype="int64")
+
+    drawn = kinds.select(F.explode(F.array(*_KEYS)).alias("block"), "lid", "p")
+    return drawn.unionByName(short.mapInPandas(variants, "block long, lid long").join(kinds.select("lid", "p"), "lid"))
+
+
+def _near(a: str, b: str, keyed: bool, similarity: float) -> str:
+    """Condition on two kinds' ``p`` under which their texts are compared."""
+    apart = f"bit_count({a}.fp ^ {b}.fp)"
+    if not keyed:
+        return f"{apart} <= {RADIUS}"
+    return f"abs({a}.size - {b}.size) <= {1 - similarity!r}D * greatest({a}.size, {b}.size) + 1e-6D and (least({a}.words, {b}.words) < {FIRM} or {apart} <= {WIDE})"
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -141,10 +247,11 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _tile_links(similarity: float):
+def _tile_links(similarity: float, keyed: bool = False):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("lid").sort_values("lid")
         lids, prints, texts, first = group["lid"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["norm"].tolist(), group["tile"].to_numpy()
+        loose = group["words"].to_numpy() < (FIRM if keyed else 0)
         low, high = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         up = list(range(len(lids)))
 
@@ -156,7 +263,7 @@ def _tile_links(similarity: float):
 
         found = []
         for k in range(len(lids)):
-            near = np.nonzero(np.bitwise_count(prints[k] ^ prints[k + 1 :]) <= RADIUS)[0] + k + 1
+            near = np.nonzero((np.bitwise_count(prints[k] ^ prints[k + 1 :]) <= (WIDE if keyed else RADIUS)) | loose[k] | loose[k + 1 :])[0] + k + 1
             for o in near.tolist():
                 if low != high and first[k] == first[o]:  # pairs inside a tile are tested where it meets itself
                     continue
@@ -198,35 +305,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where(holds("ta", "tb")).select("a", "b")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot: int = HOT, keyed: bool = False) -> DataFrame:
     """(id, text, n_lines, n_removed) for each row: its text without lines that repeat, even roughly, an earlier one.
 
     Earlier is by id (null last), text hash, then line number, over all documents. Lines without letters or digits always stay. Null
     texts stay null, with no lines. Rows that repeat id and text are one document and all get its result. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. Lines are compared whose SimHashes are within RADIUS, or, if ``keyed``, all that
+    meet on drawn words or as short lines, so that the edit similarity alone decides.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
-    lines = settle(own.mapInArrow(_lines, f"id {id_type}, mark long, line int, key binary, fp long"), "lines")
+    drawn = _KEYS if keyed else []
+    lines = settle(own.mapInArrow(lambda batches: _lines(batches, keyed), f"id {id_type}, mark long, line int, key binary, fp long, words int, size int" + "".join(f", {k} long" for k in drawn)), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
-    kinds = lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n"))
+    kinds = lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("words").alias("words"), F.min("size").alias("size"), F.min(place).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in drawn])
     kinds = settle(kinds.withColumn("lid", F.monotonically_increasing_id()), "kinds")
-    rows = _blocks(kinds)
-    heads = rows.groupBy("block").agg(F.min(F.struct("lid", "fp")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    texts = settle(_texts(own, kinds, kinds.where((F.col("size") <= SHORT) | (F.col("size") <= LONGER) & (F.col("words") <= FEW)).select("lid")), "short") if keyed else None
+    at = kinds.withColumn("p", F.struct("fp", "words", "size"))
+    rows = settle(_key_blocks(at, texts, similarity), "blocks") if keyed else _blocks(at)
+    heads = rows.groupBy("block").agg(F.min(F.struct("lid", "p")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = settle(rows.join(heads, "block"), "shared")
-    star = shared.where(f"lid <> head.lid and bit_count(fp ^ head.fp) <= {RADIUS}").select(F.col("head.lid").alias("a"), F.col("lid").alias("b")).distinct()
+    star = shared.where(f"lid <> head.lid and {_near('p', 'head.p', keyed, similarity)}").select(F.col("head.lid").alias("a"), F.col("lid").alias("b")).distinct()
     star = settle(star, "star")
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = settle(_texts(own, kinds, ends(star)), "texts")
+    if keyed:
+        texts = texts.unionByName(settle(_texts(own, kinds, ends(star).join(texts.select("lid"), "lid", "left_anti")), "texts"))
+    else:
+        texts = settle(_texts(own, kinds, ends(star)), "texts")
     first = settle(_verified(star, texts, similarity), "links")
     joined = components(first)
-    met = shared.select("block", "lid", "fp").join(joined.select(F.col("node").alias("lid"), "root"), "lid", "left").select("block", "lid", "fp", F.coalesce("root", "lid").alias("root"))
+    met = shared.select("block", "lid", "p").join(joined.select(F.col("node").alias("lid"), "root"), "lid", "left").select("block", "lid", "p", F.coalesce("root", "lid").alias("root"))
     mixed = met.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     met = settle(met.join(mixed, "block"), "met")
     cold, tiled = met.where(F.col("roots") <= hot), met.where(F.col("roots") > hot)
-    pairs = cold.select("block", F.col("lid").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra")).join(cold.select("block", F.col("lid").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb")), "block")
-    pairs = settle(pairs.where(f"ra < rb and bit_count(fa ^ fb) <= {RADIUS}").select("a", "b").distinct(), "pairs")
+    pairs = cold.select("block", F.col("lid").alias("a"), F.col("p").alias("pa"), F.col("root").alias("ra")).join(cold.select("block", F.col("lid").alias("b"), F.col("p").alias("pb"), F.col("root").alias("rb")), "block")
+    pairs = settle(pairs.where(f"ra < rb and {_near('pa', 'pb', keyed, similarity)}").select("a", "b").distinct(), "pairs")
     any_tiled = not tiled.isEmpty()
     more = ends(pairs).unionByName(tiled.select("lid").distinct()).distinct() if any_tiled else ends(pairs)
     more = settle(more.join(texts.select("lid"), "lid", "left_anti"), "more")
@@ -235,8 +349,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     links = first.unionByName(_verified(pairs, texts, similarity))
     if any_tiled:
         tiles = tiled.withColumn("tiles", F.ceil(F.col("n") / hot)).withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
-        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "fp")
-        links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity), "a long, b long"))
+        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "p.fp", "p.words")
+        links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity, keyed), "a long, b long"))
     roots = components(links)
     grouped = kinds.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").select("key", "first", "n", F.coalesce("root", "lid").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")

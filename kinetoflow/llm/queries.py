@@ -17,7 +17,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that repeat, even roughly, an earlier line."""
-    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), keyed=True)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

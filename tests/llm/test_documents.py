@@ -288,3 +288,27 @@ def test_pipeline(spark):
     packed = [d for r in last.collect() for d, s in zip(r["doc_ids"], r["piece_starts"]) if s == 0]
     assert Counter(packed) == Counter(r["doc_id"] for r in docs.collect())
     assert kept == sorted(kept, reverse=True) and 0 < kept[-1] < 200
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_keyed_line_dedup_against_edit_similarity_alone(spark, hot):
+    rnd = random.Random(16)
+    letters = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    words = lambda n: [letters(rnd.randrange(2, 10)) for _ in range(n)]
+    lines = []
+    for n in [1, 2, 6, 12, 20, 20, 40, 60] * 4:
+        base = words(n)
+        lines.append(" ".join(base))
+        for _ in range(3):
+            own = list(base)
+            for _ in range(n // 8 or (n > 2)):
+                own[rnd.randrange(n)] = letters(6)
+            if n < 3:
+                own[0] = own[0][:2] + "x" + own[0][2:]
+            lines.append(" ".join(own))
+    docs = [(i, line, "en", "a", 0, 0) for i, line in enumerate(lines)]
+    group = grouped([(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)], range(len(lines)))
+    assert len(set(group.values())) < 0.5 * len(lines)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(docs, SCHEMA), hot=hot, keyed=True).collect()}
+    assert got == {i: int(group[i] != i) for i in group}
+    assert line_dedup.dedup(odd(spark), keyed=True).count() == 6 and line_dedup.dedup(odd(spark).limit(0), keyed=True).count() == 0

@@ -2,8 +2,10 @@
 
 1. Every document is shingled into hashes of ``SHINGLE`` words. An item and a window of its size that are at least
    ``SIMILARITY`` alike share shingles, and a shared shingle at position p of the document and q of the item puts the
-   window at p - q: only these windows, ``n`` words long as the item, are taken. This loses no match and needs one
-   lookup of each shingle among those of the benchmark.
+   window at p - q, moved into the document where it sticks out. A window that is as alike as any starts with a shared
+   shingle or ends with the document, so windows there are taken too if they hold as many shared shingles as the similarity
+   asks for: items with parts left out or moved are met. A document shorter than the item is one window. This loses no
+   match and needs one lookup of each shingle among those of the benchmark.
 2. Windows and items get 64-bit SimHashes of their shingle multisets. The fingerprint is cut into ``BLOCKS`` blocks; two
    within ``RADIUS`` bits differ in at most RADIUS // BLOCKS bits in some block (pigeonhole). Items emit all
    variants of each block within that many bits, windows their blocks as they are, and both meet on (words, block,
@@ -90,7 +92,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         anchors = grams.where(F.col("k") == k).select("h", "n", "q").distinct()
         spread = hashed.select("id", "mark", F.size("hs").alias("last"), F.posexplode("hs").alias("p", "h"))
         hits = spread.join(F.broadcast(anchors) if few else anchors, "h")
-        starts = hits.select("id", "mark", "n", "last", F.lit(k).alias("k"), (F.col("p") - F.col("q")).alias("start")).where("start >= 0 and start + n - k < last").drop("last").distinct()
+        starts = hits.select("id", "mark", "n", "last", F.lit(k).alias("k"), F.expr(f"least(greatest(p - q, 0), greatest(last - (n - {k} + 1), 0))").alias("start")).drop("last").distinct()
+        # windows that start at a shared shingle, or the last one, with enough shared shingles in them
+        held = hits.groupBy("id", "mark", "n", "last").agg(F.sort_array(F.collect_set("p")).alias("ps")).withColumn("m", F.col("n") - k + 1).withColumn("end", F.greatest(F.col("last") - F.col("m"), F.lit(0)))
+        held = held.withColumn("least", F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (F.col("m") + F.least("m", "last")) - 1e-9)).cast("int"))
+        held = held.withColumn("at", F.expr("filter(transform(ps, (p, i) -> case when p <= end and get(ps, i + least - 1) < p + m then p end), p -> p is not null)"))
+        held = held.withColumn("at", F.expr("case when size(filter(ps, p -> p >= end)) >= least then array_union(at, array(end)) else at end"))
+        starts = starts.unionByName(held.select("id", "mark", "n", F.lit(k).alias("k"), F.explode("at").alias("start"))).distinct()
         found = starts if found is None else found.unionByName(starts)
     windows = settle(found, "windows")
     # the shingles of each window: documents with windows are shingled again, a window's positions are a slice
@@ -111,14 +119,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     block = F.posexplode(F.array(*[F.shiftrightunsigned("fp", b * width).bitwiseAND((1 << width) - 1) for b in range(BLOCKS)])).alias("b", "v")
     wide = item_prints.select("kind", "n", "fp", block).withColumn("mask", F.explode(F.lit(masks).cast("array<long>"))).select("n", "b", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "kind", F.col("fp").alias("item_fp"))
     # many rows grow out of few items: their estimated size says nothing, so neither side may be broadcast
-    near = prints.select(*key, "fp", block).hint("merge").join(wide, ["n", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "kind").distinct()
-    # exact weighted Jaccard: sum of minima over sum of maxima of the shingle counts; both sides have as many shingles
+    near = prints.select(*key, "m", "fp", block).hint("merge").join(wide, ["n", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "m", "kind").distinct()
+    # exact weighted Jaccard: sum of minima over sum of maxima of the shingle counts; m are the window's shingles
     counts = pieces.groupBy(*key, "h").agg(F.count("*").alias("c"))
     item_counts = grams.groupBy("kind", "k", "n", "h").agg(F.count("*").alias("ic"))
     pair = near.alias("x").join(counts.alias("y"), F.expr("x.id <=> y.id and x.mark = y.mark and x.n = y.n and x.start = y.start")).select("x.*", "y.h", "y.c")
     shared = pair.join(F.broadcast(item_counts) if few else item_counts, ["kind", "n", "h"])
-    least = shared.groupBy(*key, "kind").agg(F.sum(F.least("c", "ic")).alias("least"), F.max("k").alias("k"))
-    scored = least.select(*key, "kind", (F.col("least") / (2 * (F.col("n") - F.col("k") + 1) - F.col("least"))).alias("similarity"))
+    least = shared.groupBy(*key, "kind").agg(F.sum(F.least("c", "ic")).alias("least"), F.max("k").alias("k"), F.max("m").alias("m"))
+    scored = least.select(*key, "kind", (F.col("least") / (F.col("n") - F.col("k") + 1 + F.col("m") - F.col("least"))).alias("similarity"))
     best = scored.where(F.col("similarity") >= similarity).groupBy("id", "kind").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     names = items.select("item", F.xxhash64("norm").alias("kind"))
     return best.join(names, "kind").select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))

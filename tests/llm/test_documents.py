@@ -312,3 +312,17 @@ def test_keyed_line_dedup_against_edit_similarity_alone(spark, hot):
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(docs, SCHEMA), hot=hot, keyed=True).collect()}
     assert got == {i: int(group[i] != i) for i in group}
     assert line_dedup.dedup(odd(spark), keyed=True).count() == 6 and line_dedup.dedup(odd(spark).limit(0), keyed=True).count() == 0
+
+
+def test_decontamination_of_cut_short_and_swapped_items(spark):
+    rnd = random.Random(17)
+    item = prose(rnd, 60).split()
+    texts = [item[1:] + ["tail"] * 9, ["head"] * 9 + item[:-1], item[:30] + item[31:], item[1:], ["head"] * 7 + item[30:] + item[:30] + ["tail"] * 7, item[20:]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 0, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["similarity"] for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for i, t in enumerate(texts):
+        best = max((grams(t[a : a + 60]) for a in range(max(1, len(t) - 59))), key=lambda g: sum((g & grams(item)).values()) / sum((g | grams(item)).values()))
+        want[i] = sum((best & grams(item)).values()) / sum((best | grams(item)).values())
+    assert got == pytest.approx({i: x for i, x in want.items() if x >= 0.8}) and set(got) == {0, 1, 2, 3, 4}

@@ -3,7 +3,8 @@
 A page becomes a sequence of text nodes, each with its root-to-leaf tag path (tags with their first class). For every
 path the text length and the punctuation of its nodes are summed and divided by its number of nodes. The two ratios, laid out in
 page order, are smoothed by a Gaussian window, fused (their product) and cut at a threshold drawn from their spread: paths whose nodes
-pass in the mean are content. Content nodes choose the container that holds them; the text of the container outside
+pass in the mean are content. Content nodes choose the container that holds most of them; its text, that of content nodes
+elsewhere, of all that lies between them and of headings right before them, outside
 menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles is the page's text.
 """
 
@@ -37,6 +38,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: Tags that an opening tag of the same group ends where its end tag is left out, and where the search for it stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("html body table td th article section main div aside nav header footer form ul ol blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PREFERRED = frozenset(("article", "main"))
 
 
@@ -193,12 +195,18 @@ def main_text(source: str | None) -> str:
     if not content:
         return ""
     container = _container(page, content)
-    inside = {i for p, i in page.paths.items() if p[: len(container)] == container}
+    inside = content | {i for p, i in page.paths.items() if p[: len(container)] == container}
+    headings = {i for p, i in page.paths.items() if any(t.split(".")[0] in HEADINGS for t in p)}
+    texts = [k for k, node in enumerate(page.nodes) if node is not None and not node[2] and node[1].strip()]
+    chosen = [n for n, k in enumerate(texts) if page.nodes[k][0] in inside]
+    first = chosen[0]
+    while first and page.nodes[texts[first - 1]][0] in headings:
+        first -= 1
     parts: list[str] = []
-    for node in page.nodes:
+    for node in page.nodes[texts[first] : texts[chosen[-1]] + 1]:
         if node is None:
             parts.append(" ")
-        elif not node[2] and node[0] in inside:
+        elif not node[2]:
             parts.append(html.unescape(node[1]))
     return SPACES.sub(" ", "".join(parts)).strip()
 

@@ -86,3 +86,10 @@ def test_search(spark):
             assert [r["vec_id"] for r in got] == best
     assert np.mean(recall) >= 0.9
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_main_text_outside_the_container():
+    body = "".join(f"<p>Sentence {i}, with words, and more of them; it goes on.</p>" for i in range(40))
+    page = f"<body><nav>Menu</nav><div id=main><h1>Title</h1><div class=lead><p>The lead, short, comes first.</p></div><div class=body>{body}</div></div><footer>End</footer></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("Title The lead, short, comes first. Sentence 0,") and text.endswith("it goes on.") and "Menu" not in text and "Sentence 39," in text

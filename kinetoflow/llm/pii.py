@@ -12,6 +12,7 @@ their documents by a join.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,7 @@ EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)")
 MAC = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])")
 IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+IPV6_SHORT = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*::)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:]|\.\d)")
 IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 CARD = re.compile(r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])")
 SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
@@ -193,7 +195,10 @@ def _surname(word: str, gender: str) -> str:
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, extra) of the entities, in order and without overlaps; earlier kinds win."""
+    """(start, end, kind, extra) of the entities, in order and without overlaps; earlier kinds win.
+
+    Later and earlier mentions of a part of a name found in the text, as whole words, are the same entity.
+    """
     found: list[tuple[int, int, str, str]] = []
     if "AKIA" in text or "ASIA" in text or "_" in text or "-" in text or "eyJ" in text:
         found += [(m.start(), m.end(), "secret", "") for m in KEYS.finditer(text)]
@@ -208,6 +213,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "iban", "") for m in IBAN.finditer(text) if _iban_holds(m[0])]
         if ":" in text:
             found += [(m.start(), m.end(), kind, "") for kind, p in (("mac", MAC), ("ipv6", IPV6)) for m in p.finditer(text)]
+    if "::" in text:
+        found += [(m.start(), m.end(), "ipv6", "") for m in IPV6_SHORT.finditer(text) if _ipv6_holds(m[0])]
     for m in TITLED.finditer(text):
         gender = TITLES[m[1]]
         if m[3]:
@@ -224,9 +231,35 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     ranked = sorted(enumerate(found), key=lambda e: (e[1][0], e[0]))
     for _, e in ranked:
         if e[0] >= end:
+            if e[2] in ("first", "name") and text[e[1] - 2 : e[1]] in ("'s", "’s"):  # the name without its possessive
+                bare = text[e[0] : e[1] - 2]
+                e = (e[0], e[1] - 2, e[2], e[3])
+                if len(bare) < 2:
+                    continue
             out.append(e)
             end = e[1]
-    return out
+    parts: dict[str, tuple[str, str]] = {}
+    for start, end, kind, extra in out:
+        if kind in ("first", "name"):
+            parts.setdefault(text[start:end], (kind, extra))
+    if not parts:
+        return out
+    mention = re.compile(rf"\b(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})\b")
+    more, k = [], 0
+    for m in mention.finditer(text):
+        while k < len(out) and out[k][1] <= m.start():
+            k += 1
+        if k == len(out) or out[k][0] >= m.end():
+            more.append((*m.span(), *parts[m[0]]))
+    return sorted(out + more) if more else out
+
+
+def _ipv6_holds(text: str) -> bool:
+    """Whether ``text`` is an address with groups left out; needs a digit, as words of a to f with colons may be code."""
+    try:
+        return re.search(r"\d", text) is not None and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
 
 
 def _iban_holds(text: str) -> bool:

@@ -326,3 +326,13 @@ def test_decontamination_of_cut_short_and_swapped_items(spark):
         best = max((grams(t[a : a + 60]) for a in range(max(1, len(t) - 59))), key=lambda g: sum((g & grams(item)).values()) / sum((g | grams(item)).values()))
         want[i] = sum((best & grams(item)).values()) / sum((best | grams(item)).values())
     assert got == pytest.approx({i: x for i, x in want.items() if x >= 0.8}) and set(got) == {0, 1, 2, 3, 4}
+
+
+def test_surrogates_of_later_mentions_and_short_addresses(spark):
+    text = "John Smith came from 2001:db8::1 with fe80::a1. Smith said that John's, not Smithson's, was Smith's; Mr. Brown's ::ffff:12 met Brown at 12::30 std::x."
+    new = pii.pseudonymise(spark.createDataFrame([(1, text, "en", "a", 0, 0)], SCHEMA)).first()["text"]
+    assert not re.search(r"\b(?:John|Smith|Brown)\b|2001:db8::1\b|fe80::a1\b", new) and "Smithson" in new and "std::x" in new
+    first, family = new.split()[:2]
+    assert f" {family} said that {first}'s, not Smithson's, was {family}'s;" in new
+    other = re.search(r"Mr\. (\w+)'s", new)[1]
+    assert f" met {other} at " in new and re.search(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] with [0-9a-f]{4}::[0-9a-f]{2}\.", new)

@@ -6,7 +6,8 @@ empty member, which ends the same way), so the members are written without it an
 concatenations of members, written under Spark's commit protocol to any file system that Spark writes to.
 
 Reading: each file is parsed from the start. When a member or record fails a check, the reader searches for the next valid member
-or version line, goes on from there, and logs the bytes between as a quarantined gap.
+or version line, goes on from there, and logs the bytes between as a quarantined gap. Inside a member it searches what was inflated,
+also of a member that breaks off or fails its CRC; of such a member only records with a fitting block digest count.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
-_HEADER_MOST = 1 << 16
+_NEXT = re.compile(rb"\nWARC/(?:0\.1[78]|1\.[01])\r\n")
 #: Payload bytes and records of an archive file, on average and at most: a file is read as one piece.
 _FILE_BYTES, _FILE_ROWS = 32 << 20, 5_000
 
@@ -99,16 +100,46 @@ def write(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id",
     data.write.option("lineSep", "\x00").option("maxRecordsPerFile", max(1, min(_FILE_ROWS, int(_FILE_BYTES / (mean + 500))))).text(path)
 
 
-def member_at(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The gzip member at ``at`` and the offset after it; (None, at) unless it inflates whole with its CRC and length."""
+def member_at(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member at ``at`` inflates to, the offset after it, and whether it is whole, with its CRC and length.
+
+    Of a broken member all that inflates before the fault is given, with offset ``at``.
+    """
     z, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
-    try:
-        while pos < len(data) and not z.eof:
+    while pos < len(data) and not z.eof:
+        before = z.copy()
+        try:
             out.append(z.decompress(view[pos : pos + 65536]))
-            pos = min(pos + 65536, len(data))
-    except zlib.error:
-        return None, at
-    return (b"".join(out), pos - len(z.unused_data)) if z.eof else (None, at)
+        except zlib.error:
+            try:  # byte by byte up to the fault
+                for k in range(pos, min(pos + 65536, len(data))):
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at, False
+        pos = min(pos + 65536, len(data))
+    return (b"".join(out), pos - len(z.unused_data), True) if z.eof else (b"".join(out), at, False)
+
+
+def member_records(plain: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """Records of a member's bytes that pass all checks, and the gaps (start, end, reason) between them."""
+    found, gaps, pos, gap, why = [], [], 0, None, ""
+    while pos < len(plain):
+        rec, after, reason = record_at(plain, pos)
+        if rec is None:
+            if gap is None:
+                gap, why = pos, reason
+            line = VERSION.search(plain, pos + 1)
+            pos = line.start() if line else len(plain)
+            continue
+        if gap is not None:
+            gaps.append((gap, pos, why))
+            gap = None
+        found.append(rec)
+        pos = after
+    if gap is not None:
+        gaps.append((gap, len(plain), why))
+    return found, gaps
 
 
 def record_at(data: bytes, at: int) -> tuple[dict | None, int, str]:
@@ -120,7 +151,8 @@ def record_at(data: bytes, at: int) -> tuple[dict | None, int, str]:
     v = VERSION.match(data, at)
     if not v:
         return None, at, "no version line"
-    stop = data.find(b"\r\n\r\n", v.end() - 2, v.end() + _HEADER_MOST)
+    following = _NEXT.search(data, v.end())
+    stop = data.find(b"\r\n\r\n", v.end() - 2, following.start() if following else len(data))
     if stop < 0:
         return None, at, "no end of headers"
     headers: dict[str, str] = {}
@@ -158,41 +190,38 @@ def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of an archive, plain or of gzip members or mixed, in order of their offsets.
 
     A record has type, headers, payload, offset and length (of its member, where compressed). Bytes from a failed check to the next
-    place where a member or record passes all checks are one gap, with the first reason. Nothing is read twice into the
-    result and every byte belongs to a record, an empty member, or a gap.
+    place where a member or record passes all checks are one gap, with the first reason. Records of a broken member have the
+    offset and length of the gap it is in; a gap inside a whole member has those of the member, and its bytes of the
+    member in its reason. Nothing is read twice into the result and every byte belongs to a record, an empty member, or a gap.
     """
     at, gap, why = 0, None, ""
+    saved: list[dict] = []  # of the broken members in the open gap
 
     def closed(to: int) -> Iterator[dict]:
         if gap is not None and to > gap:
+            for rec in saved:
+                yield {"gap": False, "offset": gap, "length": to - gap, **rec}
             yield {"gap": True, "offset": gap, "length": to - gap, "reason": why}
 
     while at < len(data):
-        found, end, reason = [], at, "no member or version line"
+        found, inner, end, reason = [], [], at, "no member or version line"
         if data.startswith(MAGIC, at):
-            plain, end = member_at(data, at)
-            if plain is None:
-                reason = "member fails its check"
-            else:
-                pos = 0
-                while pos < len(plain):
-                    rec, pos2, reason = record_at(plain, pos)
-                    if rec is None:
-                        found = None
-                        break
-                    found.append(rec)
-                    pos = pos2
-                if found is not None:
-                    reason = ""
+            plain, end, whole = member_at(data, at)
+            found, inner = member_records(plain)
+            reason = "" if whole and (found or not inner) else inner[0][2] if whole else "member fails its check"
+            if not whole:
+                saved += [r for r in found if r["headers"].get("warc-block-digest", "").startswith("sha1:") and r not in saved]
         else:
             rec, end, reason = record_at(data, at)
-            if rec is not None:
+            if rec is not None and rec not in saved:  # a broken member can hold its records uncompressed
                 found.append(rec)
         if not reason:
             yield from closed(at)
-            gap = None
-            for rec in found or []:
+            gap, saved = None, []
+            for rec in found:
                 yield {"gap": False, "offset": at, "length": end - at, **rec}
+            for a, b, told in inner:
+                yield {"gap": True, "offset": at, "length": end - at, "reason": f"{told} (bytes {a} to {b} of the member)"}
             at = end
             continue
         if gap is None:

@@ -1,6 +1,7 @@
 """Pages, archives and vectors."""
 
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -93,3 +94,22 @@ def test_main_text_outside_the_container():
     page = f"<body><nav>Menu</nav><div id=main><h1>Title</h1><div class=lead><p>The lead, short, comes first.</p></div><div class=body>{body}</div></div><footer>End</footer></body>"
     text = html_text.main_text(page)
     assert text.startswith("Title The lead, short, comes first. Sentence 0,") and text.endswith("it goes on.") and "Menu" not in text and "Sentence 39," in text
+
+
+def test_salvage_inside_members():
+    rnd = random.Random(18)
+    payloads = [rnd.randbytes(3000) for _ in range(6)]
+    records = [warc.page_record(i, f"u{i}", p, warc.digest(p), None, False) for i, p in enumerate(payloads)]
+    hurt = records[2].replace(payloads[2][:100], bytes(100))
+    one = warc.member(b"".join([*records[:2], hurt, *records[3:]]))
+    whole = warc.member(b"".join(records))
+    ids = lambda data: [r["headers"]["x-page-id"] for r in warc.salvage(data) if not r["gap"]]
+    assert ids(one) == list("01345") and sum(r["gap"] for r in warc.salvage(one)) == 1
+    assert ids(whole[: len(whole) * 3 // 5]) == list("012")
+    bad = bytearray(zlib.compress(b"".join(records), wbits=31))
+    bad[-6] ^= 1
+    assert ids(bytes(bad)) == list("012345") and any(r["gap"] for r in warc.salvage(bytes(bad)))
+    url = "http://x/" + "a" * 70_000
+    for make in (lambda r: r, warc.member):
+        (got,) = warc.salvage(make(warc.page_record(9, url, b"text", warc.digest(b"text"), None, False)))
+        assert got["headers"]["warc-target-uri"] == url

@@ -1,21 +1,21 @@
-"""Fuzzy line dedup: SimHash of normalised lines, joins on pigeonhole blocks, edit similarity, one line kept of each group.
+"""Fuzzy line dedup: lines normalised and hashed, joined on blocks, verified by edit similarity, one line kept of each group.
 
 1. One pass over the texts turns every line into words (lower case, digits as 0, no punctuation), a 128-bit key of the word
-   sequence and a 64-bit SimHash of its pairs of adjacent words. Lines with equal keys are one kind; only numbers are shuffled.
-2. Fingerprints within ``RADIUS`` = 3 bits agree in at least two of five blocks: kinds meet on each of the ten pairs of blocks
-   (about 26 bits), and pairs within the radius are candidates.
-3. The texts of candidates are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line. First
+   sequence, a 64-bit SimHash of its words and its blocks. Lines with equal keys are one kind; only numbers are shuffled.
+2. Kinds that share a block meet. ``KEYS`` blocks are each the hash of ``DRAWN`` words that a weighted min-hash draws from the line
+   (weight: square of the length, so that function words are drawn least). Lines of up to ``SHORT`` letters have a block for
+   all they become by as many deletions as edits are allowed, which misses no pair; lines of up to ``FEW`` words and ``LONGER`` letters
+   one for what any one deletion leaves, which misses none that one edit parts.
+3. Of kinds that meet, pairs remain whose lengths allow the similarity (exact) and, from ``FIRM`` words on, whose SimHashes differ in at
+   most ``WIDE`` bits. Their texts are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line. First
    the pairs of a block's first kind with its others are, which connects most copies; then only pairs of blocks whose kinds are not
    yet in one group, of kinds from different groups. Pairs inside a group would add nothing.
 4. Links join kinds to groups; of each group the first occurrence (by id, then line) stays.
 
-Three bits are far less than what 0.8 of edit similarity allows. With ``keyed`` kinds meet otherwise in step 2: ``KEYS`` times the
-``DRAWN`` words of a line that a weighted min-hash draws (weight: square of the length) are its blocks, and lines of up to ``SHORT``
-letters also meet on all they can become by as many deletions as edits are allowed, which misses none; lines of up to ``FEW``
-words and ``LONGER`` letters meet on what one deletion leaves of them, which misses none that one edit parts. Pairs whose lengths
-differ too much are dropped (exact), and pairs of ``FIRM`` or more words whose SimHashes of single words differ in more than ``WIDE`` bits.
+Blocks are not pieces of the SimHash: lines 0.8 alike differ in up to 17 of its 64 bits, and 18 pieces of three or four bits would
+hold everything in common. ``tests/llm`` measures the recall against all pairs by edit similarity alone.
 
-Blocks that more than ``HOT`` kinds share are compared in tiles of kinds: a task takes two tiles, tests all pairs, and gives
+Blocks that more than ``HOT`` unconnected kinds share are compared in tiles of kinds: a task takes two tiles, tests all pairs, and gives
 only links that connect something new, so no task holds a group and pairs are not emitted.
 """
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,34 +31,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_at_most, settle, small_batches
+from .common import settle, small_batches
 from .components import components
 
-RADIUS = 3
 SIMILARITY = 0.8
 HOT = 256
-KEYS, DRAWN = 16, 3
+KEYS, DRAWN = 8, 2
 SHORT, LONGER, FEW = 14, 40, 5
 #: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
 FIRM, WIDE = 12, 24
-#: Documents with candidate or dropped lines up to which their line numbers are broadcast; beyond, documents are shuffled.
-BROADCAST_DOCS = 200_000
-WORD = re.compile(r"\w+")
-_CUTS = (0, 13, 26, 39, 52, 64)
+#: Lists of lines that are broadcast hold at most so many documents and lines (some 16 MB); beyond, documents are shuffled.
+BROADCAST_DOCS, BROADCAST_LINES = 100_000, 1_000_000
+WORD, DIGIT = re.compile(r"\w+"), re.compile(r"\d")
 _MEMO = 400_000
 _KEYS = [f"k{n}" for n in range(KEYS)]
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, KEYS * DRAWN).astype(np.uint64)[None, :]
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > _MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(re.sub(r"\d", "0", word).encode("utf-8", "surrogatepass"), 1)
-        return h
-
-
 class _Draws(dict):
     """Number of each word, with its hash and its min-hash values in the rows ``hashes`` and ``values``."""
 
@@ -81,7 +70,7 @@ class _Draws(dict):
             self.values = np.append(self.values, np.empty((end, KEYS * DRAWN), np.float32), axis=0)
         for at in range(0, len(self.fresh), 4096):
             words = self.fresh[at : at + 4096]
-            h = np.array([xxhash.xxh64_intdigest(re.sub(r"\d", "0", w).encode("utf-8", "surrogatepass"), 1) for w in words], np.uint64)
+            h = np.array([xxhash.xxh64_intdigest(DIGIT.sub("0", w).encode("utf-8", "surrogatepass"), 1) for w in words], np.uint64)
             with np.errstate(over="ignore"):
                 u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(11)).astype(float)
             weight = np.array([len(w) ** 2 for w in words], float)[:, None]
@@ -127,88 +116,61 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _lines(batches: Iterator[pa.RecordBatch], keyed: bool = False) -> Iterator[pa.RecordBatch]:
-    memo = _Draws() if keyed else _Hashes()
-    for batch in batches:
-        if keyed and len(memo) > _MEMO:
-            memo = _Draws()
-        docs, numbers, keys, prints, sizes, drawn = [], [], [], [], [], []
-        for d, text in enumerate(batch.column(2).to_pylist()):
-            flat, starts, at_line = [], [], []
-            for n, line in enumerate((text or "").split("\n")):
-                if words := WORD.findall(line.lower()):
-                    starts.append(len(flat))
-                    sizes.append((len(words), sum(map(len, words)) + len(words) - 1))
-                    at_line.append(n)
-                    flat.extend([memo[w] for w in words])
-            if not starts:
-                continue
-            bounds = [*starts, len(flat)]
-            if keyed:
+def _fingerprints(h: np.ndarray, starts: list[int]) -> np.ndarray:
+    """SimHash of each line's word hashes; memory stays bounded for any length of line."""
+    # a byte's bits as eight counters of a byte each: up to 255 words add up without a carry
+    pieces = sorted({*starts, *range(0, len(h), 255)})
+    ones = np.empty((len(pieces), 64), np.uint8)
+    for a in range(0, len(pieces), 256):
+        end = pieces[a + 256] if a + 256 < len(pieces) else len(h)
+        part = LANES[h[pieces[a] : end].view(np.uint8).reshape(-1, 8)]
+        ones[a : a + 256] = np.add.reduceat(part, [x - pieces[a] for x in pieces[a : a + 256]], axis=0).view(np.uint8)
+    ones = np.add.reduceat(ones, np.searchsorted(pieces, starts), axis=0, dtype=np.int32)
+    size = np.diff([*starts, len(h)])[:, None]
+    return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0]
+
+
+def _lines(similarity: float):
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Draws()
+        for batch in batches:
+            if len(memo) > _MEMO:
+                memo = _Draws()
+            docs, numbers, keys, prints, sizes, drawn, variants = [], [], [], [], [], [], []
+            for d, text in enumerate(batch.column(2).to_pylist()):
+                flat, starts = [], []
+                for n, line in enumerate((text or "").split("\n")):
+                    if words := WORD.findall(line.lower()):
+                        starts.append(len(flat))
+                        size = sum(map(len, words)) + len(words) - 1
+                        sizes.append((len(words), size))
+                        numbers.append(n)
+                        flat.extend([memo[w] for w in words])
+                        short = size <= SHORT or size <= LONGER and len(words) <= FEW
+                        variants.append([xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(DIGIT.sub("0", " ".join(words)), similarity)] if short else None)
+                if not starts:
+                    continue
                 memo.fill()
-                h = memo.hashes[np.array(flat)]
-                drawn.append(_keys(memo.values, np.array(flat), starts))
-            else:
-                h = np.array(flat, np.uint64)
-            docs += [d] * len(starts)
-            numbers += at_line
-            keys += [xxhash.xxh3_128_digest(h[i:j].tobytes()) for i, j in zip(bounds, bounds[1:])]
-            if keyed:  # features: the words
-                f = h
-            else:
-                # features: pairs of adjacent words, or the word of a line that has one; single words are too alike from line to line
-                ends = np.array(bounds[1:]) - 1
-                last = np.zeros(len(flat), bool)
-                last[ends] = True
-                single = np.zeros(len(flat), bool)
-                single[ends[np.diff(bounds) == 1]] = True
-                with np.errstate(over="ignore"):
-                    f = pair_hash(h, np.append(h[1:], np.uint64(0)))
-                f = np.where(single, h, f)[~last | single]
-                starts = (np.cumsum(np.append(0, np.maximum(np.diff(bounds) - 1, 1)))[:-1]).tolist()
-                bounds = [*starts, len(f)]
-            # a byte's bits as eight counters of a byte each: up to 255 words add up without a carry
-            pieces = sorted({*starts, *range(0, len(f), 255)})
-            ones = np.empty((len(pieces), 64), np.uint8)
-            for a in range(0, len(pieces), 256):  # bounded memory for any length of line
-                end = pieces[a + 256] if a + 256 < len(pieces) else len(f)
-                part = LANES[f[pieces[a] : end].view(np.uint8).reshape(-1, 8)]
-                ones[a : a + 256] = np.add.reduceat(part, [x - pieces[a] for x in pieces[a : a + 256]], axis=0).view(np.uint8)
-            ones = np.add.reduceat(ones, np.searchsorted(pieces, starts), axis=0, dtype=np.int32)
-            size = np.diff(bounds)[:, None]
-            prints.append(np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0])
-        if docs:
-            columns = [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.concatenate(prints)), *(pa.array(c, pa.int32()) for c in zip(*sizes))]
-            if keyed:
-                columns += [pa.array(c) for c in np.ascontiguousarray(np.concatenate(drawn).T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "line", "key", "fp", "words", "size", *(_KEYS if keyed else ())])
-
-
-def _blocks(kinds: DataFrame) -> DataFrame:
-    """(block, lid, p): ten rows for each kind, one for each pair of blocks."""
-    part = [f"(shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for a, b in zip(_CUTS, _CUTS[1:])]
-    pairs = [f"shiftleft({n}L, 26) | shiftleft({part[i]}, 13) | {part[j]}" for n, (i, j) in enumerate(combinations(range(5), 2))]
-    return kinds.select(F.explode(F.expr(f"cast(array({', '.join(pairs)}) as array<int>)")).alias("block"), "lid", "p")
-
-
-def _key_blocks(kinds: DataFrame, short: DataFrame, similarity: float) -> DataFrame:
-    """(block, lid, p): a row for each key of a kind, and for each variant of the short kinds' texts (lid, norm)."""
-
-    def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63), i) for i, t in zip(b["lid"], b["norm"]) for v in _shorter(t, similarity)]
-            yield pd.DataFrame(rows, columns=["block", "lid"], dtype="int64")
-
-    drawn = kinds.select(F.explode(F.array(*_KEYS)).alias("block"), "lid", "p")
-    return drawn.unionByName(short.mapInPandas(variants, "block long, lid long").join(kinds.select("lid", "p"), "lid"))
-
-
-def _near(a: str, b: str, keyed: bool, similarity: float) -> str:
+                words = np.array(flat)
+                h = memo.hashes[words]
+                drawn.append(_keys(memo.values, words, starts))
+                prints.append(_fingerprints(h, starts))
+                raw, bounds = h.tobytes(), [*starts, len(flat)]
+                keys += [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(bounds, bounds[1:])]
+                docs += [d] * len(starts)
+            if docs:
+                own = [batch.column(n).take(pa.array(docs)) for n in (0, 1)]
+                columns = [*own, pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.concatenate(prints)), *(pa.array(c, pa.int32()) for c in zip(*sizes))]
+                columns += [pa.array(c) for c in np.ascontiguousarray(np.concatenate(drawn).T)] + [pa.array(variants, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "variants"])
+
+    return lines
+
+
+def _near(a: str, b: str, similarity: float) -> str:
     """Condition on two kinds' ``p`` under which their texts are compared."""
-    apart = f"bit_count({a}.fp ^ {b}.fp)"
-    if not keyed:
-        return f"{apart} <= {RADIUS}"
-    return f"abs({a}.size - {b}.size) <= {1 - similarity!r}D * greatest({a}.size, {b}.size) + 1e-6D and (least({a}.words, {b}.words) < {FIRM} or {apart} <= {WIDE})"
+    sizes = f"abs({a}.size - {b}.size) <= {1 - similarity!r}D * greatest({a}.size, {b}.size) + 1e-6D"
+    return f"{sizes} and (least({a}.words, {b}.words) < {FIRM} or bit_count({a}.fp ^ {b}.fp) <= {WIDE})"
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -247,11 +209,11 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def _tile_links(similarity: float, keyed: bool = False):
+def _tile_links(similarity: float):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("lid").sort_values("lid")
         lids, prints, texts, first = group["lid"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["norm"].tolist(), group["tile"].to_numpy()
-        loose = group["words"].to_numpy() < (FIRM if keyed else 0)
+        loose = group["words"].to_numpy() < FIRM
         low, high = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         up = list(range(len(lids)))
 
@@ -263,7 +225,7 @@ def _tile_links(similarity: float, keyed: bool = False):
 
         found = []
         for k in range(len(lids)):
-            near = np.nonzero((np.bitwise_count(prints[k] ^ prints[k + 1 :]) <= (WIDE if keyed else RADIUS)) | loose[k] | loose[k + 1 :])[0] + k + 1
+            near = np.nonzero((np.bitwise_count(prints[k] ^ prints[k + 1 :]) <= WIDE) | loose[k] | loose[k + 1 :])[0] + k + 1
             for o in near.tolist():
                 if low != high and first[k] == first[o]:  # pairs inside a tile are tested where it meets itself
                     continue
@@ -277,10 +239,12 @@ def _tile_links(similarity: float, keyed: bool = False):
     return links
 
 
-def _by_document(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join documents (id, mark, text, ...) with lists of their lines (id, mark, ...)."""
+def _by_document(docs: DataFrame, lists: DataFrame, lines: str, how: str) -> DataFrame:
+    """Join documents (id, mark, text, ...) with lists of their lines (id, mark, ...); column ``lines`` is the list."""
     side = lists.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), *[c for c in lists.columns if c not in ("id", "mark")])
-    side = F.broadcast(side) if count_at_most(side, BROADCAST_DOCS) else side
+    docs_in, lines_in = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()
+    if docs_in <= BROADCAST_DOCS and lines_in <= BROADCAST_LINES:
+        side = F.broadcast(side)
     return docs.join(side, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how).drop("_id", "_mark")
 
 
@@ -290,7 +254,7 @@ def _texts(own: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
     # each text is split once, bound by a transform over an array of one; the wanted lines are taken from there
     picked = F.flatten(F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("at", lambda w: F.struct(w["lid"].alias("lid"), F.get(ls, w["line"]).alias("line")))))
     norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("w.line"), r"[^\p{L}\p{N}_]+", " "), r"\p{Nd}", "0"))
-    found = _by_document(own, settle(at, "at"), "inner").select(F.explode(picked).alias("w"))
+    found = _by_document(own, settle(at, "at"), "at", "inner").select(F.explode(picked).alias("w"))
     return found.select("w.lid", norm.alias("norm")).groupBy("lid").agg(F.min("norm").alias("norm"))
 
 
@@ -305,42 +269,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.where(holds("ta", "tb")).select("a", "b")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot: int = HOT, keyed: bool = False) -> DataFrame:
-    """(id, text, n_lines, n_removed) for each row: its text without lines that repeat, even roughly, an earlier one.
-
-    Earlier is by id (null last), text hash, then line number, over all documents. Lines without letters or digits always stay. Null
-    texts stay null, with no lines. Rows that repeat id and text are one document and all get its result. An empty
-    table gives no rows; other columns are ignored. Lines are compared whose SimHashes are within RADIUS, or, if ``keyed``, all that
-    meet on drawn words or as short lines, so that the edit similarity alone decides.
-    """
-    small_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    id_type = own.schema["id"].dataType.simpleString()
-    drawn = _KEYS if keyed else []
-    lines = settle(own.mapInArrow(lambda batches: _lines(batches, keyed), f"id {id_type}, mark long, line int, key binary, fp long, words int, size int" + "".join(f", {k} long" for k in drawn)), "lines")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
-    kinds = lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("words").alias("words"), F.min("size").alias("size"), F.min(place).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in drawn])
-    kinds = settle(kinds.withColumn("lid", F.monotonically_increasing_id()), "kinds")
-    texts = settle(_texts(own, kinds, kinds.where((F.col("size") <= SHORT) | (F.col("size") <= LONGER) & (F.col("words") <= FEW)).select("lid")), "short") if keyed else None
-    at = kinds.withColumn("p", F.struct("fp", "words", "size"))
-    rows = settle(_key_blocks(at, texts, similarity), "blocks") if keyed else _blocks(at)
-    heads = rows.groupBy("block").agg(F.min(F.struct("lid", "p")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+def fuzzy_links(own: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(a, b): links that connect kinds as all pairs do that share a block and are alike."""
+    rows = kinds.select(F.explode(F.concat(F.array(*_KEYS), F.coalesce("variants", F.array().cast("array<long>")))).alias("block"), "lid")
+    heads = rows.groupBy("block").agg(F.min("lid").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    p = kinds.select("lid", F.struct("fp", "words", "size").alias("p"))
     shared = settle(rows.join(heads, "block"), "shared")
-    star = shared.where(f"lid <> head.lid and {_near('p', 'head.p', keyed, similarity)}").select(F.col("head.lid").alias("a"), F.col("lid").alias("b")).distinct()
-    star = settle(star, "star")
+    heads = shared.where("lid <> head").select("head", "lid").distinct()
+    star = heads.join(p, "lid").join(p.select(F.col("lid").alias("head"), F.col("p").alias("q")), "head")
+    star = settle(star.where(_near("p", "q", similarity)).select(F.col("head").alias("a"), F.col("lid").alias("b")), "star")
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    if keyed:
-        texts = texts.unionByName(settle(_texts(own, kinds, ends(star).join(texts.select("lid"), "lid", "left_anti")), "texts"))
-    else:
-        texts = settle(_texts(own, kinds, ends(star)), "texts")
+    texts = settle(_texts(own, kinds, ends(star)), "texts")
     first = settle(_verified(star, texts, similarity), "links")
     joined = components(first)
-    met = shared.select("block", "lid", "p").join(joined.select(F.col("node").alias("lid"), "root"), "lid", "left").select("block", "lid", "p", F.coalesce("root", "lid").alias("root"))
-    mixed = met.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    met = settle(met.join(mixed, "block"), "met")
+    met = shared.join(joined.select(F.col("node").alias("lid"), "root"), "lid", "left").select("block", "head", "lid", F.coalesce("root", "lid").alias("root"))
+    # pairs with the head are settled: what is left are blocks in which two other kinds are in different groups
+    apart = met.where("lid <> head").groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
+    met = met.where("lid <> head").join(apart, "block").join(p, "lid")
+    roots = met.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.sum("c").alias("n"), F.count("*").alias("roots"))
+    met = settle(met.join(roots, "block"), "met")
     cold, tiled = met.where(F.col("roots") <= hot), met.where(F.col("roots") > hot)
-    pairs = cold.select("block", F.col("lid").alias("a"), F.col("p").alias("pa"), F.col("root").alias("ra")).join(cold.select("block", F.col("lid").alias("b"), F.col("p").alias("pb"), F.col("root").alias("rb")), "block")
-    pairs = settle(pairs.where(f"ra < rb and {_near('pa', 'pb', keyed, similarity)}").select("a", "b").distinct(), "pairs")
+    left = cold.select("block", F.col("lid").alias("a"), F.col("p").alias("pa"), F.col("root").alias("ra"))
+    pairs = left.join(cold.select("block", F.col("lid").alias("b"), F.col("p").alias("pb"), F.col("root").alias("rb")), "block")
+    pairs = settle(pairs.where(f"ra < rb and {_near('pa', 'pb', similarity)}").select("a", "b").distinct(), "pairs")
     any_tiled = not tiled.isEmpty()
     more = ends(pairs).unionByName(tiled.select("lid").distinct()).distinct() if any_tiled else ends(pairs)
     more = settle(more.join(texts.select("lid"), "lid", "left_anti"), "more")
@@ -350,13 +301,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     if any_tiled:
         tiles = tiled.withColumn("tiles", F.ceil(F.col("n") / hot)).withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
         parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "p.fp", "p.words")
-        links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity, keyed), "a long, b long"))
-    roots = components(links)
+        links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity), "a long, b long"))
+    return links
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(id, text, n_lines, n_removed) for each row: its text without lines that repeat, even roughly, an earlier one.
+
+    Earlier is by id (null last), text hash, then line number, over all documents. Lines without letters or digits always stay. Null
+    texts stay null, with no lines. Rows that repeat id and text are one document and all get its result. An empty
+    table gives no rows; other columns are ignored. Lines are one group if a chain of lines connects them, each as alike as ``similarity``
+    to the next by edit distance and sharing a block with it.
+    """
+    small_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    id_type = own.schema["id"].dataType.simpleString()
+    fields = f"id {id_type}, mark long, line int, key binary, fp long, words int, size int, {', '.join(k + ' long' for k in _KEYS)}, variants array<long>"
+    lines = settle(own.mapInArrow(_lines(similarity), fields), "lines")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
+    same = [F.any_value(c).alias(c) for c in ("fp", "words", "size", *_KEYS, "variants")]
+    kinds = lines.groupBy("key").agg(*same, F.min(place).alias("first"), F.count("*").alias("n"))
+    kinds = settle(kinds.withColumn("lid", F.monotonically_increasing_id()), "kinds")
+    roots = components(fuzzy_links(own, kinds, similarity, hot))
     grouped = kinds.join(roots.select(F.col("node").alias("lid"), "root"), "lid", "left").select("key", "first", "n", F.coalesce("root", "lid").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")
     repeated = grouped.join(heads, "root").select("key", "head")
-    dropped = lines.join(repeated, "key").where(~place.eqNullSafe(F.col("head"))).groupBy("id", "mark").agg(F.collect_set("line").alias("gone"))
-    out = _by_document(own, settle(dropped, "dropped"), "left")
+    dropped = lines.select("id", "mark", "line", "key").join(repeated, "key").where(~place.eqNullSafe(F.col("head"))).groupBy("id", "mark").agg(F.collect_set("line").alias("gone"))
+    out = _by_document(own, settle(dropped, "dropped"), "gone", "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False))), "\n")
     return out.select(F.col("id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))

@@ -2,12 +2,13 @@
 
 1. One pass over the texts turns every line into words (lower case, digits as 0, no punctuation), a 128-bit key of the word
    sequence, a 64-bit SimHash of its words and its blocks. Lines with equal keys are one kind; only numbers are shuffled.
-2. Kinds that share a block meet. ``KEYS`` blocks are each the hash of ``DRAWN`` words that a weighted min-hash draws from the line
-   (weight: square of the length, so that function words are drawn least). Lines of up to ``SHORT`` letters have a block for
+2. Kinds that share a block meet. ``KEYS`` blocks are each the hash of ``DRAWN`` words that a weighted min-hash draws from the line;
+   the rarer a word in all texts, the likelier it is drawn, so that neither function words nor a passage that many lines quote
+   brings unlike lines together. Lines of up to ``SHORT`` letters have a block for
    all they become by as many deletions as edits are allowed, which misses no pair; lines of up to ``FEW`` words and ``LONGER`` letters
    one for what any one deletion leaves, which misses none that one edit parts.
 3. Of kinds that meet, pairs remain whose lengths allow the similarity (exact) and, from ``FIRM`` words on, whose SimHashes differ in at
-   most ``WIDE`` bits. Their texts are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line. First
+   most ``WIDE`` bits and who have ``SHARED`` of the longer line's letters in common words. Their texts are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line. First
    the pairs of a block's first kind with its others are, which connects most copies; then only pairs of blocks whose kinds are not
    yet in one group, of kinds from different groups. Pairs inside a group would add nothing.
 4. Links join kinds to groups; of each group the first occurrence (by id, then line) stays.
@@ -22,12 +23,14 @@ only links that connect something new, so no task holds a group and pairs are no
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,9 @@ HOT = 256
 KEYS, DRAWN = 8, 2
 SHORT, LONGER, FEW = 14, 40, 5
 #: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
-FIRM, WIDE = 12, 24
+FIRM, WIDE, SHARED = 12, 24, 0.5
+#: Buckets in which words are counted: the table of counts has one size for all inputs.
+BUCKETS = 1 << 18
 #: Lists of lines that are broadcast hold at most so many documents and lines (some 16 MB); beyond, documents are shuffled.
 BROADCAST_DOCS, BROADCAST_LINES = 100_000, 1_000_000
 WORD, DIGIT = re.compile(r"\w+"), re.compile(r"\d")
@@ -49,10 +54,44 @@ _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, KEYS * DRAWN).astype(np.u
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(DIGIT.sub("0", word).encode("utf-8", "surrogatepass"), 1)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(46)).astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, seen = np.zeros(BUCKETS, np.int64), Counter()
+
+    def flush() -> None:
+        np.add.at(total, _bucket(np.fromiter(map(_hash, seen), np.uint64, len(seen))), np.fromiter(seen.values(), np.int64, len(seen)))
+        seen.clear()
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            seen.update(WORD.findall((text or "").lower()))
+            if len(seen) > _MEMO:
+                flush()
+    flush()
+    rows = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(total[rows])], names=["bucket", "n"])
+
+
+def word_weights(own: DataFrame) -> np.ndarray:
+    """Weight of each bucket's words: fourth power of the logarithm of all words over the bucket's."""
+    found = own.select("text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    n = np.ones(BUCKETS)
+    n[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return np.log(1 + n.sum() / n) ** 4
+
+
 class _Draws(dict):
     """Number of each word, with its hash and its min-hash values in the rows ``hashes`` and ``values``."""
 
-    def __init__(self) -> None:
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights = weights
         self.fresh: list[str] = []
         self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, KEYS * DRAWN), np.float32)
 
@@ -70,10 +109,10 @@ class _Draws(dict):
             self.values = np.append(self.values, np.empty((end, KEYS * DRAWN), np.float32), axis=0)
         for at in range(0, len(self.fresh), 4096):
             words = self.fresh[at : at + 4096]
-            h = np.array([xxhash.xxh64_intdigest(DIGIT.sub("0", w).encode("utf-8", "surrogatepass"), 1) for w in words], np.uint64)
+            h = np.fromiter(map(_hash, words), np.uint64, len(words))
             with np.errstate(over="ignore"):
                 u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(11)).astype(float)
-            weight = np.array([len(w) ** 2 for w in words], float)[:, None]
+            weight = self.weights[_bucket(h)][:, None]
             self.hashes[start + at : start + at + len(words)] = h
             self.values[start + at : start + at + len(words)] = -np.log((u + 1) / 2**53) / weight
         self.fresh = []
@@ -130,12 +169,12 @@ def _fingerprints(h: np.ndarray, starts: list[int]) -> np.ndarray:
     return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def _lines(similarity: float):
+def _lines(similarity: float, weights: Broadcast):
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Draws()
+        memo = _Draws(weights.value)
         for batch in batches:
             if len(memo) > _MEMO:
-                memo = _Draws()
+                memo = _Draws(weights.value)
             docs, numbers, keys, prints, sizes, drawn, variants = [], [], [], [], [], [], []
             for d, text in enumerate(batch.column(2).to_pylist()):
                 flat, starts = [], []
@@ -198,7 +237,7 @@ def alike(a: str, b: str, similarity: float) -> bool:
     """Whether the edit distance is at most (1 - similarity) of the longer string.
 
     Putting one line's words in place of the other's, where they have as many, is a way to edit it: if that is cheap enough, no
-    distance need be computed.
+    distance need be computed. Nor is it for lines of ``FIRM`` and more words with too few letters in common words.
     """
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
@@ -206,6 +245,11 @@ def alike(a: str, b: str, similarity: float) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
         return True
+    if min(len(x), len(y)) >= FIRM:
+        xs, ys = set(x), set(y)
+        shared = min(sum(len(w) for w in x if w in ys), sum(len(w) for w in y if w in xs))
+        if shared < SHARED * (max(len(a), len(b)) - max(len(x), len(y)) + 1):
+            return False
     return edit_distance(a, b, most) <= most
 
 
@@ -315,9 +359,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    weights = docs.sparkSession.sparkContext.broadcast(word_weights(own))
     id_type = own.schema["id"].dataType.simpleString()
     fields = f"id {id_type}, mark long, line int, key binary, fp long, words int, size int, {', '.join(k + ' long' for k in _KEYS)}, variants array<long>"
-    lines = settle(own.mapInArrow(_lines(similarity), fields), "lines")
+    lines = settle(own.mapInArrow(_lines(similarity, weights), fields), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
     same = [F.any_value(c).alias(c) for c in ("fp", "words", "size", *_KEYS, "variants")]
     kinds = lines.groupBy("key").agg(*same, F.min(place).alias("first"), F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 1. One pass over the texts turns every line into words (lower case, digits as 0, no punctuation), a 128-bit key of the word
    sequence, a 64-bit SimHash of its words and its blocks. Lines with equal keys are one kind; only numbers are shuffled.
-2. Kinds that share a block meet. ``KEYS`` blocks are each the hash of ``DRAWN`` words that a weighted min-hash draws from the line;
+2. Kinds that share a block meet. ``KEYS`` blocks are each the hash of the ``DRAWN`` different words that a weighted min-hash puts first;
    the rarer a word in all texts, the likelier it is drawn, so that neither function words nor a passage that many lines quote
    brings unlike lines together. Lines of up to ``SHORT`` letters have a block for
    all they become by as many deletions as edits are allowed, which misses no pair; lines of up to ``FEW`` words and ``LONGER`` letters
@@ -39,18 +39,18 @@ from .components import components
 
 SIMILARITY = 0.8
 HOT = 256
-KEYS, DRAWN = 8, 2
+KEYS, DRAWN = 10, 3
 SHORT, LONGER, FEW = 14, 40, 5
 #: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
 FIRM, WIDE, SHARED = 12, 24, 0.5
 #: Buckets in which words are counted: the table of counts has one size for all inputs.
 BUCKETS = 1 << 18
-#: Lists of lines that are broadcast hold at most so many documents and lines (some 16 MB); beyond, documents are shuffled.
-BROADCAST_DOCS, BROADCAST_LINES = 100_000, 1_000_000
+#: Lists of lines that are broadcast hold at most so many documents and lines (some 30 MB); beyond, documents are shuffled.
+BROADCAST_DOCS, BROADCAST_LINES = 250_000, 2_000_000
 WORD, DIGIT = re.compile(r"\w+"), re.compile(r"\d")
-_MEMO = 400_000
+_MEMO, _WORDS, _PIECE = 400_000, 50_000, 16_384
 _KEYS = [f"k{n}" for n in range(KEYS)]
-_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, KEYS * DRAWN).astype(np.uint64)[None, :]
+_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, KEYS).astype(np.uint64)[None, :]
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
@@ -66,12 +66,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, seen = np.zeros(BUCKETS, np.int64), Counter()
 
     def flush() -> None:
-        np.add.at(total, _bucket(np.fromiter(map(_hash, seen), np.uint64, len(seen))), np.fromiter(seen.values(), np.int64, len(seen)))
+        pairs = [(_hash(w), n) for token, n in seen.items() for w in ((token,) if token.isalpha() else WORD.findall(token))]
+        if pairs:
+            h, n = zip(*pairs)
+            np.add.at(total, _bucket(np.array(h, np.uint64)), np.array(n, np.int64))
         seen.clear()
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(WORD.findall((text or "").lower()))
+            seen.update((text or "").lower().split())
             if len(seen) > _MEMO:
                 flush()
     flush()
@@ -80,62 +83,76 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_weights(own: DataFrame) -> np.ndarray:
-    """Weight of each bucket's words: fourth power of the logarithm of all words over the bucket's."""
+    """Weight of each bucket's words: square of the logarithm of all words over the bucket's."""
     found = own.select("text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     n = np.ones(BUCKETS)
     n[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return np.log(1 + n.sum() / n) ** 4
+    return (np.log(1 + n.sum() / n) ** 2).astype(np.float32)
 
 
 class _Draws(dict):
-    """Number of each word, with its hash and its min-hash values in the rows ``hashes`` and ``values``."""
+    """Number of the word in each token between white space; -1 for a token that holds none or several.
 
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights = weights
-        self.fresh: list[str] = []
-        self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, KEYS * DRAWN), np.float32)
+    ``names`` has the words, the rows of ``hashes``, ``sizes`` and ``values`` their hashes, lengths and min-hash values.
+    """
 
-    def __missing__(self, word: str) -> int:
-        self.fresh.append(word)
-        self[word] = n = len(self)
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.names, self.known = weights, [], 0
+        self.hashes, self.sizes, self.values = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, KEYS), np.float32)
+
+    def __missing__(self, token: str) -> int:
+        found = (token,) if token.isalpha() else WORD.findall(token)
+        if len(found) != 1:
+            n = -1
+        elif found[0] != token:
+            n = self[found[0]]
+        else:
+            self.names.append(token)
+            n = len(self.names) - 1
+        self[token] = n
         return n
 
+    def words(self, line: str) -> list[int]:
+        """Numbers of a line's words."""
+        found = [self[t] for t in line.split()]
+        return [self[w] for w in WORD.findall(line)] if -1 in found else found
+
     def fill(self) -> None:
-        if not self.fresh:
-            return
-        end, start = len(self), len(self) - len(self.fresh)
+        end = len(self.names)
         if end > len(self.hashes):
-            self.hashes = np.append(self.hashes, np.empty(end, np.uint64))
-            self.values = np.append(self.values, np.empty((end, KEYS * DRAWN), np.float32), axis=0)
-        for at in range(0, len(self.fresh), 4096):
-            words = self.fresh[at : at + 4096]
+            self.hashes, self.sizes = np.append(self.hashes, np.empty(end, np.uint64)), np.append(self.sizes, np.empty(end, np.int64))
+            self.values = np.append(self.values, np.empty((end, KEYS), np.float32), axis=0)
+        for at in range(self.known, end, 4096):
+            words = self.names[at : min(end, at + 4096)]
             h = np.fromiter(map(_hash, words), np.uint64, len(words))
             with np.errstate(over="ignore"):
-                u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(11)).astype(float)
-            weight = self.weights[_bucket(h)][:, None]
-            self.hashes[start + at : start + at + len(words)] = h
-            self.values[start + at : start + at + len(words)] = -np.log((u + 1) / 2**53) / weight
-        self.fresh = []
+                u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(40)).astype(np.float32)
+            self.hashes[at : at + len(words)] = h
+            self.sizes[at : at + len(words)] = np.fromiter(map(len, words), np.int64, len(words))
+            self.values[at : at + len(words)] = -np.log((u + np.float32(0.5)) / np.float32(1 << 24)) / self.weights[_bucket(h)][:, None]
+        self.known = end
 
 
-def _keys(values: np.ndarray, words: np.ndarray, starts: list[int]) -> np.ndarray:
-    """(lines, KEYS): hash of the words drawn for each key of each line; memory stays bounded for any length of line."""
-    pieces = sorted({*starts, *range(0, len(words), 16384)})
-    least = np.empty((len(pieces), values.shape[1]), np.float32)
+def _keys(values: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(lines, KEYS): hash of the DRAWN words of least value for each key; memory stays bounded for any length of line."""
+    out, ends = np.empty((len(starts), KEYS), np.int64), np.append(starts[1:], len(words))
     a = 0
-    while a < len(pieces):
-        b = a + 1
-        while b < len(pieces) and pieces[b] - pieces[a] < 16384:
-            b += 1
-        end = pieces[b] if b < len(pieces) else len(words)
-        least[a:b] = np.minimum.reduceat(values[words[pieces[a] : end]], [x - pieces[a] for x in pieces[a:b]], axis=0)
-        a = b
-    drawn = np.minimum.reduceat(least, np.searchsorted(pieces, starts), axis=0).view(np.uint32).astype(np.uint64).reshape(len(starts), KEYS, DRAWN)
-    out = np.arange(KEYS, dtype=np.uint64)[None, :]
-    with np.errstate(over="ignore"):
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _PIECE, side="right")))
+        own, at = words[starts[a] : ends[b - 1]], starts[a:b] - starts[a]
+        if len(own) > _PIECE:  # one long line: its words once each
+            own = np.unique(own)
+        v, line = values[own], np.repeat(np.arange(b - a), np.diff(np.append(at, len(own))))
+        key = np.arange(KEYS, dtype=np.uint64)[None, :]
         for k in range(DRAWN):
-            out = pair_hash(out, drawn[:, :, k])
-    return out.view(np.int64)
+            least = np.minimum.reduceat(v, at, axis=0)
+            with np.errstate(over="ignore"):
+                key = pair_hash(key, least.view(np.uint32).astype(np.uint64))
+            if k + 1 < DRAWN:
+                v[v <= least[line]] = np.inf
+        out[a:b] = key.view(np.int64)
+        a = b
+    return out
 
 
 def _shorter(text: str, similarity: float) -> set[str]:
@@ -169,39 +186,49 @@ def _fingerprints(h: np.ndarray, starts: list[int]) -> np.ndarray:
     return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
+def _line_rows(memo: _Draws, flat: list[int], starts: list[int], similarity: float) -> list[pa.Array]:
+    """Columns key, fp, words, size, blocks and variants of the lines whose words are in ``flat``."""
+    memo.fill()
+    words = np.array(flat)
+    h, bounds = memo.hashes[words], np.append(starts, len(flat))
+    counts = np.diff(bounds)
+    sizes = np.add.reduceat(memo.sizes[words], starts) + counts - 1
+    raw, ends = h.tobytes(), bounds.tolist()
+    keys = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(ends, ends[1:])]
+    variants: list[list[int] | None] = [None] * len(starts)
+    for n in np.nonzero((sizes <= SHORT) | (sizes <= LONGER) & (counts <= FEW))[0].tolist():
+        text = DIGIT.sub("0", " ".join([memo.names[w] for w in flat[ends[n] : ends[n + 1]]]))
+        variants[n] = [xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(text, similarity)]
+    drawn = np.ascontiguousarray(_keys(memo.values, words, bounds[:-1]).T)
+    return [pa.array(keys, pa.binary()), pa.array(_fingerprints(h, starts)), pa.array(counts.astype(np.int32)), pa.array(sizes.astype(np.int32)), *map(pa.array, drawn), pa.array(variants, pa.list_(pa.int64()))]
+
+
 def _lines(similarity: float, weights: Broadcast):
+    names = ["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "variants"]
+
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Draws(weights.value)
         for batch in batches:
             if len(memo) > _MEMO:
                 memo = _Draws(weights.value)
-            docs, numbers, keys, prints, sizes, drawn, variants = [], [], [], [], [], [], []
+            docs, numbers, flat, starts = [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                own = [batch.column(n).take(pa.array(docs)) for n in (0, 1)]
+                return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), *_line_rows(memo, flat, starts, similarity)], names=names)
+
             for d, text in enumerate(batch.column(2).to_pylist()):
-                flat, starts = [], []
-                for n, line in enumerate((text or "").split("\n")):
-                    if words := WORD.findall(line.lower()):
-                        starts.append(len(flat))
-                        size = sum(map(len, words)) + len(words) - 1
-                        sizes.append((len(words), size))
+                for n, line in enumerate((text or "").lower().split("\n")):
+                    if words := memo.words(line):
+                        docs.append(d)
                         numbers.append(n)
-                        flat.extend([memo[w] for w in words])
-                        short = size <= SHORT or size <= LONGER and len(words) <= FEW
-                        variants.append([xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(DIGIT.sub("0", " ".join(words)), similarity)] if short else None)
-                if not starts:
-                    continue
-                memo.fill()
-                words = np.array(flat)
-                h = memo.hashes[words]
-                drawn.append(_keys(memo.values, words, starts))
-                prints.append(_fingerprints(h, starts))
-                raw, bounds = h.tobytes(), [*starts, len(flat)]
-                keys += [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(bounds, bounds[1:])]
-                docs += [d] * len(starts)
+                        starts.append(len(flat))
+                        flat += words
+                        if len(flat) > _WORDS:
+                            yield rows()
+                            docs, numbers, flat, starts = [], [], [], []
             if docs:
-                own = [batch.column(n).take(pa.array(docs)) for n in (0, 1)]
-                columns = [*own, pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array(np.concatenate(prints)), *(pa.array(c, pa.int32()) for c in zip(*sizes))]
-                columns += [pa.array(c) for c in np.ascontiguousarray(np.concatenate(drawn).T)] + [pa.array(variants, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "variants"])
+                yield rows()
 
     return lines
 

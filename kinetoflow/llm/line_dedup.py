@@ -4,7 +4,7 @@
    sequence, a 64-bit SimHash of its words and its blocks. Lines with equal keys are one kind; only numbers are shuffled.
 2. Kinds that share a block meet. ``KEYS`` blocks are each the hash of the ``DRAWN`` different words that a weighted min-hash puts first;
    the rarer a word in all texts, the likelier it is drawn, so that neither function words nor a passage that many lines quote
-   brings unlike lines together. Lines of up to ``SHORT`` letters have a block for
+   brings unlike lines together. Lines of up to ``BRIEF`` words also have a block for all but the last of these words. Lines of up to ``SHORT`` letters have a block for
    all they become by as many deletions as edits are allowed, which misses no pair; lines of up to ``FEW`` words and ``LONGER`` letters
    one for what any one deletion leaves, which misses none that one edit parts.
 3. Of kinds that meet, pairs remain whose lengths allow the similarity (exact) and, from ``FIRM`` words on, whose SimHashes differ in at
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -39,10 +40,10 @@ from .components import components
 
 SIMILARITY = 0.8
 HOT = 256
-KEYS, DRAWN = 10, 3
-SHORT, LONGER, FEW = 14, 40, 5
+KEYS, DRAWN = 8, 3
+SHORT, LONGER, FEW, BRIEF = 14, 40, 5, 14
 #: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
-FIRM, WIDE, SHARED = 12, 24, 0.5
+FIRM, WIDE, SHARED = 12, 24, 0.6
 #: Buckets in which words are counted: the table of counts has one size for all inputs.
 BUCKETS = 1 << 18
 #: Lists of lines that are broadcast hold at most so many documents and lines (some 30 MB); beyond, documents are shuffled.
@@ -62,6 +63,11 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(46)).astype(np.int64)
 
 
+def _tokens(texts: pa.Array) -> pa.Array:
+    """Lists of what stands between white space, in lower case; null texts have none."""
+    return pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, seen = np.zeros(BUCKETS, np.int64), Counter()
 
@@ -73,10 +79,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update((text or "").lower().split())
-            if len(seen) > _MEMO:
-                flush()
+        found = _tokens(batch.column(0)).flatten().value_counts()
+        seen.update(dict(zip(found.field(0).to_numpy(zero_copy_only=False), found.field(1).to_numpy().tolist())))
+        if len(seen) > _MEMO:
+            flush()
     flush()
     rows = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(total[rows])], names=["bucket", "n"])
@@ -91,31 +97,36 @@ def word_weights(own: DataFrame) -> np.ndarray:
 
 
 class _Draws(dict):
-    """Number of the word in each token between white space; -1 for a token that holds none or several.
+    """Numbers of the words of each token between white space.
 
     ``names`` has the words, the rows of ``hashes``, ``sizes`` and ``values`` their hashes, lengths and min-hash values.
     """
 
     def __init__(self, weights: np.ndarray) -> None:
-        self.weights, self.names, self.known = weights, [], 0
+        self.weights, self.names, self.known, self.at = weights, [], 0, {}
         self.hashes, self.sizes, self.values = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, KEYS), np.float32)
 
-    def __missing__(self, token: str) -> int:
-        found = (token,) if token.isalpha() else WORD.findall(token)
-        if len(found) != 1:
-            n = -1
-        elif found[0] != token:
-            n = self[found[0]]
-        else:
-            self.names.append(token)
-            n = len(self.names) - 1
-        self[token] = n
-        return n
-
-    def words(self, line: str) -> list[int]:
-        """Numbers of a line's words."""
-        found = [self[t] for t in line.split()]
-        return [self[w] for w in WORD.findall(line)] if -1 in found else found
+    def __missing__(self, token: str) -> list[int]:
+        out = []
+        for word in (token,) if token.isalpha() else WORD.findall(token):
+            n = self.at.get(word)
+            if n is None:
+                n = self.at[word] = len(self.names)
+                self.names.append(word)
+            out.append(n)
+        self[token] = out
+        return out
+
+    def words(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all tokens, in order, and how many words each token has."""
+        coded = tokens.dictionary_encode()
+        lists = [self[t] for t in coded.dictionary.to_numpy(zero_copy_only=False)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        values, first = np.array([w for x in lists for w in x], np.int64), np.cumsum(counts) - counts
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = counts[codes]
+        ends = np.cumsum(n)
+        return values[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
 
     def fill(self) -> None:
         end = len(self.names)
@@ -134,8 +145,11 @@ class _Draws(dict):
 
 
 def _keys(values: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(lines, KEYS): hash of the DRAWN words of least value for each key; memory stays bounded for any length of line."""
-    out, ends = np.empty((len(starts), KEYS), np.int64), np.append(starts[1:], len(words))
+    """(2, lines, KEYS): hash of the DRAWN words of least value for each key, and of these words but the last.
+
+    Memory stays bounded for any length of line.
+    """
+    out, ends = np.empty((2, len(starts), KEYS), np.int64), np.append(starts[1:], len(words))
     a = 0
     while a < len(starts):
         b = max(a + 1, int(np.searchsorted(ends, starts[a] + _PIECE, side="right")))
@@ -150,7 +164,8 @@ def _keys(values: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarr
                 key = pair_hash(key, least.view(np.uint32).astype(np.uint64))
             if k + 1 < DRAWN:
                 v[v <= least[line]] = np.inf
-        out[a:b] = key.view(np.int64)
+                out[1, a:b] = key.view(np.int64)
+        out[0, a:b] = key.view(np.int64)
         a = b
     return out
 
@@ -186,49 +201,48 @@ def _fingerprints(h: np.ndarray, starts: list[int]) -> np.ndarray:
     return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def _line_rows(memo: _Draws, flat: list[int], starts: list[int], similarity: float) -> list[pa.Array]:
-    """Columns key, fp, words, size, blocks and variants of the lines whose words are in ``flat``."""
+def _line_rows(memo: _Draws, words: np.ndarray, starts: np.ndarray, similarity: float) -> list[pa.Array]:
+    """Columns key, fp, words, size, blocks and more blocks of the lines whose words are in ``words``; no line is empty."""
     memo.fill()
-    words = np.array(flat)
-    h, bounds = memo.hashes[words], np.append(starts, len(flat))
+    h, bounds = memo.hashes[words], np.append(starts, len(words))
     counts = np.diff(bounds)
     sizes = np.add.reduceat(memo.sizes[words], starts) + counts - 1
     raw, ends = h.tobytes(), bounds.tolist()
     keys = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(ends, ends[1:])]
-    variants: list[list[int] | None] = [None] * len(starts)
-    for n in np.nonzero((sizes <= SHORT) | (sizes <= LONGER) & (counts <= FEW))[0].tolist():
-        text = DIGIT.sub("0", " ".join([memo.names[w] for w in flat[ends[n] : ends[n + 1]]]))
-        variants[n] = [xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(text, similarity)]
-    drawn = np.ascontiguousarray(_keys(memo.values, words, bounds[:-1]).T)
-    return [pa.array(keys, pa.binary()), pa.array(_fingerprints(h, starts)), pa.array(counts.astype(np.int32)), pa.array(sizes.astype(np.int32)), *map(pa.array, drawn), pa.array(variants, pa.list_(pa.int64()))]
+    drawn, brief = _keys(memo.values, words, starts)
+    more: list[list[int] | None] = [None] * len(starts)
+    for n in np.nonzero(counts <= BRIEF)[0].tolist():
+        more[n] = brief[n].tolist()
+        if sizes[n] <= SHORT or sizes[n] <= LONGER and counts[n] <= FEW:
+            text = DIGIT.sub("0", " ".join([memo.names[w] for w in words[ends[n] : ends[n + 1]].tolist()]))
+            more[n] += [xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(text, similarity)]
+    return [pa.array(keys, pa.binary()), pa.array(_fingerprints(h, starts)), pa.array(counts.astype(np.int32)), pa.array(sizes.astype(np.int32)), *map(pa.array, np.ascontiguousarray(drawn.T)), pa.array(more, pa.list_(pa.int64()))]
 
 
 def _lines(similarity: float, weights: Broadcast):
-    names = ["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "variants"]
+    names = ["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "more"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Draws(weights.value)
         for batch in batches:
             if len(memo) > _MEMO:
                 memo = _Draws(weights.value)
-            docs, numbers, flat, starts = [], [], [], []
-
-            def rows() -> pa.RecordBatch:
-                own = [batch.column(n).take(pa.array(docs)) for n in (0, 1)]
-                return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), *_line_rows(memo, flat, starts, similarity)], names=names)
-
-            for d, text in enumerate(batch.column(2).to_pylist()):
-                for n, line in enumerate((text or "").lower().split("\n")):
-                    if words := memo.words(line):
-                        docs.append(d)
-                        numbers.append(n)
-                        starts.append(len(flat))
-                        flat += words
-                        if len(flat) > _WORDS:
-                            yield rows()
-                            docs, numbers, flat, starts = [], [], [], []
-            if docs:
-                yield rows()
+            split = pc.split_pattern(pc.fill_null(batch.column(2).cast(pa.large_string()), ""), "\n")
+            docs, first = pc.list_parent_indices(split).to_numpy(), split.offsets.to_numpy()
+            numbers = np.arange(len(docs)) - (first - first[0])[docs]
+            tokens = _tokens(split.flatten())
+            flat, n = memo.words(tokens.flatten())
+            words = np.bincount(pc.list_parent_indices(tokens).to_numpy(), weights=n, minlength=len(docs)).astype(np.int64)
+            has = np.nonzero(words)[0]
+            ends = np.cumsum(words[has])
+            at = 0
+            while at < len(has):  # lines of some 50,000 words at a time
+                low = ends[at] - words[has[at]]
+                to = max(at + 1, int(np.searchsorted(ends, low + _WORDS)))
+                own = [batch.column(c).take(pa.array(docs[has[at:to]])) for c in (0, 1)]
+                rows = _line_rows(memo, flat[low : ends[to - 1]], ends[at:to] - words[has[at:to]] - low, similarity)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(numbers[has[at:to]].astype(np.int32)), *rows], names=names)
+                at = to
 
     return lines
 
@@ -250,7 +264,9 @@ def edit_distance(a: str, b: str, most: int) -> int:
         at[c] = at.get(c, 0) | 1 << i
     full, high = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, d = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b), 0, -1), b):
+        if d - left > most:  # each further letter saves one edit at best
+            return most + 1
         eq = at.get(c, 0)
         zero = (((eq & plus) + plus) ^ plus) | eq | minus
         gain, loss = minus | ~(zero | plus) & full, plus & zero
@@ -342,7 +358,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def fuzzy_links(own: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """(a, b): links that connect kinds as all pairs do that share a block and are alike."""
-    rows = kinds.select(F.explode(F.concat(F.array(*_KEYS), F.coalesce("variants", F.array().cast("array<long>")))).alias("block"), "lid")
+    rows = kinds.select(F.explode(F.concat(F.array(*_KEYS), F.coalesce("more", F.array().cast("array<long>")))).alias("block"), "lid")
     heads = rows.groupBy("block").agg(F.min("lid").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     p = kinds.select("lid", F.struct("fp", "words", "size").alias("p"))
     shared = settle(rows.join(heads, "block"), "shared")
@@ -388,10 +404,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     weights = docs.sparkSession.sparkContext.broadcast(word_weights(own))
     id_type = own.schema["id"].dataType.simpleString()
-    fields = f"id {id_type}, mark long, line int, key binary, fp long, words int, size int, {', '.join(k + ' long' for k in _KEYS)}, variants array<long>"
+    fields = f"id {id_type}, mark long, line int, key binary, fp long, words int, size int, {', '.join(k + ' long' for k in _KEYS)}, more array<long>"
     lines = settle(own.mapInArrow(_lines(similarity, weights), fields), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
-    same = [F.any_value(c).alias(c) for c in ("fp", "words", "size", *_KEYS, "variants")]
+    same = [F.any_value(c).alias(c) for c in ("fp", "words", "size", *_KEYS, "more")]
     kinds = lines.groupBy("key").agg(*same, F.min(place).alias("first"), F.count("*").alias("n"))
     kinds = settle(kinds.withColumn("lid", F.monotonically_increasing_id()), "kinds")
     roots = components(fuzzy_links(own, kinds, similarity, hot))

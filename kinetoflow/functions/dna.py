@@ -48,8 +48,7 @@ def tless(seq: Column) -> Column:
 
 def untless(letters_: Column, runs_: Column) -> Column:
     """The sequence again."""
-    split = F.transform(count_to(F.length(letters_)), lambda i: letter(letters_, i))
-    parts = F.zip_with(runs_, split, lambda n, c: F.concat(F.repeat(F.lit("T"), n), F.coalesce(c, F.lit(""))))
+    parts = F.zip_with(runs_, F.split(letters_, ""), lambda n, c: F.concat(F.repeat(F.lit("T"), n), F.coalesce(c, F.lit(""))))
     return F.array_join(parts, "")
 
 
@@ -103,8 +102,9 @@ def strand_slice(s: Column, a: Column, b: Column, strand: Column) -> Column:
 
 def aligned_sequence(letters_: Column, runs_: Column, ref_s: Column, dr: Column) -> Column:
     """Sequence of an alignment: reference letters ref_s .. ref_s + size(dr), each but the last followed by its edited run."""
-    parts = F.transform(count_to(F.size(dr)), lambda j: F.concat(letter(letters_, ref_s + j), F.repeat(F.lit("T"), F.get(dr, j) + F.get(runs_, ref_s + j + 1))))
-    return F.concat(F.array_join(parts, ""), letter(letters_, ref_s + F.size(dr)))
+    own = F.slice(F.split(letters_, ""), ref_s + 1, F.size(dr))
+    edited = F.zip_with(dr, F.slice(runs_, ref_s + 2, F.size(dr)), lambda d, r: F.repeat(F.lit("T"), d + r))
+    return F.concat(F.array_join(F.zip_with(own, edited, lambda c, t: F.concat(c, t)), ""), letter(letters_, ref_s + F.size(dr)))
 
 
 def pair_view(letters_: Column, runs_: Column, ref_s: Column, dr: Column) -> Column:
@@ -141,12 +141,16 @@ def genetic_code(table: str) -> dict[str, tuple[str, bool, bool]]:
     return {c: (a, c in STARTS[table], c in STOPS) for c, a in CODONS.items()} if table in STARTS else {}
 
 
+def codons(seq: Column, frame: int) -> Column:
+    """The codons at frame, frame + 3, ... that end before the last letter."""
+    found = F.regexp_extract_all(F.substring(seq, frame + 1, 2**31 - 1), F.lit("(?s)..."), F.lit(0))
+    return F.slice(found, 1, F.greatest(F.lit(0), F.floor((F.length(seq) - 1 - frame) / 3).cast("int")))
+
+
 def translate_frame(seq: Column, frame: int) -> Column:
     """Amino acids of the codons at frame, frame + 3, ... that end before the last letter; unknown codons give nothing."""
-    n = F.length(seq)
-    places = F.when(n - 4 >= frame, F.sequence(F.lit(frame), n - 4, F.lit(3))).otherwise(F.array().cast("array<int>"))
     code = codon_map()
-    return F.array_join(F.transform(places, lambda i: F.coalesce(F.element_at(code, F.substring(seq, i + 1, F.lit(3))), F.lit(""))), "")
+    return F.array_join(F.transform(codons(seq, frame), lambda c: F.coalesce(F.element_at(code, c), F.lit(""))), "")
 
 
 def longest_orf(seq: Column, table: str = "default") -> Column:
@@ -156,29 +160,26 @@ def longest_orf(seq: Column, table: str = "default") -> Column:
     0 of the sequence; the longest wins, then the lower frame, then the earlier stop. complete: over 30 amino acids.
     """
     starts, stops = F.array(*[F.lit(s) for s in STARTS[table]]), F.array(*[F.lit(s) for s in STOPS])
-    n = F.length(seq)
     best = F.struct(F.lit(0).alias("aa"), F.lit(0).alias("begin"))
-    blank = F.struct(F.lit(-1).alias("start"), F.lit(0).alias("aa"), F.lit(0).alias("begin"))
 
     def in_frame(frame: int) -> Column:
-        places = F.when(n - 4 >= frame, F.sequence(F.lit(frame), n - 4, F.lit(3))).otherwise(F.array().cast("array<int>"))
-
-        def step(acc: Column, i: Column) -> Column:
-            codon = F.substring(seq, i + 1, F.lit(3))
+        def step(acc: Column, codon: Column) -> Column:
+            i = acc["at"]
             is_stop = F.array_contains(stops, codon)
             size = ((i - acc["start"]) / 3).cast("int")
             longer = is_stop & (acc["start"] >= 0) & (size > acc["aa"])
             begun = F.when(is_stop, F.lit(-1)).when((acc["start"] < 0) & (i > 0) & F.array_contains(starts, codon), i).otherwise(acc["start"])
-            return F.struct(begun.alias("start"), F.when(longer, size).otherwise(acc["aa"]).alias("aa"), F.when(longer, acc["start"]).otherwise(acc["begin"]).alias("begin"))
+            return F.struct((i + 3).alias("at"), begun.alias("start"), F.when(longer, size).otherwise(acc["aa"]).alias("aa"), F.when(longer, acc["start"]).otherwise(acc["begin"]).alias("begin"))
 
-        return F.aggregate(places, blank, step, lambda acc: F.struct(acc["aa"].alias("aa"), acc["begin"].alias("begin")))
+        blank = F.struct(F.lit(frame).alias("at"), F.lit(-1).alias("start"), F.lit(0).alias("aa"), F.lit(0).alias("begin"))
+        return F.aggregate(codons(seq, frame), blank, step, lambda acc: F.struct(acc["aa"].alias("aa"), acc["begin"].alias("begin")))
 
     found = F.aggregate(F.array(*[in_frame(f) for f in range(3)]), best, lambda a, x: F.when(x["aa"] > a["aa"], x).otherwise(a))
     code = codon_map()
 
     def out(b: Column) -> Column:
         cds = F.substring(seq, b["begin"] + 1, 3 * (b["aa"] + 1))
-        pep = F.array_join(F.transform(count_to(b["aa"]), lambda i: F.element_at(code, F.substring(seq, b["begin"] + 3 * i + 1, F.lit(3)))), "")
+        pep = F.array_join(F.transform(F.slice(F.regexp_extract_all(cds, F.lit("(?s)..."), F.lit(0)), 1, b["aa"]), lambda c: F.element_at(code, c)), "")
         return F.struct((b["aa"] > 30).alias("complete"), b["begin"].alias("cds_begin"), (3 * (b["aa"] + 1)).alias("cds_len"), cds.alias("cds"), pep.alias("pep"))
 
     return F.element_at(F.transform(F.array(found), out), 1)

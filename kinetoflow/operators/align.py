@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..options import EngineOptions
+from .store import once
 
 #: K-mer rows of references up to which they are broadcast.
 BROADCAST_KMERS = 2_000_000
@@ -33,13 +34,13 @@ def strands(reads: DataFrame, options: EngineOptions = EngineOptions()) -> DataF
     good = reads.where(F.col("seq").isNotNull() & dna.is_dna(F.col("seq")))
     both = good.select("rd_id", F.explode(F.array(F.struct(F.lit(False).alias("reversed"), F.col("seq").alias("seq")), F.struct(F.lit(True).alias("reversed"), dna.revcomp(F.col("seq")).alias("seq")))).alias("s"))
     own = both.select("rd_id", "s.reversed", dna.letters(F.col("s.seq")).alias("letters"), dna.runs(F.col("s.seq")).alias("runs"))
-    return own.where(F.length("letters") > options.min_segment + options.seed)
+    return once(own).where(F.length("letters") > options.min_segment + options.seed)
 
 
 def seed_hits(both: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
     """(rd_id, reversed, pos, ref_idx, p): every k letters a seed, the last full one left out, at each place of a reference with it."""
-    at = both.select("rd_id", "reversed", "letters", F.explode(dna.count_to(F.floor(F.length("letters") / k) - 1)).alias("i"))
-    seeds = at.select("rd_id", "reversed", (F.col("i") * k).alias("pos"), F.substring("letters", F.col("i") * k + 1, F.lit(k)).alias("kmer"))
+    cut = F.transform(dna.count_to(F.floor(F.length("letters") / k) - 1), lambda i: F.substring("letters", i * k + 1, F.lit(k)))
+    seeds = both.select("rd_id", "reversed", F.posexplode(cut).alias("i", "kmer")).select("rd_id", "reversed", (F.col("i") * k).alias("pos"), "kmer")
     few = kmers.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS
     return seeds.join(F.broadcast(kmers) if few else kmers, "kmer").select("rd_id", "reversed", "pos", "ref_idx", "p")
 
@@ -84,7 +85,7 @@ def extend(best: DataFrame, both: DataFrame, refs: DataFrame, options: EngineOpt
     rows = rows.withColumn("budget", budget).withColumn("after", F.filter("mis", lambda y: (y >= F.col("r0")) & (y < F.col("high"))))
     right = F.when(F.col("budget") == 0, F.col("r0")).when(F.size("after") >= F.col("budget"), F.get("after", F.col("budget") - 1) + 1).otherwise(F.col("high"))
     rows = rows.withColumn("right", right).withColumn("mm", F.col("mm_left") + F.least(F.size("after"), F.col("budget")))
-    rows = rows.withColumn("len", F.col("right") - F.col("left")).where((F.col("len") > options.min_segment) & (F.col("len") > options.min_percent / 100.0 * F.col("m")))
+    rows = once(rows.withColumn("len", F.col("right") - F.col("left"))).where((F.col("len") > options.min_segment) & (F.col("len") > options.min_percent / 100.0 * F.col("m")))
     ref_s = F.col("left") + d
     rows = rows.withColumn("ref_s", ref_s).withColumn("ref_e", ref_s + F.col("len"))
     dr = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.get("runs", F.col("left") + i + 1) - F.get("rf_runs", F.col("ref_s") + i + 1))

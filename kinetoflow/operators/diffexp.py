@@ -66,9 +66,9 @@ def exact_p(s1: int, s2: int, n1: int, n2: int, dispersion: float) -> float:
     total = s1 + s2
     if total == 0:
         return 1.0
-    k = np.arange(total + 1)
-    r1, r2 = n1 / dispersion, n2 / dispersion
-    log_p = _log_gamma(k + r1) - _log_gamma(k + 1.0) + _log_gamma(total - k + r2) - _log_gamma(total - k + 1.0)
+    k = np.arange(total, dtype=float)
+    rises = lambda r: np.concatenate(([0.0], np.cumsum(np.log(k + r) - np.log(k + 1))))  # noqa: E731  log of gamma(k + r) / k!, up to a constant
+    log_p = rises(n1 / dispersion) + rises(n2 / dispersion)[::-1]
     log_p -= log_p.max()
     p = np.exp(log_p)
     p /= p.sum()
@@ -117,12 +117,12 @@ def exact_test(counts: DataFrame, conditions: dict[str, str], first: str, second
             yield pd.DataFrame({"key": b["key"], "log_fc": fc, "log_cpm": cpm, "p_value": p})
 
     tested = rows.mapInPandas(test, "key string, log_fc double, log_cpm double, p_value double")
-    # Benjamini-Hochberg over counts of equal p: running sums over distinct rounded values, not over all rows
-    bins = tested.groupBy(F.round("p_value", 9).alias("p")).agg(F.count("*").alias("c"))
+    # Benjamini-Hochberg over counts of equal p: running sums over distinct values, not over all rows
+    bins = tested.groupBy(F.col("p_value").alias("p")).agg(F.count("*").alias("c"))
     up = W.orderBy("p")
     bins = bins.withColumn("rank", F.sum("c").over(up)).withColumn("all", F.sum("c").over(W.partitionBy()))
     bins = bins.withColumn("fdr", F.least(F.lit(1.0), F.min(F.col("p") * F.col("all") / F.col("rank")).over(W.orderBy(F.desc("p")))))
-    return tested.withColumn("p", F.round("p_value", 9)).join(bins.select("p", "fdr"), "p").drop("p")
+    return tested.join(bins.select(F.col("p").alias("p_value"), "fdr"), "p_value").select(*tested.columns, "fdr")
 
 
 def top(tested: DataFrame, n: int = 10) -> DataFrame:

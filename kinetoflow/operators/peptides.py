@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,28 +9,14 @@ from ..functions import dna
 
 
 def kmer_graph(peptides: DataFrame, k: int = 8) -> DataFrame:
-    """(set, k1, k2, weight): edges between adjacent k-mers of the peptides (set, ord, pep) of each set.
+    """(set, k1, k2, weight): how often the k-mer k1 is directly followed by k2 in the peptides (set, pep) of each set.
 
-    Peptides come in the order of ``ord``; each takes the first of the frames 0 .. k in which most of its k-mers are already
-    nodes. The fold depends on the order, so a set is one group; sets are independent.
+    All places of all peptides count, so neither the order of peptides nor a choice of frame matters. Peptides that are null or
+    shorter than 2 k have no edges.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes: set[str] = set()
-        edges: dict[tuple[str, str], int] = {}
-        for pep in rows.sort_values(["ord", "pep"])["pep"]:
-            pep = pep or ""
-            last = len(pep) - k
-            seen = [sum(pep[i : i + k] in nodes for i in range(f, last, k)) for f in range(k + 1)]
-            for i in range(seen.index(max(seen)), last, k):
-                a, b = pep[i : i + k], pep[i + k : i + 2 * k]
-                nodes.update((a, b))
-                edges[a, b] = edges.get((a, b), 0) + 1
-        name = rows["set"].iloc[0]
-        return pd.DataFrame([(name, a, b, n) for (a, b), n in edges.items()], columns=["set", "k1", "k2", "weight"])
-
-    kind = peptides.schema["set"].dataType.simpleString()
-    return peptides.select("set", "ord", "pep").groupBy("set").applyInPandas(fold, f"set {kind}, k1 string, k2 string, weight long")
+    at = peptides.select("set", "pep", F.explode(dna.count_to(F.length("pep") - (2 * k - 1))).alias("i"))
+    pairs = at.select("set", F.substring("pep", F.col("i") + 1, F.lit(k)).alias("k1"), F.substring("pep", F.col("i") + (k + 1), F.lit(k)).alias("k2"))
+    return pairs.groupBy("set", "k1", "k2").agg(F.count("*").alias("weight"))
 
 
 def pen_width(weight: Column, least: int = 2) -> Column:
@@ -54,7 +39,7 @@ def main_nodes(graph: DataFrame, main: DataFrame, k: int = 8) -> DataFrame:
 
 
 def check_proteins(proteins: DataFrame, cds: DataFrame) -> DataFrame:
-    """(name, found, fits): whether a protein (name, seq) has a coding sequence of its name, and of three times its length.
+    """(name, found, fits), with other columns of the proteins: whether a protein (name, seq) has a coding sequence of its name, and of three times its length.
 
     Gaps do not count. Of coding sequences with one name that with the smallest ``ord`` is taken.
     """
@@ -62,7 +47,7 @@ def check_proteins(proteins: DataFrame, cds: DataFrame) -> DataFrame:
     first = cds.groupBy("name").agg(F.min_by(size("seq"), "ord").alias("cds_len"))
     rows = proteins.join(first, "name", "left")
     fits = F.floor(F.col("cds_len") / 3) == size("seq")
-    return rows.select("name", F.col("cds_len").isNotNull().alias("found"), F.coalesce(fits, F.lit(False)).alias("fits"))
+    return rows.select(*[c for c in proteins.columns if c != "seq"], F.col("cds_len").isNotNull().alias("found"), F.coalesce(fits, F.lit(False)).alias("fits"))
 
 
 def circos_links(forward: DataFrame, reverse: DataFrame, lengths: DataFrame) -> DataFrame:

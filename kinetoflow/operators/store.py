@@ -5,6 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed before anything after it: a filter on them is not pushed below, where it would repeat their expressions."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def keep(df: DataFrame) -> DataFrame:

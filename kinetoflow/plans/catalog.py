@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -51,20 +52,20 @@ def tless_roundtrip(spark, d):
 
 
 @query(sql(f"""select doc_id, p, p + cast(list_sum(runs[1:p + 1]) as bigint) as place, p as back from (
-  select doc_id, seq, runs, unnest(range(0, length(replace(seq, 'T', '')), 50)) as p from (select doc_id, seq, {RUNS.format(s='seq')} as runs from docs_dna))""", "docs_dna"))
+  select doc_id, seq, runs, unnest(range(0, length(replace(seq, 'T', '')))) as p from (select doc_id, seq, {RUNS.format(s='seq')} as runs from docs_dna))""", "docs_dna"))
 def tless_places(spark, d):
-    """Every fiftieth letter of each document: its place in the sequence, and the letter of that place again."""
-    rows = inputs.docs_dna(spark, d).withColumn("n", F.length(dna.letters(F.col("seq")))).withColumn("runs", dna.runs(F.col("seq")))
-    rows = rows.select("doc_id", "seq", "runs", F.explode(F.transform(dna.count_to(F.ceil(F.col("n") / 50)), lambda i: i * 50)).alias("p"))
-    rows = rows.withColumn("place", dna.seq_place(F.col("runs"), F.col("p")).cast("long"))
-    return rows.select("doc_id", "p", "place", dna.letter_place(F.col("seq"), F.col("place")).alias("back"))
+    """Every letter of each document: its place in the sequence, and how many letters stand before that place."""
+    rows = inputs.docs_dna(spark, d).select("doc_id", F.posexplode(dna.runs(F.col("seq"))).alias("p", "run"), F.length(dna.letters(F.col("seq"))).alias("n")).where("p < n")
+    place = (F.col("p") + F.sum("run").over(W.partitionBy("doc_id").orderBy("p"))).cast("long")
+    rows = rows.select("doc_id", "p", place.alias("place"))
+    return rows.select("doc_id", "p", "place", (F.row_number().over(W.partitionBy("doc_id").orderBy("place")) - 1).alias("back"))
 
 
-@query(sql("""select d.doc_id, reverse(translate(s.seq, 'ACGT', 'TGCA')) as rc, reverse(translate(regexp_replace(substr(d.text, 1, 200), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rc_head from documents d join docs_dna s using (doc_id)""", "docs_dna"))
+@query(sql("""select d.doc_id, reverse(translate(s.seq, 'ACGT', 'TGCA')) as rc, reverse(translate(regexp_replace(d.text, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rc_all from documents d join docs_dna s using (doc_id)""", "docs_dna"))
 def revcomp(spark, d):
-    """Reverse complements: of the known letters of a document, and of its first 200 characters with others as N."""
+    """Reverse complements: of the known letters of a document, and of all its characters with others as N."""
     rows = inputs.table(spark, d, "documents").select("doc_id", "text")
-    return rows.select("doc_id", dna.revcomp_known(dna.upper_dna(F.col("text"))).alias("rc"), dna.revcomp(F.substring("text", 1, 200)).alias("rc_head"))
+    return rows.select("doc_id", dna.revcomp_known(dna.upper_dna(F.col("text"))).alias("rc"), dna.revcomp(F.col("text")).alias("rc_all"))
 
 
 @query("select doc_id, not regexp_matches(upper(text), '[^ACGT]') as is_dna, length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) as known from documents")
@@ -524,12 +525,11 @@ def kmer_library(spark, d):
 
 
 @query(sql("""select rd_id, gseq, supported, max_support from (select rd_id, gseq, count(n) as supported, coalesce(max(n), 0) as max_support from (
-  select rd_id, gseq, substr(gseq, i + 2, 16) as kmer from (select rd_id, substr(seq, 6, 36) as gseq, unnest(range(0, length(substr(seq, 6, 36)) - 18)) as i from reads)) left join (select * from lib where n >= 2) using (kmer) group by rd_id, gseq) where supported >= length(gseq) - 19""", "crypto", "reads", recursive=_LIB).replace("with recursive", "with", 1))
+  select rd_id, gseq, substr(gseq, i + 2, 16) as kmer from (select rd_id, seq as gseq, unnest(range(0, length(seq) - 18)) as i from reads)) left join (select * from lib where n >= 2) using (kmer) group by rd_id, gseq) where supported >= length(gseq) - 19""", "crypto", "reads", recursive=_LIB).replace("with recursive", "with", 1))
 def kmer_verify(spark, d):
-    """Heads of reads, as guides, that the library of all reads supports."""
+    """Reads, as guides, that the library of all reads supports."""
     reads = inputs.sim_reads(spark, d)
-    heads = reads.select(F.col("rd_id").alias("guide"), F.substring("seq", 6, 36).alias("gseq"))
-    return kmers.verify(heads, kmers.library(reads)).withColumnRenamed("guide", "rd_id")
+    return kmers.verify(reads.select(F.col("rd_id").alias("guide"), F.col("seq").alias("gseq")), kmers.library(reads)).withColumnRenamed("guide", "rd_id")
 
 
 # --- features, links, peptides -------------------------------------------------------------------------------------------
@@ -556,14 +556,15 @@ def gff_slice(spark, d):
     return rows.select("p_partkey", dna.strand_slice(F.col("seq"), s, s + F.col("p_size") + 9, strand).alias("seq"))
 
 
-@query("""select p.name, c.n is not null as found, coalesce(c.n // 3 = length(replace(p.seq, '-', '')), false) as fits from (select source || ':' || lang as name, left(text, 30) as seq, doc_id from documents) p
-  left join (select name, arg_min(length(replace(seq, '-', '')), ord) as n from (select source || ':' || lang as name, left(text, 90) as seq, doc_id as ord from documents where doc_id % 3 = 0) group by name) c on p.name = c.name""")
+@query(sql("""select p.doc_id, p.name, c.n is not null as found, coalesce(c.n // 3 = p.aa, false) as fits
+  from (select doc_id, source || ':' || lang as name, greatest(0, (length(seq) - 1) // 3) as aa from docs_dna join documents using (doc_id)) p
+  left join (select source || ':' || lang as name, arg_min(length(seq), doc_id) as n from docs_dna join documents using (doc_id) group by 1) c on p.name = c.name""", "docs_dna"))
 def pep_cds_check(spark, d):
-    """Documents' heads as proteins against the first third-of-ids document of their source and language as coding sequence."""
-    docs = inputs.table(spark, d, "documents").select(F.concat_ws(":", "source", "lang").alias("name"), "text", "doc_id")
-    proteins = docs.select("name", F.substring("text", 1, 30).alias("seq"))
-    cds = docs.where("doc_id % 3 = 0").select("name", F.substring("text", 1, 90).alias("seq"), F.col("doc_id").alias("ord"))
-    return peptides.check_proteins(proteins, cds)
+    """Documents' translations as proteins against the first document of their source and language as coding sequence."""
+    names = inputs.table(spark, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit(":"), F.col("lang")).alias("name"))
+    docs = inputs.docs_dna(spark, d).join(names, "doc_id")
+    proteins = docs.select("name", dna.translate_frame(F.col("seq"), 0).alias("seq"), "doc_id")
+    return peptides.check_proteins(proteins, docs.select("name", "seq", F.col("doc_id").alias("ord")))
 
 
 @query("""with hits as (select l_partkey, cast(l_linenumber as bigint) as gl, cast(l_linenumber as bigint) + cast(l_quantity as bigint) as gr, l_suppkey, l_orderkey, l_returnflag from lineitem)
@@ -584,10 +585,12 @@ def circos_karyotype(spark, d):
 def _peptides(spark, d):
     docs = inputs.docs_dna(spark, d)
     sets = inputs.table(spark, d, "documents").select("doc_id", F.concat_ws(":", "source", "lang").alias("set"))
-    return docs.join(sets, "doc_id").select("set", F.col("doc_id").alias("ord"), dna.translate_frame(F.col("seq"), 0).alias("pep"))
+    return docs.join(sets, "doc_id").select("set", dna.translate_frame(F.col("seq"), 0).alias("pep"))
 
 
-@query()
+@query(sql(f"""select s as set, substr(pep, i + 1, 4) as k1, substr(pep, i + 5, 4) as k2, count(*) as weight, case when count(*) < 2 then 1.0 when count(*) < 5 then 3.0 when count(*) < 10 then 4.0 when count(*) < 20 then 6.0 when count(*) < 30 then 8.0 else 10.0 end::double as width from (
+  select s, pep, unnest(range(0, length(pep) - 7)) as i from (
+    select concat_ws(':', source, lang) as s, array_to_string(list_transform(range(0, greatest(0, (length(seq) - 1) // 3)), lambda j: map {{{', '.join(f"'{c}': '{a}'" for c, a in dna.CODONS.items())}}}[substr(seq, 3 * j + 1, 3)]), '') as pep from docs_dna join documents using (doc_id))) group by 1, 2, 3""", "docs_dna"))
 def pep_kmer_graph(spark, d):
     """K-mer graph of the documents' translations, for each source and language, with pen widths."""
     return peptides.kmer_graph(_peptides(spark, d), 4).withColumn("width", peptides.pen_width(F.col("weight")))

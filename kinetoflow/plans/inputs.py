@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import align
+from ..operators.store import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ def edited(keys: DataFrame, refs: DataFrame) -> DataFrame:
         e = F.when((p * 31 + g * 17) % 7 == 0, (p + g) % 5 + 1).when((p * 13 + g) % 11 == 0, -1).otherwise(0)
         return F.concat(dna.letter(F.col("letters"), p), F.repeat(F.lit("T"), F.greatest(F.lit(0), F.get("runs", p + 1) + e)))
     seq = F.concat(F.array_join(F.transform(dna.count_to(F.col("m")), part), ""), dna.letter(F.col("letters"), F.col("s") + F.col("m")))
-    return rows.select("rd_id", "k", seq.alias("seq"))
+    return once(rows.select("rd_id", "k", seq.alias("seq")))
 
 
 def sim_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def sim_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edited(keys, crypto(spark, sf_dir)).repartition("rd_id")  # a shuffle, so that no later step makes the reads again
     changed = F.when(F.col("k") % 5 == 0, F.concat(F.substring("seq", 1, 30), F.translate(F.substring("seq", 31, 1), "ACGT", "CGAA"), F.expr("substring(seq, 32)"))).otherwise(F.col("seq"))
     rows = rows.withColumn("seq", changed)
-    return rows.select("rd_id", F.when(F.col("rd_id") % 3 == 0, dna.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return once(rows.select("rd_id", F.when(F.col("rd_id") % 3 == 0, dna.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq")))
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

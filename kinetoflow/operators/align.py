@@ -70,9 +70,11 @@ def extend(best: DataFrame, both: DataFrame, refs: DataFrame, options: EngineOpt
     rows = best.join(both, ["rd_id", "reversed"]).join(F.broadcast(side) if refs.limit(10_001).count() <= 10_000 else side, "ref_idx")
     rows = rows.withColumn("d", F.col("p") - F.col("pos")).withColumn("m", F.length("letters"))
     rows = rows.withColumn("low", F.greatest(F.lit(0), -F.col("d"))).withColumn("high", F.least(F.col("m") - 1, F.length("rf") - 1 - F.col("d")))
-    d = F.col("d")
-    mis = F.filter(F.sequence("low", "high"), lambda x: dna.letter(F.col("letters"), x) != dna.letter(F.col("rf"), x + d))
-    rows = rows.withColumn("mis", mis)
+    d, n = F.col("d"), F.col("high") - F.col("low") + 1
+    # letters of both sides as arrays, cut out once: a substring of the reference for every letter would read it from its start
+    rows = rows.withColumn("own", F.split(F.substring("letters", F.col("low") + 1, n), "")).withColumn("its", F.split(F.substring("rf", F.col("low") + d + 1, n), ""))
+    mis = F.filter(F.sequence("low", "high"), lambda x: F.get("own", x - F.col("low")) != F.get("its", x - F.col("low")))
+    rows = once(rows.drop("letters", "rf").withColumn("mis", mis).drop("own", "its"))
     before = F.reverse(F.filter("mis", lambda x: (x <= F.col("pos")) & (x > F.col("low"))))
     after_seed = F.array_min(F.filter("mis", lambda x: x > F.col("pos") + F.col("covered") - 1))
     rows = rows.withColumn("before", before).withColumn("r0", F.coalesce(after_seed - 1, F.col("high")))
@@ -88,7 +90,7 @@ def extend(best: DataFrame, both: DataFrame, refs: DataFrame, options: EngineOpt
     rows = once(rows.withColumn("len", F.col("right") - F.col("left"))).where((F.col("len") > options.min_segment) & (F.col("len") > options.min_percent / 100.0 * F.col("m")))
     ref_s = F.col("left") + d
     rows = rows.withColumn("ref_s", ref_s).withColumn("ref_e", ref_s + F.col("len"))
-    dr = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.get("runs", F.col("left") + i + 1) - F.get("rf_runs", F.col("ref_s") + i + 1))
+    dr = F.zip_with(F.slice("runs", F.col("left") + 2, F.col("len")), F.slice("rf_runs", F.col("ref_s") + 2, F.col("len")), lambda x, y: x - y)
     rows = rows.withColumn("dr", dr)
     esd = F.size(F.filter("dr", lambda x: x != 0))
     return rows.select("ref_idx", "rd_id", "reversed", "ref_s", "ref_e", "dr", "mm", esd.alias("esd"), (F.col("mm") == 0).alias("exact"), (esd == 0).alias("match_ref"))

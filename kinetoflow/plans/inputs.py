@@ -46,11 +46,12 @@ def edited(keys: DataFrame, refs: DataFrame) -> DataFrame:
     """(rd_id, k, seq): the read of crypto that key k stands for."""
     rows = keys.crossJoin(F.broadcast(refs.select("letters", "runs", F.length("letters").alias("n"))))
     rows = rows.withColumn("s", (F.col("k") * 7919 % (F.col("n") - 60)).cast("int")).withColumn("m", (40 + F.col("k") % 21).cast("int")).withColumn("g", (F.col("k") % 4).cast("int"))
+    rows = once(rows.withColumn("letters", F.substring("letters", F.col("s") + 1, F.col("m") + 1)).withColumn("runs", F.slice("runs", F.col("s") + 1, F.col("m") + 2)))
     def part(j: Column) -> Column:
         p, g = F.col("s") + j, F.col("g")
         e = F.when((p * 31 + g * 17) % 7 == 0, (p + g) % 5 + 1).when((p * 13 + g) % 11 == 0, -1).otherwise(0)
-        return F.concat(dna.letter(F.col("letters"), p), F.repeat(F.lit("T"), F.greatest(F.lit(0), F.get("runs", p + 1) + e)))
-    seq = F.concat(F.array_join(F.transform(dna.count_to(F.col("m")), part), ""), dna.letter(F.col("letters"), F.col("s") + F.col("m")))
+        return F.concat(dna.letter(F.col("letters"), j), F.repeat(F.lit("T"), F.greatest(F.lit(0), F.get("runs", j + 1) + e)))
+    seq = F.concat(F.array_join(F.transform(dna.count_to(F.col("m")), part), ""), dna.letter(F.col("letters"), F.col("m")))
     return once(rows.select("rd_id", "k", seq.alias("seq")))
 
 

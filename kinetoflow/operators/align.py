@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..options import EngineOptions
-from .store import once
+from .store import once, spread
 
 #: K-mer rows of references up to which they are broadcast.
 BROADCAST_KMERS = 2_000_000
@@ -72,9 +72,9 @@ def extend(best: DataFrame, both: DataFrame, refs: DataFrame, options: EngineOpt
     rows = rows.withColumn("low", F.greatest(F.lit(0), -F.col("d"))).withColumn("high", F.least(F.col("m") - 1, F.length("rf") - 1 - F.col("d")))
     d, n = F.col("d"), F.col("high") - F.col("low") + 1
     # letters of both sides as arrays, cut out once: a substring of the reference for every letter would read it from its start
-    rows = rows.withColumn("own", F.split(F.substring("letters", F.col("low") + 1, n), "")).withColumn("its", F.split(F.substring("rf", F.col("low") + d + 1, n), ""))
-    mis = F.filter(F.sequence("low", "high"), lambda x: F.get("own", x - F.col("low")) != F.get("its", x - F.col("low")))
-    rows = once(rows.drop("letters", "rf").withColumn("mis", mis).drop("own", "its"))
+    own, its = F.split(F.substring("letters", F.col("low") + 1, n), ""), F.split(F.substring("rf", F.col("low") + d + 1, n), "")
+    unlike = F.transform(F.zip_with(own, its, lambda x, y: x != y), lambda u, i: F.when(u, F.col("low") + i))
+    rows = once(rows.withColumn("mis", F.filter(unlike, lambda x: x.isNotNull())).drop("letters", "rf"))
     before = F.reverse(F.filter("mis", lambda x: (x <= F.col("pos")) & (x > F.col("low"))))
     after_seed = F.array_min(F.filter("mis", lambda x: x > F.col("pos") + F.col("covered") - 1))
     rows = rows.withColumn("before", before).withColumn("r0", F.coalesce(after_seed - 1, F.col("high")))
@@ -108,7 +108,7 @@ def align(reads: DataFrame, refs: DataFrame, options: EngineOptions = EngineOpti
     ``reads`` has rd_id and seq, ``refs`` ref_idx and seq (letters and runs are added). Empty tables give no rows.
     """
     own = refs if "runs" in refs.columns else encode_refs(refs)
-    both = strands(reads, options).repartition("rd_id")
+    both = spread(strands(reads, options), "rd_id")
     hits = seed_hits(both, index_kmers(own, options.seed), options.seed)
     return pick_strand(extend(best_chains(seed_chains(hits, options.seed)), both, own, options))
 

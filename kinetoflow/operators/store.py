@@ -13,6 +13,11 @@ def once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many partitions as the session shuffles to: few bytes with much work on each stay parallel."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder that ``spark.checkpoint.dir`` names; cached where none is set."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import align
-from ..operators.store import once
+from ..operators.store import once, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,7 @@ def edited(keys: DataFrame, refs: DataFrame) -> DataFrame:
 
 def sim_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rd_id"), F.floor(F.col("c_custkey") / 2).alias("k"))
-    rows = edited(keys, crypto(spark, sf_dir)).repartition("rd_id")  # a shuffle, so that no later step makes the reads again
+    rows = spread(edited(spread(keys, "rd_id"), crypto(spark, sf_dir)), "rd_id")  # a shuffle, so that no later step makes the reads again
     changed = F.when(F.col("k") % 5 == 0, F.concat(F.substring("seq", 1, 30), F.translate(F.substring("seq", 31, 1), "ACGT", "CGAA"), F.expr("substring(seq, 32)"))).otherwise(F.col("seq"))
     rows = rows.withColumn("seq", changed)
     return once(rows.select("rd_id", F.when(F.col("rd_id") % 3 == 0, dna.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq")))

@@ -18,10 +18,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a folder of our own is made and set.
+    Only where that is unset on a local master (tests) a folder of our own is made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -36,10 +38,15 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    """Bound what one Arrow batch of whole texts can hold: ``rows``, or the session's own number if that is less.
+
+    The session's own number is kept beside it, so that an operator with small batches does not narrow those of the next.
+    """
+    key, own = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.kinetoflow.ownRecordsPerBatch"
+    if spark.conf.get(own, None) is None:
+        spark.conf.set(own, spark.conf.get(key))
+    most = int(spark.conf.get(own))
+    spark.conf.set(key, str(min(most, rows) if most > 0 else rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

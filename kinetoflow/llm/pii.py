@@ -14,7 +14,10 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import string
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import settle, small_batches
 
-KEY = b"surrogate-key-1"
 _MEMO = 200_000
 _MOST_ROUNDS = 200
 
@@ -57,6 +59,8 @@ ENDINGS = {"latin": {"n": "ton ley ford mann son well er".split()}, "cyrillic":
 _UPPER = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ"
 NAME = rf"[{_UPPER}]\w+(?:['’-]\w+)?"
 TITLED = re.compile(rf"\b({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({NAME})(?: ({NAME}))?")
+#: What comes right before a full name of any two capitalised words.
+CUE = re.compile(rf"\b(?:[Mm]y name is|[Mm]eet|[Ss]igned(?: by)?|[Ww]ritten by|[Rr]egards|[Ss]incerely|[Cc]ontact|[Aa]uthor|[Nn]ame|[Pp]atient|[Cc]ustomer)[,:]?\s+({NAME}) ({NAME})(?: and ({NAME}) ({NAME}))?")
 PAIR = re.compile(rf"\b({NAME}) (?=({NAME}))")
 GENDER = {name: (script, gender) for (script, gender), names in FIRST_NAMES.items() for name in names}
 
@@ -69,35 +73,65 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
-def permute(x: int, size: int, tweak: str, key: bytes) -> int:
-    """Keyed permutation of range(size)."""
+def _stream(x: int, bits: int, label: str, key: bytes) -> int:
+    """Keyed hash of ``x`` of as many bits as asked for."""
+    raw, out = label.encode("utf-8", "surrogatepass") + b"|" + x.to_bytes((bits + 7) // 8 + 1, "big"), b""
+    for n in range((bits + 511) // 512):
+        out += hashlib.blake2b(raw + n.to_bytes(4, "big"), key=key, digest_size=64).digest()
+    return int.from_bytes(out, "big") & ((1 << bits) - 1)
+
+
+def permute(x: int, size: int, tweak: str, key: bytes, back: bool = False) -> int:
+    """Keyed permutation of range(size), a Feistel network with halves of any length; ``back`` undoes it."""
     if size < 2:
         return x
-    half = max(1, (size - 1).bit_length() + 1) // 2
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     while True:
         left, right = x >> half, x & mask
-        for r in range(8):
-            f = hashlib.blake2b(f"{r}|{tweak}|{right}".encode(), key=key, digest_size=32).digest()
-            left, right = right, left ^ (int.from_bytes(f, "big") & mask)
+        for r in range(7, -1, -1) if back else range(8):
+            if back:
+                left, right = right ^ _stream(left, half, f"{r}|{tweak}", key), left
+            else:
+                left, right = right, left ^ _stream(right, half, f"{r}|{tweak}", key)
         x = left << half | right
         if x < size:
             return x
 
 
-_CLASSES = {c: s for s in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in s}
+def move(x: int, size: int, tweak: str, key: bytes) -> int:
+    """Keyed permutation of range(size) in one cycle: nothing stays where it is, if size is over 1."""
+    return permute((permute(x, size, tweak, key) + 1) % size, size, tweak, key, back=True)
+
+
+@lru_cache(4096)
+def _class(c: str) -> str:
+    """Characters that may stand for ``c``: for a letter or digit outside ASCII those of its category in its 256 code points."""
+    if c in "0123456789":
+        return "0123456789"
+    if c.isascii():
+        return string.ascii_lowercase if c.islower() else string.ascii_uppercase if c.isupper() else ""
+    kind = unicodedata.category(c)
+    if kind not in ("Lu", "Ll", "Lo", "Lt", "Nd"):
+        return ""
+    first = ord(c) & ~0xFF
+    same = "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind)
+    return same if len(same) > 1 else ""
 
 
 def same_format(text: str, kind: str, key: bytes, hexes: bool = False, fine: Callable[[str], bool] = lambda _: True) -> str:
-    """Permute ``text`` among the strings with its character classes for which ``fine`` holds (as it must for ``text``)."""
-    sets = [("0123456789abcdef" if c in "0123456789abcdef" else "") if hexes else _CLASSES.get(c, "") for c in text]
+    """Move ``text`` among the strings with its character classes for which ``fine`` holds (as it must for ``text``).
+
+    One to one, and never ``text`` itself unless it is the only such string.
+    """
+    sets = [("0123456789abcdef" if c in "0123456789abcdef" else "") if hexes else _class(c) for c in text]
     x, size = 0, 1
     for c, s in zip(text, sets):
         if s:
             x, size = x * len(s) + s.index(c), size * len(s)
-    shape = kind + "|" + "".join(c if not s else {10: "d", 16: "h"}.get(len(s), "U" if s[0] == "A" else "l") for c, s in zip(text, sets))
+    shape = kind + "|" + "".join(c if not s else {"0123456789": "d", "0123456789abcdef": "h"}.get(s, s[0]) for c, s in zip(text, sets))
     while True:
-        x = permute(x, size, shape, key)
+        x = move(x, size, shape, key)
         rest, out = x, []
         for c, s in zip(reversed(text), reversed(sets)):
             if s:
@@ -140,7 +174,7 @@ def _ip(text: str, key: bytes) -> str:
         x = 0
         for v in o[keep:]:
             x = x * 256 + v
-        x = permute(x, 256 ** (4 - keep), "ip" + ".".join(map(str, o[:keep])), key)
+        x = move(x, 256 ** (4 - keep), "ip" + ".".join(map(str, o[:keep])), key)
         o[keep:] = [x >> 8 * k & 255 for k in range(3 - keep, -1, -1)]
         if net(o) == keep:
             return ".".join(map(str, o))
@@ -223,6 +257,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             found.append((*m.span(3), "name", _surname(m[3], gender if gender != "n" else (known or ("", "n"))[1])))
         else:
             found.append((*m.span(2), "name", _surname(m[2], gender)))
+    for m in CUE.finditer(text):
+        for g in (1, 3):
+            if m[g]:
+                known = GENDER.get(m[g])
+                found.append((*m.span(g), "first" if known else "name", "/".join(known or (script_of(m[g]), "n"))))
+                found.append((*m.span(g + 1), "name", _surname(m[g + 1], (known or ("", "n"))[1])))
     for m in PAIR.finditer(text):
         if (known := GENDER.get(m[1])) is not None:
             found.append((*m.span(1), "first", "/".join(known)))
@@ -310,7 +350,7 @@ def replace(text: str, key: bytes, memo: dict, draws: dict[str, str] | None = No
     return "".join([*parts, text[at:]]), len(found)
 
 
-def name_exceptions(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def name_exceptions(docs: DataFrame, text_col: str = "text", *, key: bytes) -> DataFrame:
     """(name, surrogate, mark): built names that do not keep their first draw, with the hash of each text that has them.
 
     Names are compared over the whole corpus, as ``script/gender/name``. A name whose draw is another's surrogate, or is
@@ -345,15 +385,15 @@ def name_exceptions(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -
     return seen.join(odd, "name").select("name", "surrogate", "mark").distinct()
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: bytes) -> DataFrame:
     """(id, text, n_replaced): every text with surrogates for its entities.
 
     Null texts stay null with 0 replaced, empty and clean texts stay as they are. Repeated rows give equal results; null ids stay
-    null; an empty table gives no rows; other columns are ignored. Equal entities get equal surrogates in all
+    null; an empty table gives no rows; other columns are ignored. ``key`` is secret: who has it can undo formats. Equal entities get equal surrogates in all
     documents, different ones of one kind different surrogates.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    odd = name_exceptions(docs, text_col, key).groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("name", "surrogate"))).alias("draws"))
+    odd = name_exceptions(docs, text_col, key=key).groupBy("mark").agg(F.map_from_entries(F.collect_set(F.struct("name", "surrogate"))).alias("draws"))
     odd = settle(odd, "odd")
     joined = own.withColumn("draws", F.lit(None).cast("map<string,string>")) if odd.isEmpty() else own.join(odd, "mark", "left")
 

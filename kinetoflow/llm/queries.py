@@ -39,7 +39,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data and secrets."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.kinetoflow.surrogate.key", "a key for trials only")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=key.encode())
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

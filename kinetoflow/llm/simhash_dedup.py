@@ -7,6 +7,9 @@ one has the differing bit set, so changing set bits alone reaches every pair: ab
 place of 2 * 33, or of the 2,081 that balls of radius 2 over all 64 bits would take. Rows meet by a shuffle on the variant;
 colliding pairs are deduplicated and verified by their Hamming distance.
 
+Growth: N distinct fingerprints put N / 2^32 of them on a half by chance, so that one meets about 34 N / 2^32 others: 8 at 10^9. The
+links that result are the same for every value of ``HOT``; the tests run with 1, where all fingerprints go by 64-bit balls.
+
 A half shared by very many distinct fingerprints would pair quadratically. Fingerprints of such hot variants go
 another, equally exact way: balls over all 64 bits, and a star in place of pairs (see ``_hub_links``).
 """

@@ -344,6 +344,14 @@ def overlap_edges(spark, d):
     return _graph(spark, d)[1]
 
 
+@query(sql("select e.ref_idx, src, dst, overlap, extend, d.esd as value from edges e join dedup d on e.ref_idx = d.ref_idx and e.dst = d.rd_id", *_EDGES))
+def overlap_edges_editing(spark, d):
+    """Edges that prefer the next read with most edited sites."""
+    found, _ = inputs.alignments(spark, d)
+    options = EngineOptions(mode="editing")
+    return assembly.overlap_edges(assembly.nodes(found, options), options)
+
+
 @query(sql("select ref_idx, src, dst, overlap, extend, value, rank from ranked where rank <= 3", *_EDGES))
 def topk_edges(spark, d):
     return assembly.top_edges(_graph(spark, d)[1], 3)

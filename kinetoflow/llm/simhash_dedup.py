@@ -22,40 +22,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import count_at_most, settle, small_batches
 from .components import components
 
 RADIUS = 3
 #: Fingerprints at one variant from which on it is hot.
 HOT = 256
+#: By similarity: min-hashes of a text, bits of the fingerprint below each, and the bits in which whole fingerprints may differ (0.8 alike: 9.7 on average, deviation 2.9).
+TABLES, PIECE, WIDE = 8, 12, 22
+#: Rounds in which a kind is compared with one hub, before all pairs that are still apart.
+ROUNDS = 2
+#: Most rows (two longs each) that are broadcast to fetch texts.
+BROADCAST_KINDS = 1_000_000
 
 
-def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+def _shingle_hashes(text: str | None, words: int, seed: int):
+    """XXH64 of each shingle of ``words`` words, in arrays of at most 65,536; one of the whole sequence if it is shorter, none without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     n = max(1, len(parts) - words + 1)
     hash64 = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):  # memory stays bounded for any length of text
         low, high = starts[at : min(n, at + 65536)], ends[words - 1 :][at : at + 65536] if len(parts) >= words else ends[-1:]
-        h = np.fromiter((hash64(joined[i:j], seed) for i, j in zip(low.tolist(), (high - 1).tolist())), np.uint64, len(low))
+        yield np.fromiter((hash64(joined[i:j], seed) for i, j in zip(low.tolist(), (high - 1).tolist())), np.uint64, len(low))
+
+
+def _majority(hashes) -> int:
+    """The bits that over half of all hashes have; 0 without hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * ones > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def text_fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return _majority(_shingle_hashes(text, words, seed))
+
 
+def text_shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    found = list(_shingle_hashes(text, words, 42))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
-def with_fingerprint(docs: DataFrame, column: str = "text", name: str = "fingerprint") -> DataFrame:
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared by all distinct shingles (Jaccard); 1 for two texts without any."""
+    if not len(a) and not len(b):
+        return 1.0
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
+
+
+def with_fingerprint(docs: DataFrame, column: str = "text", name: str = "fingerprint", words: int = 3) -> DataFrame:
     """Add the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([text_fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([text_fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn(name, fingerprint(F.col(column)))
 
@@ -105,10 +135,10 @@ def fingerprint_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs if extra is None else pairs.unionByName(extra)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, hot: int) -> DataFrame:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, hot: int, words: int = 3) -> DataFrame:
     """(id, mark, fp, component_id, root) of every row; mark is a plain hash of the text."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    prints = settle(with_fingerprint(own, "text", "fp").select("id", "mark", "fp"), "prints")
+    prints = settle(with_fingerprint(own, "text", "fp", words).select("id", "mark", "fp"), "prints")
     kinds = settle(prints.groupBy("fp").agg(F.min("id").alias("least")), "kinds")
     found = components(fingerprint_links(kinds.select("fp"), hot))
     rooted = kinds.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -128,12 +158,124 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _grouped(docs, id_col, text_col, hot).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """Add ``s``: kind (hash of the shingle set), fp (SimHash of the distinct shingles), n (their number), salts (TABLES min-hashes)."""
+    small_batches(docs.sparkSession)
+    tables = TABLES
+    factors = np.random.default_rng(7).integers(1, 1 << 63, tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @F.pandas_udf("kind long, fp long, n long, salts array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            h = text_shingles(text, words)
+            salts = [(h * f).min() if len(h) else np.uint64(0) for f in factors]
+            signed = np.array([xxhash.xxh3_64_intdigest(h.tobytes()), _majority([h])] + salts, np.uint64).view(np.int64).tolist()
+            out.append((signed[0], signed[1], len(h), signed[2:]))
+        return pd.DataFrame(out, columns=["kind", "fp", "n", "salts"])
+
+    return docs.withColumn("s", sketch("text"))
+
+
+def _salted_ball(kinds: DataFrame) -> DataFrame:
+    """(variant, kind, fp, n): for each salt the ball of radius 1 over PIECE bits of the fingerprint, under that salt."""
+    rows = kinds.select("kind", "fp", "n", F.posexplode("salts").alias("t", "salt"))
+    # the piece starts at bit 64 * t / TABLES and wraps
+    turned = F.expr(f"shiftrightunsigned(fp, t * {64 // TABLES}) | if(t = 0, 0L, shiftleft(fp, 64 - t * {64 // TABLES}))")
+    piece = turned.bitwiseAND((1 << PIECE) - 1)
+    rows = rows.select("kind", "fp", "n", "t", "salt", piece.alias("piece"), F.explode(F.sequence(F.lit(-1), F.lit(PIECE - 1))).alias("bit"))
+    value = F.when(F.col("bit") < 0, F.col("piece")).otherwise(F.col("piece").bitwiseXOR(F.expr("shiftleft(1L, greatest(bit, 0))")))
+    return rows.select(F.xxhash64("t", "salt", value).alias("variant"), "kind", "fp", "n")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: kinds) whose shingle sets are at least ``similarity`` alike, by their texts."""
+    small_batches(pairs.sparkSession, 100)
+
+    @F.pandas_udf("boolean")
+    def alike(first: pd.Series, second: pd.Series) -> pd.Series:
+        last, own, out = None, None, []
+        for x, y in zip(first, second):
+            if own is None or x != last:
+                last, own = x, text_shingles(x, words)
+            out.append(similarity_of(own, text_shingles(y, words)) >= similarity)
+        return pd.Series(out, dtype=bool)
+
+    one, two = texts.select(F.col("kind").alias("a"), F.col("text").alias("ta")), texts.select(F.col("kind").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(one, "a").join(two, "b").where(alike("ta", "tb")).select("a", "b")
+
+
+def _near(similarity: float, a: str, b: str) -> str:
+    """Condition on two kinds' columns that all pairs as alike as that meet but for about 3 in 100,000 by their bits."""
+    return f"bit_count({a}.fp ^ {b}.fp) <= {WIDE} and least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(id, mark, kind, component_id, root) of every row; groups connect texts whose shingle sets are ``similarity`` alike or more.
+
+    Candidates meet on salted balls. A bucket of near copies of one text must not become all its pairs, so in
+    ``ROUNDS`` rounds every kind is verified against one hub only, another in each round, among those of its
+    buckets' hubs that it is not yet connected with; then come all pairs of a bucket that are still apart.
+    Connected kinds need no more links, so none is lost.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    prints = settle(_sketches(own, words).select("id", "mark", "s.*"), "prints")
+    kinds = settle(prints.groupBy("kind", "fp", "n", "salts").agg(F.min("id").alias("least"), F.min("mark").alias("mark")), "kinds")
+    rows = _salted_ball(kinds)
+    met = settle(rows.join(rows.groupBy("variant").agg(F.count("*").alias("k")).where("k > 1").select("variant"), "variant"), "met")
+    wanted = kinds.join(met.select("kind").distinct(), "kind", "left_semi").select("kind", "mark")
+    if count_at_most(wanted, BROADCAST_KINDS):
+        wanted = F.broadcast(wanted)  # 16 bytes a row: below 20 MB
+    texts = settle(own.join(wanted, own["mark"].eqNullSafe(wanted["mark"])).groupBy("kind").agg(F.min("text").alias("text")), "texts")
+    links, rooted = None, met.withColumn("root", F.col("kind"))
+    for turn in range(ROUNDS + 1):
+        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "fp", "n", "root")).alias("hub")).where("low < high")
+        apart = settle(apart.select("variant", "hub"), "apart")
+        if apart.isEmpty():
+            break
+        open_rows = rooted.join(apart, "variant")
+        if turn < ROUNDS:
+            pairs = open_rows.where("root <> hub.root and " + _near(similarity, "hub", "self").replace("self.", "")).groupBy(F.col("kind").alias("b")).agg(F.min("hub").alias("hub")).select(F.col("hub.kind").alias("a"), "b")
+        else:
+            one, two = open_rows.drop("hub").alias("x"), open_rows.drop("hub").alias("y")
+            near = F.expr("x.variant = y.variant and x.kind < y.kind and x.root <> y.root and " + _near(similarity, "x", "y"))
+            pairs = one.join(two, near).select(F.col("x.kind").alias("a"), F.col("y.kind").alias("b")).distinct()
+        found = settle(_alike(settle(pairs, "pairs"), texts, words, similarity), "alike")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links).select(F.col("node").alias("kind"), "root")
+        rooted = met.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
+        rooted = settle(rooted, "rooted") if turn < ROUNDS else rooted
+    tops = kinds.select("kind", "least")
+    tops = tops.withColumn("root", F.col("kind")) if links is None else tops.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
+    labels = tops.join(tops.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("kind", "component_id", "root")
+    return prints.select("id", "mark", "kind").join(labels, "kind")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id) for each row: groups that links of at least ``similarity`` (Jaccard, distinct shingles) connect.
+
+    A similarity of 0.8 leaves two fingerprints 9.7 bits apart on average, so whole balls of half such a radius cannot be
+    written out. In place of one fingerprint a text has ``TABLES`` min-hashes of its shingles as salts (two texts share
+    one with a probability of their similarity), and under each the ball of radius 1 over ``PIECE`` bits of the fingerprint:
+    104 rows. At 0.8 a salt and two bits hold with 0.59, so a pair at the threshold is missed with 0.0008, one at 0.9
+    with about 10^-5. Texts must share a shingle to meet: rows meet by chance only where a passage is shared.
+
+    Nulls and texts without words are alike; a text of fewer words is one shingle. Letters' case (A-Z) and kinds of white
+    space do not count. Null ids count in no minimum. Other columns are ignored, an empty table gives no rows.
+    """
+    return _similar(docs, id_col, text_col, words, similarity).select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the group's smallest id (nulls last).
 
-    Of rows that repeat this id in the group the one with the smallest text hash stays, once. Columns stay as they are.
+    Groups are those of ``similar_groups`` where a similarity is given, else those of ``simhash_groups``. Of rows
+    that repeat this id in the group the one with the smallest text hash stays, once. Columns stay as they are.
     """
-    groups = _grouped(docs, id_col, text_col, HOT)
+    if similarity is None:
+        groups = _grouped(docs, id_col, text_col, HOT, words)
+    else:
+        groups = _similar(docs, id_col, text_col, words, similarity)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("k"), F.count("*").alias("n"))
     best = settle(best.select("k.id", "k.mark", "n"), "best")
     rows, keys = docs.withColumn("__mark", F.xxhash64(text_col)), best.select(F.col("id").alias("__id"), F.col("mark").alias("__own"))

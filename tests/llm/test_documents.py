@@ -301,6 +301,65 @@ def test_pipeline(spark):
     assert kept == sorted(kept, reverse=True) and 0 < kept[-1] < 200
 
 
+def plain_shingles(text, words=5):
+    parts = [w for w in re.split(r"[ \t-\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def test_similar_groups_against_all_pairs(spark):
+    rnd = random.Random(3)
+    bag = [f"w{i}" for i in range(3000)]
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for _ in range(60):
+        base = rnd.choices(bag, k=rnd.choice([4, 12, 60, 200, 400]))
+        texts.append(" ".join(base))
+        for _ in range(6):  # words changed, the end cut off, a passage put in: about 0.7 to 1 alike
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 2 + len(base) // 45)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(bag)
+            if rnd.random() < 0.4:
+                copy = copy[: len(copy) - rnd.randrange(0, len(copy) // 5 + 1)]
+            if rnd.random() < 0.4:
+                copy[len(copy) // 2 : len(copy) // 2] = rnd.choices(bag, k=len(copy) // 10)
+            texts.append(rnd.choice([" ", "\n", "  "]).join(copy).upper() if rnd.random() < 0.2 else " ".join(copy))
+    shared = " ".join(rnd.choices(bag, k=60))  # a passage in many texts, a third of each
+    texts += [shared + " " + " ".join(rnd.choices(bag, k=120)) for _ in range(150)]
+    crowd = rnd.choices(bag, k=300)  # one large group of near copies
+    for _ in range(200):
+        copy = list(crowd)
+        for _ in range(4):
+            copy[rnd.randrange(300)] = rnd.choice(bag)
+        texts.append(" ".join(copy))
+    rows = [(i, t, "en", "a", 1, i) for i, t in enumerate(texts)]
+    own = [plain_shingles(t) for t in texts]
+    pairs = []
+    for a in range(len(own)):
+        for b in range(a):
+            if min(len(own[a]), len(own[b])) >= 0.8 * max(len(own[a]), len(own[b])):
+                both = len(own[a] & own[b])
+                if both >= 0.8 * (len(own[a]) + len(own[b]) - both):
+                    pairs.append((a, b))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = grouped(pairs, range(len(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs).collect()}
+    met = sum(got[a] == got[b] for a, b in pairs)
+    assert met >= 0.999 * len(pairs), (met, len(pairs))
+    assert sum(got[i] != want[i] for i in want) <= 2 and all(want[i] == want[got[i]] for i in got)
+    kept = simhash_dedup.keep_one(docs, words=5, similarity=0.8)
+    assert {r["doc_id"] for r in kept.collect()} == set(got.values()) and kept.columns == docs.columns
+
+
+def test_similar_groups_odd_rows(spark):
+    assert sorted((r["component_id"] for r in simhash_dedup.similar_groups(odd(spark)).collect()), key=str) == [1, 1, 1, 1, 1, None]
+    assert sorted((r["doc_id"] for r in simhash_dedup.keep_one(odd(spark), words=5, similarity=0.8).collect()), key=str) == [1, None]
+    clash = odd(spark).selectExpr("*", "1 as kind", "2 as fp", "3 as salts", "4 as root", "5 as variant", "6 as id", "7 as mark")
+    assert simhash_dedup.keep_one(clash, words=5, similarity=0.8).columns == clash.columns
+    assert simhash_dedup.similar_groups(odd(spark).limit(0)).count() == 0 and simhash_dedup.keep_one(odd(spark).limit(0), words=5, similarity=0.8).count() == 0
+    long = "word " * 70_000 + "end"
+    texts = spark.createDataFrame([(1, long, "en", "a", 1, 1), (2, long + " more", "en", "a", 1, 1)], SCHEMA)
+    assert {r["component_id"] for r in simhash_dedup.similar_groups(texts).collect()} == {1, 2}  # 2 of 4 different shingles
+
+
 @pytest.mark.parametrize("hot", [256, 1])
 def test_keyed_line_dedup_against_edit_similarity_alone(spark, hot):
     rnd = random.Random(16)

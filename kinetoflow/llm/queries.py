@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, packing, pii, quality, simhash_dedup, warc
+from . import ann, decontaminate, html_text, line_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup, warc
 from .common import table
 
 
@@ -65,6 +65,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that occur more than once: counts and a digest of what is kept."""
+    kept = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -77,7 +83,16 @@ select page_id, url, cast(octet_length(encode(body)) as bigint) as payload_bytes
   case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
 from p join f using (hex)"""
 
+SUBSTRING_SQL = r"""with d as (select doc_id, row_number() over () as u, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select u, unnest(range(1, len(w) - 33)) as i, unnest(list_transform(range(1, len(w) - 33), lambda k: md5(array_to_string(w[k:k + 34], ' ')))) as h from d where len(w) >= 35),
+g as (select u, i, count(*) over (partition by h) as n from s),
+p as (select d.doc_id, d.u, unnest(d.w) as word, unnest(range(1, len(d.w) + 1)) as i from d),
+m as (select p.*, coalesce(max(case when g.n > 1 then 1 else 0 end) over (partition by p.u order by p.i rows between 34 preceding and current row), 0) as gone
+  from p left join g on g.u = p.u and g.i = p.i)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from d left join (select u, sum(gone) as n, string_agg(word, ' ' order by i) filter (where gone = 0) as kept from m group by u) k on k.u = d.u"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Fingerprints, networks, tokenizers and random draws have no SQL form; tests/llm compares those with brute force."""
-    return {"op10_warc": WARC_SQL}
+    return {"op10_warc": WARC_SQL, "op11_repeated_substrings": SUBSTRING_SQL}

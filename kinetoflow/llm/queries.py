@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup, warc
+from . import ann, decontaminate, html_text, line_dedup, manifest, mixing, packing, pii, quality, simhash_dedup, substring_dedup, warc
 from .common import table
 
 
@@ -71,6 +71,12 @@ def op11_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its text, tampered with for a third of them, still gives the root."""
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    return manifest.manifest(docs, claimed={"text": manifest.tampered_text()})
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -93,6 +99,40 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(k.n, 0) as b
 from d left join (select u, sum(gone) as n, string_agg(word, ' ' order by i) filter (where gone = 0) as kept from m group by u) k on k.u = d.u"""
 
 
+def manifest_sql(levels: int = 6, over: int = 3) -> str:
+    """The manifest by a chain of groupings, one for each level: trees of up to 8^levels rows, up to 8^over trees."""
+    field = lambda c: f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in manifest.FIELDS) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "case when k % 8 = 0 then xor(c, ascii(substr(id, k // 8 + 1, 1))) else c end"
+    crc = f"xor(4294967295, list_reduce(range(0, 8 * length(id)), lambda c, k: xor(({byte}) >> 1, 3988292384 * (({byte}) & 1)), 4294967295))"
+    parts = [
+        f"with a as (select *, cast(doc_id as varchar) as id, {leaf('text')} as leaf, row_number() over () as u from documents)",
+        f"b as (select *, case when {crc} % 3 = 0 then {leaf(lower)} else leaf end as c0 from a)",
+        "t as (select lang, row_number() over (order by lang nulls first) - 1 as tree from (select distinct lang from documents))",
+        "d0 as (select u, tree, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, c0 as c, '' as proof from b join t on b.lang is not distinct from t.lang)",
+        "n0 as (select tree, i, leaf as h, count(*) over (partition by tree) as n from d0 join b using (u))",
+    ]
+
+    def climb(k: int, d: str, n: str) -> tuple[str, str]:
+        beside = f"coalesce(string_agg(h, '' order by n.i) filter (where n.i {{}} d.i), '')"
+        parts.append(f"s{k} as (select u, max(n.n) as n, {beside.format('<')} as p, {beside.format('>')} as q from {d} d join {n} n on n.tree = d.tree and n.i // 8 = d.i // 8 group by u)")
+        parts.append(f"d{k + 1} as (select u, tree, i // 8 as i, case when s.n = 1 then c else sha256(p || c || q) end as c, proof || p || q as proof from {d} d join s{k} s using (u))")
+        parts.append(f"n{k + 1} as (select *, count(*) over (partition by tree) as n from (select tree, i // 8 as i, case when max(n) = 1 then max(h) else sha256(string_agg(h, '' order by i)) end as h from {n} group by tree, i // 8))")
+        return f"d{k + 1}", f"n{k + 1}"
+
+    d, n = "d0", "n0"
+    for k in range(levels):
+        d, n = climb(k, d, n)
+    parts.append(f"e0 as (select u, 0 as tree, tree as i, c, proof from {d})")
+    parts.append(f"r0 as (select 0 as tree, tree as i, h, count(*) over () as n from {n})")
+    top, d, n = n, "e0", "r0"
+    for k in range(levels + 1, levels + over + 1):
+        d, n = climb(k, d, n)
+    parts[-1] += f" select doc_id, leaf, x.h as subroot, y.h as root, sha256(proof) as proof_sha256, c as folded_root, c = y.h as verified from b join {d} z using (u) join t on b.lang is not distinct from t.lang join {top} x on x.tree = t.tree cross join {n} y"
+    return ",\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     """Fingerprints, networks, tokenizers and random draws have no SQL form; tests/llm compares those with brute force."""
-    return {"op10_warc": WARC_SQL, "op11_repeated_substrings": SUBSTRING_SQL}
+    return {"op10_warc": WARC_SQL, "op11_repeated_substrings": SUBSTRING_SQL, "op12_merkle_manifest": manifest_sql()}

@@ -1,12 +1,14 @@
 """Repeated word sequences, the dataset manifest and phrases against brute force on small tables."""
 
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
-from kinetoflow.llm import substring_dedup
+from kinetoflow.llm import manifest, substring_dedup
 
 ODD = "doc_id string, text string, lang string, chunk long, key string, bits string, bucket int, size long"
 
@@ -77,3 +79,73 @@ def test_no_rows_no_repeats(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], schema)).collect() == []
     one = substring_dedup.dedup(spark.createDataFrame([(1, "one text"), (2, None)], schema), 2).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.text, r.spans) for r in one) == [(1, 2, 0, "one text", []), (2, 0, 0, "", [])]
+
+
+def H(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf_of(row, text):
+    return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (row["doc_id"], row["source"], row["lang"], row["n_chars"], text)))
+
+
+def proof_of(leaves, at):
+    """(top, siblings of each level) of the leaf at ``at``."""
+    path = []
+    while len(leaves) > 1:
+        first = at - at % 8
+        path.append((leaves[first:at], leaves[at + 1 : first + 8]))
+        leaves = [H("".join(leaves[k : k + 8])) for k in range(0, len(leaves), 8)]
+        at //= 8
+    return leaves[0], path
+
+
+def manifest_by_loops(rows):
+    lowered = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    trees = defaultdict(list)
+    for row in rows:
+        row["leaf"] = leaf_of(row, row["text"])
+        trees[row["lang"]].append(row)
+    order = sorted(trees, key=lambda g: (g is not None, (g or "").encode()))
+    for g in order:
+        trees[g].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["leaf"]))
+    tops = [proof_of([r["leaf"] for r in trees[g]], 0)[0] for g in order]
+    out = []
+    for k, g in enumerate(order):
+        root, above = proof_of(tops, k)
+        for j, row in enumerate(trees[g]):
+            text = row["text"]
+            if row["doc_id"] is not None and text is not None and zlib.crc32(str(row["doc_id"]).encode()) % 3 == 0:
+                text = text.translate(lowered)
+            path = proof_of([r["leaf"] for r in trees[g]], j)[1] + above
+            folded = leaf_of(row, text)
+            for before, after in path:
+                folded = H("".join([*before, folded, *after]))
+            out.append((row["doc_id"], row["leaf"], tops[k], root, H("".join("".join(b + a) for b, a in path)), folded, folded == root))
+    return sorted(out, key=str)
+
+
+MANIFEST = "doc_id long, source string, lang string, n_chars long, text string, place long, tree int, node string"
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_manifest_equals_loops(spark, monkeypatch, depth):
+    monkeypatch.setattr(manifest, "DEPTH", depth)
+    monkeypatch.setattr(manifest, "SPAN", 8**depth)
+    draw = random.Random(depth)
+    langs = [None, "en", "de", "É", "zz", *(f"l{k}" for k in range(9))]
+    rows = [{"doc_id": k, "source": draw.choice(["a", None]), "lang": draw.choice(langs[:3]), "n_chars": draw.choice([None, k]), "text": draw.choice([None, "", "Some Text", "ÄB é", "low"])} for k in range(900)]
+    rows += [{"doc_id": 5000 + k, "source": "b", "lang": g, "n_chars": 1, "text": "One"} for k, g in enumerate(langs)]
+    rows += [{"doc_id": None, "source": "b", "lang": "en", "n_chars": 2, "text": t} for t in ("X", "X", None)] + [dict(rows[7]), dict(rows[7]), dict(rows[8], text="other")]
+    rows.append({"doc_id": 9000, "source": "b", "lang": "en", "n_chars": 7, "text": "Long é " * 200_000})
+    table = spark.createDataFrame([(*r.values(), 1, 2, "n") for r in rows], MANIFEST).repartition(5)
+    found = manifest.manifest(table, claimed={"text": manifest.tampered_text()})
+    assert found.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert sorted(map(tuple, found.collect()), key=str) == manifest_by_loops(rows)
+
+
+def test_manifest_of_one_row_and_of_none(spark):
+    one = manifest.manifest(spark.createDataFrame([(1, None, None, None, None, 1, 1, "n")], MANIFEST), proofs=True).collect()
+    (row,) = one
+    assert row.leaf == row.subroot == row.root == row.folded_root == H("1:1----") and row.proof == [] and row.proof_sha256 == H("") and row.verified
+    assert manifest.manifest(spark.createDataFrame([], MANIFEST)).collect() == []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, line_dedup, manifest, mixing, packing, pii, quality, simhash_dedup, substring_dedup, warc
+from . import ann, decontaminate, html_text, line_dedup, manifest, mixing, packing, phrases, pii, quality, simhash_dedup, substring_dedup, warc
 from .common import table
 
 
@@ -77,6 +77,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(docs, claimed={"text": manifest.tampered_text()})
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that stand out most by their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -98,6 +103,20 @@ m as (select p.*, coalesce(max(case when g.n > 1 then 1 else 0 end) over (partit
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
 from d left join (select u, sum(gone) as n, string_agg(word, ' ' order by i) filter (where gone = 0) as kept from m group by u) k on k.u = d.u"""
 
+PHRASE_SQL = r"""with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from d),
+g as (select lang, m, phrase, count(*) as f from (
+  select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase from p, (values (1), (2), (3)) as s(m) where len(w) >= m) group by lang, m, phrase),
+n as (select lang, cast(sum(f) as bigint) as n from g where m = 1 group by lang),
+c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from g where m > 1 and f >= 10),
+k as (select *, unnest(range(1, m)) as k from c),
+q as (select k.lang, k.phrase, k.m, k.a, k.k, x.f as l, y.f as r, cast(1000000 as hugeint) * k.a * k.a // (cast(x.f as hugeint) * y.f) as score from k
+  join g x on x.lang = k.lang and x.phrase = array_to_string(k.w[1:k.k], ' ') join g y on y.lang = k.lang and y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b as (select * from q qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (select lang, array_to_string(w[j:j + 1], ' ') as phrase, max(a) as most from (select *, unnest([1, 2]) as j from c where m = 3) group by all),
+o as (select b.* from b left join i using (lang, phrase) where i.most is null or 100 * i.most < 50 * b.a)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from (select o.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o) join n using (lang) where rank <= 2000"""
+
 
 def manifest_sql(levels: int = 6, over: int = 3) -> str:
     """The manifest by a chain of groupings, one for each level: trees of up to 8^levels rows, up to 8^over trees."""
@@ -135,4 +154,4 @@ def manifest_sql(levels: int = 6, over: int = 3) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """Fingerprints, networks, tokenizers and random draws have no SQL form; tests/llm compares those with brute force."""
-    return {"op10_warc": WARC_SQL, "op11_repeated_substrings": SUBSTRING_SQL, "op12_merkle_manifest": manifest_sql()}
+    return {"op10_warc": WARC_SQL, "op11_repeated_substrings": SUBSTRING_SQL, "op12_merkle_manifest": manifest_sql(), "op13_collocations": PHRASE_SQL}

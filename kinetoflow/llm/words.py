@@ -41,15 +41,16 @@ def byte_kinds(spaces: bytes, stops: bytes = b"") -> np.ndarray:
     return kinds
 
 
-def encode(texts: pa.ChunkedArray, kinds: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def encode(texts: pa.ChunkedArray, kinds: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """(number of each word, different words by number as bytes, first word of each text and the end, whether a piece begins at a word).
 
-    Null texts hold no word. A text begins a piece.
+    Null texts hold no word. A text begins a piece. ``fold`` has the byte to read in place of each.
     """
     column = pa.concat_arrays([pa.array([], pa.large_binary()), *texts.cast(pa.large_binary()).chunks]).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     low, high = int(offsets[0]), int(offsets[-1])
     data = np.frombuffer(column.buffers()[2], np.uint8, high - low, low) if high > low else np.zeros(0, np.uint8)
+    data = data if fold is None else fold[data]
     offsets = offsets - low
     kind = kinds[data]
     inside = kind == 0

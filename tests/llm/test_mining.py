@@ -6,9 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from kinetoflow.llm import manifest, substring_dedup
+from kinetoflow.llm import manifest, phrases, substring_dedup
 
 ODD = "doc_id string, text string, lang string, chunk long, key string, bits string, bucket int, size long"
 
@@ -149,3 +150,55 @@ def test_manifest_of_one_row_and_of_none(spark):
     (row,) = one
     assert row.leaf == row.subroot == row.root == row.folded_root == H("1:1----") and row.proof == [] and row.proof_sha256 == H("") and row.verified
     assert manifest.manifest(spark.createDataFrame([], MANIFEST)).collect() == []
+
+
+def collocations_by_loops(rows, least, top):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    f, n = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(lower)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            for m in (1, 2, 3):
+                f[lang or "und"].update(tuple(w[k : k + m]) for k in range(len(w) - m + 1))
+    out = []
+    for lang, count in f.items():
+        often = [p for p, a in count.items() if len(p) > 1 and a >= least]
+        found = []
+        for p in often:
+            a = count[p]
+            score, k = min((10**6 * a * a // (count[p[:k]] * count[p[k:]]), k) for k in range(1, len(p)))
+            if not any(len(q) > len(p) and 100 * count[q] >= 50 * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q in often):
+                found.append((-score, -a, " ".join(p).encode(), count[p[:k]], count[p[k:]]))
+        out += [(lang, k + 1, p.decode(), -a, left, right, n[lang], -s) for k, (s, a, p, left, right) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [2, 10])
+def test_collocations_equal_loops(spark, monkeypatch, least):
+    for name, value in (("PORTION", 3_000), ("HELD", 700), ("BURST", 20), ("PARTITION", 900)):
+        monkeypatch.setattr(phrases, name, value)
+    draw = random.Random(least)
+    some = [f"w{k}" for k in range(30)] + ["É", "é", "日本", "A", "a", "x y", "Zz"]
+    weights = [40] + [1] * (len(some) - 1)
+    seps = [" ", " ", " ", " ", "\t", ", ", ". ", "\n", " ; "]
+    rows = [("".join(w + draw.choice(seps) for w in draw.choices(some, weights, k=draw.randint(0, 60))), draw.choice(["en", "en", "de", None, "und"])) for _ in range(300)]
+    rows += [(None, "en"), ("", None), (" \t.,!", "en"), ("hot pair " * 3_000, "en"), ("one", "rare"), ("new york city " * 9 + "new york", "fr"), rows[0], rows[0]]
+    docs = spark.createDataFrame([(k, t, g, 1, "k", "b", 2, 3) for k, (t, g) in enumerate(rows)], ODD.replace("doc_id string", "doc_id long")).repartition(4)
+    assert sorted(map(tuple, phrases.collocations(docs, least=least, top=40).collect())) == collocations_by_loops(rows, least, 40)
+
+
+def test_collocations_of_nothing(spark):
+    schema = "text string, lang string"
+    assert phrases.collocations(spark.createDataFrame([], schema)).collect() == []
+    assert phrases.collocations(spark.createDataFrame([(None, None), ("", "en"), ("a b", "en")], schema)).collect() == []
+
+
+def test_tries_burst_and_keep_their_counts():
+    trie, keys = phrases.Trie(), np.random.default_rng(1).integers(0, 3_000, 60_000) << 42
+    assert trie.add(keys[:30_000]) + trie.add(keys[30_000:]) == len(np.unique(keys)) == trie.size
+    trie.burst() if trie.below is None else None
+    found = Counter()
+    for k, c in trie.items():
+        found.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    assert found == Counter(keys.tolist())

@@ -22,6 +22,45 @@ def test_window_scores_against_all_pairs(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("k,least", [(25, 32), (25, 44), (12, 10), (12, 23), (7, 3)])
+def test_window_scores_of_planted_and_random_texts(spark, k, least):
+    rnd = random.Random(k * least)
+    texts = ["".join(rnd.choice("ACGTNR-" if j % 3 == 0 else "ACGT") for _ in range(rnd.randint(0, 90))) for j in range(9)] + [None, "", "A" * 40, "T" * 40]
+    guides_ = [(f"g{j}", t) for j, t in enumerate(texts[:5])]
+    for j, t in enumerate(texts[:9]):  # copies with wobble pairs and changes
+        guides_.append((f"p{j}", "".join(rnd.choice({"T": "CT", "G": "AG"}.get(c, c)) if rnd.random() < 0.5 else rnd.choice("ACGT") if rnd.random() < 0.1 else c for c in t[5:60])))
+    targets_ = [(f"m{j}", t) for j, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in guides.window_scores(spark.createDataFrame(guides_, "guide string, gseq string"), spark.createDataFrame(targets_, "target string, mseq string"), k, least).collect())
+    want = []
+    for a, g in guides_:
+        for b, m in targets_:
+            for i in range(len(g or "") - k):
+                for j in range(len(m or "") - k):
+                    pairs = [2 if x == y else 1 if (x, y) in (("A", "G"), ("C", "T")) else -2 for x, y in zip(g[i : i + k], m[j : j + k])]
+                    if sum(pairs) > least:
+                        want.append((a, b, i, j, sum(pairs), pairs.count(1), pairs.count(-2)))
+    assert got == sorted(want) and want
+
+
+def test_extended_windows_gain_and_end_where_they_should(spark):
+    rnd = random.Random(8)
+    m = "".join(rnd.choice("ACGT") for _ in range(120))
+    g = m[3:50] + "".join(rnd.choice("ACGT") for _ in range(20)) + m[60:110]
+    own, other = spark.createDataFrame([("g", g)], "guide string, gseq string"), spark.createDataFrame([("m", m)], "target string, mseq string")
+    hits = guides.extend_hits(guides.window_scores(own, other), own, other).collect()
+    options = EngineOptions()
+    for h in hits:
+        assert h.gr - h.gl == h.mr - h.ml and (h.g - h.gl) % 4 == 0 and (h.gr - h.g - 25) % 4 == 0 and h.ml - h.gl == h.m - h.g
+        pairs = [2 if x == y else 1 if (x, y) in (("A", "G"), ("C", "T")) else -2 for x, y in zip(g[h.gl : h.gr], m[h.ml : h.mr])]
+        assert (pairs.count(1), pairs.count(-2)) == (h.gu, h.mm)
+        if h.gu < options.gu_max and h.mm < options.mm_max:  # it ended as neither side gains
+            assert h.gl <= 4 or h.ml <= 4 or score(g[h.gl - 4 : h.gl], m[h.ml - 4 : h.ml]) <= 0
+            assert h.gr + 4 >= len(g) or h.mr + 4 >= len(m) or score(g[h.gr : h.gr + 4], m[h.mr : h.mr + 4]) <= 0
+    assert any(h.gr - h.gl > 40 for h in hits)
+    with pytest.raises(ValueError):
+        guides.window_scores(own, other, 40, 70)
+
+
 def expand(w, rf, at, state, s, out):
     """All states of a duplex, by the rules, without any bound."""
     score_, gu, mm, text, action = state

@@ -522,6 +522,29 @@ def grna_edit_graph(spark, d):
     return guides.edit_graph_hits(g, m, least=24, scoring=guides.Scoring(score_min=90))
 
 
+def _edit_classes(window: int = 25, least: int = 19, need: int = 80) -> str:
+    """States of the edit graph from every place of a target, level by level: those that agree are one, with a count."""
+    parts = [f"""l0 as (select guide, p, substr(core, p + 1, {window}) as w, target, b, b as a, 0 as score, 0 as gu, 0 as mm, 1 as kind, 1 as n, rf from (select guide, core, unnest(range(0, length(core) - {window})) as p from guides),
+  (select target, rf, unnest(range(0, length(rf))) as b from (select target, replace(mseq, 'T', '') as rf from mrnas)))"""]
+    for i in range(window - 1):
+        c, r = f"substr(w, {i + 1}, 1)", "substr(rf, a + 2, 1)"
+        same, wobble = f"{c} = {r}", f"({c} = 'A' and {r} = 'G')"
+        parts.append(f"""l{i + 1} as (select guide, p, w, target, b, a, score, gu, mm, kind, cast(sum(n) as bigint) as n, rf from (
+  select guide, p, w, target, b, a, score + 4 as score, gu + case when {c} = 'C' then 1 else 0 end as gu, mm, 0 as kind, n, rf from l{i} where {c} in ('T', 'C') and mm <= 5 and gu <= 10 and a < length(rf) - 1
+  union all select guide, p, w, target, b, a + 1, score + case when {same} or {wobble} then 4 else -7 end, gu + case when {wobble} then 1 else 0 end, mm + case when {same} or {wobble} then 0 else 1 end,
+    case when {same} or {wobble} then 1 else 2 end, n, rf from l{i} where mm <= 5 and gu <= 10 and a < length(rf) - 1 and ({same} or {wobble} or kind <> 2)) where score + {4 * (window - 2 - i)} >= {need} group by all)""")
+    ends = " union all ".join(f"select *, {i} as letters from l{i} where score >= {need} and score >= 2.5 * {i} and (a < length(rf) - 1 or mm > 5 or gu > 10 or {i} = {window - 1})" for i in range(least, window))
+    return ",\n".join(parts) + f",\nends as ({ends})"
+
+
+@query(sql("select target, b as rf_begin, guide, p, letters, a as rf_end, score, gu, mm, cast(sum(n) as bigint) as n from ends group by all", *_GUIDES, recursive=_edit_classes()).replace("with recursive", "with", 1))
+def grna_edit_classes(spark, d):
+    """Duplexes of guide cores with mRNAs that score 80 of 96 or more, Ts inserted freely, in classes with their numbers."""
+    g = inputs.guides(spark, d).select("guide", F.col("core").alias("gseq"))
+    m = inputs.mrnas(spark, d).select("target", dna.letters(F.col("mseq")).alias("letters"))
+    return guides.edit_graph_classes(g, m, scoring=guides.Scoring(score_min=80))
+
+
 # --- k-mers ------------------------------------------------------------------------------------------------------------
 
 _LIB = "lib as (select substr(s, i + 1, 16) as kmer, count(*) as n from (select s, unnest(range(0, length(s) - 16)) as i from (select seq as s from reads where length(seq) > 16 union all select reverse(translate(seq, 'ACGT', 'TGCA')) from reads where length(seq) > 16)) group by kmer)"

@@ -89,6 +89,24 @@ def test_edit_graph_against_expansion(spark):
     assert got == want and want
 
 
+def test_edit_classes_count_the_duplexes(spark):
+    rnd = random.Random(11)
+    gs = [(f"g{k}", "".join(rnd.choice("ACGTT") for _ in range(14))) for k in range(3)] + [("none", None), ("brief", "ACG")]
+    ms = [(f"m{k}", (t := "".join(rnd.choice("ACG") for _ in range(12))), [0] * (len(t) + 1)) for k in range(2)] + [("none", None, None), ("empty", "", [0])]
+    g, m = spark.createDataFrame(gs, "guide string, gseq string"), spark.createDataFrame(ms, "target string, letters string, runs array<int>")
+    scoring = guides.Scoring(score_min=10, mm_max=1, gu_max=2)
+    found = guides.edit_graph_classes(g, m, window=9, least=4, scoring=scoring).collect()
+    got = {tuple(r)[:-1]: r.n for r in found}
+    want = {}
+    for h in guides.edit_graph_hits(g, m, window=9, least=4, scoring=scoring).collect():
+        marks = h.action
+        wobbles = sum(a == "U" or (a == "+" and c == "C") for a, c in zip(marks, h.aligned_rd))
+        key = (h.target, h.rf_begin, h.guide, h.p, len(marks), h.rf_begin + len(marks) - marks.count("+"), h.score, wobbles, marks.count("*"))
+        want[key] = want.get(key, 0) + 1
+    assert got == want and len(want) > 20
+    assert guides.edit_graph_classes(g.limit(0), m).collect() == []
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one x\r\nACGT\nttaa\n\n>two\nGG\n")
     rows = [tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "a.fa"), cut_names=True).orderBy("ref_idx").collect()]

@@ -33,9 +33,9 @@ SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text worked on at a time; phrases that a task holds before subtrees leave; phrases of a container before it bursts; and what a
 #: partition is planned for.
 PORTION = 3_000_000
-HELD = 2_000_000
+HELD = 1_400_000
 BURST = 4_096
-PARTITION = 2_500_000
+PARTITION = 2_000_000
 
 BITS = 21
 _LOW = (1 << BITS) - 1

@@ -28,10 +28,13 @@ from .components import components
 RADIUS = 3
 #: Fingerprints at one variant from which on it is hot.
 HOT = 256
-#: By similarity: min-hashes of a text, bits of the fingerprint below each, and the bits in which whole fingerprints may differ (0.8 alike: 9.7 on average, deviation 2.9).
-TABLES, PIECE, WIDE = 8, 12, 22
-#: Rounds in which a kind is compared with one hub, before all pairs that are still apart.
-ROUNDS = 2
+#: By similarity: bands of min-hashes below which texts meet, min-hashes of a band, and min-hashes of which a bit is kept. At 0.8 a band is shared
+#: with 0.33, all of them missed with 0.00007.
+BANDS, ROWS, SKETCH = 24, 5, 128
+#: Bits in which fingerprints of texts 0.8 alike may differ (9.7 on average, deviation 2.9; not asked below FEW shingles), and sketches (12.8, 3.4).
+WIDE, FEW, APART = 22, 16, 30
+#: Rounds in which a kind is compared with one hub of each of its buckets, before the pairs that are still apart.
+ROUNDS = 3
 #: Most rows (two longs each) that are broadcast to fetch texts.
 BROADCAST_KINDS = 1_000_000
 
@@ -158,89 +161,124 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _grouped(docs, id_col, text_col, hot).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
+def _min_hashes(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Least product of the hashes with each factor, by blocks; zeros without hashes."""
+    if not len(h):
+        return np.zeros(len(factors), np.uint64)
+    least = [np.multiply.outer(h[k : k + 2048], factors).min(axis=0) for k in range(0, len(h), 2048)]
+    return np.minimum.reduce(least)
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Add ``s``: kind (hash of the shingle set), fp (SimHash of the distinct shingles), n (their number), salts (TABLES min-hashes)."""
+    """Add ``s``: kind (hash of the shingle set), fp (SimHash of the distinct shingles), n (their number), bands, and the sketch's bits (low, high)."""
     small_batches(docs.sparkSession)
-    tables = TABLES
-    factors = np.random.default_rng(7).integers(1, 1 << 63, tables, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bands, rows = BANDS, ROWS
+    factors = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
-    @F.pandas_udf("kind long, fp long, n long, salts array<long>")
+    @F.pandas_udf("kind long, fp long, n long, bands array<long>, low long, high long")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             h = text_shingles(text, words)
-            salts = [(h * f).min() if len(h) else np.uint64(0) for f in factors]
-            signed = np.array([xxhash.xxh3_64_intdigest(h.tobytes()), _majority([h])] + salts, np.uint64).view(np.int64).tolist()
-            out.append((signed[0], signed[1], len(h), signed[2:]))
-        return pd.DataFrame(out, columns=["kind", "fp", "n", "salts"])
+            least = _min_hashes(h, factors)
+            mixed = (least ^ (least >> shift)) * odd
+            band = np.zeros(bands, np.uint64)
+            for k in range(rows):
+                band = (band ^ mixed[k : bands * rows : rows]) * odd
+                band ^= band >> shift
+            bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64).tolist()
+            first = np.array([xxhash.xxh3_64_intdigest(h.tobytes()), _majority([h])], np.uint64).view(np.int64).tolist()
+            out.append((*first, len(h), band.view(np.int64).tolist(), *bits))
+        return pd.DataFrame(out, columns=["kind", "fp", "n", "bands", "low", "high"])
 
     return docs.withColumn("s", sketch("text"))
 
 
-def _salted_ball(kinds: DataFrame) -> DataFrame:
-    """(variant, kind, fp, n): for each salt the ball of radius 1 over PIECE bits of the fingerprint, under that salt."""
-    rows = kinds.select("kind", "fp", "n", F.posexplode("salts").alias("t", "salt"))
-    # the piece starts at bit 64 * t / TABLES and wraps
-    turned = F.expr(f"shiftrightunsigned(fp, t * {64 // TABLES}) | if(t = 0, 0L, shiftleft(fp, 64 - t * {64 // TABLES}))")
-    piece = turned.bitwiseAND((1 << PIECE) - 1)
-    rows = rows.select("kind", "fp", "n", "t", "salt", piece.alias("piece"), F.explode(F.sequence(F.lit(-1), F.lit(PIECE - 1))).alias("bit"))
-    value = F.when(F.col("bit") < 0, F.col("piece")).otherwise(F.col("piece").bitwiseXOR(F.expr("shiftleft(1L, greatest(bit, 0))")))
-    return rows.select(F.xxhash64("t", "salt", value).alias("variant"), "kind", "fp", "n")
+_OWN = ("kind", "fp", "n", "low", "high")
+
+
+def _meeting(kinds: DataFrame, hot: int) -> DataFrame:
+    """(variant, kind, fp, n, low, high): kinds by the bands they share with others.
+
+    Rows of a band that more than ``hot`` kinds share, as a common passage makes them, go on as pairs of this band with each other band, which
+    kinds 0.8 alike share as well (both missed with 0.0009) and others hardly do.
+    """
+    rows = kinds.select(*_OWN, F.posexplode("bands").alias("t", "band")).withColumn("variant", F.xxhash64("t", "band"))
+    sizes = settle(rows.groupBy("variant").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+    usual = rows.join(sizes.where(F.col("k") <= hot).select("variant"), "variant").select("variant", *_OWN)
+    heavy = sizes.where(F.col("k") > hot).select("variant")
+    if heavy.isEmpty():
+        return usual
+    crowded = rows.join(heavy, "variant").select("kind", "t")
+    pairs = crowded.join(kinds, "kind").select(*_OWN, "t", "bands", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("u")).where("t <> u")
+    value = F.xxhash64(F.least("t", "u"), F.greatest("t", "u"), F.get("bands", F.least("t", "u")), F.get("bands", F.greatest("t", "u")))
+    pairs = pairs.select(value.alias("variant"), *_OWN).distinct()
+    shared = pairs.groupBy("variant").agg(F.count("*").alias("k")).where("k > 1").select("variant")
+    return usual.unionByName(pairs.join(shared, "variant"))
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(kind, shingles): the distinct shingle hashes of (kind, text) as bytes, in order."""
+    small_batches(texts.sparkSession)
+
+    @F.pandas_udf("binary")
+    def shingles(column: pd.Series) -> pd.Series:
+        return pd.Series([text_shingles(t, words).tobytes() for t in column], dtype=object)
+
+    return texts.select("kind", shingles("text").alias("shingles"))
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: kinds) whose shingle sets are at least ``similarity`` alike, by their texts."""
-    small_batches(pairs.sparkSession, 100)
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: kinds) whose shingle sets are at least ``similarity`` alike."""
+    small_batches(pairs.sparkSession)
 
     @F.pandas_udf("boolean")
     def alike(first: pd.Series, second: pd.Series) -> pd.Series:
-        last, own, out = None, None, []
-        for x, y in zip(first, second):
-            if own is None or x != last:
-                last, own = x, text_shingles(x, words)
-            out.append(similarity_of(own, text_shingles(y, words)) >= similarity)
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similarity_of(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(first, second)], dtype=bool)
 
-    one, two = texts.select(F.col("kind").alias("a"), F.col("text").alias("ta")), texts.select(F.col("kind").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").where(alike("ta", "tb")).select("a", "b")
+    one, two = sets.select(F.col("kind").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("kind").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").where(alike("sa", "sb")).select("a", "b")
 
 
 def _near(similarity: float, a: str, b: str) -> str:
-    """Condition on two kinds' columns that all pairs as alike as that meet but for about 3 in 100,000 by their bits."""
-    return f"bit_count({a}.fp ^ {b}.fp) <= {WIDE} and least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
+    """Condition on two kinds' columns that all pairs as alike as that meet but for about 4 in 100,000 by their bits."""
+    fingerprints = f"(least({a}.n, {b}.n) < {FEW} or bit_count({a}.fp ^ {b}.fp) <= {WIDE})"
+    return f"{fingerprints} and bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high) <= {APART} and least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(id, mark, kind, component_id, root) of every row; groups connect texts whose shingle sets are ``similarity`` alike or more.
 
-    Candidates meet on salted balls. A bucket of near copies of one text must not become all its pairs, so in
-    ``ROUNDS`` rounds every kind is verified against one hub only, another in each round, among those of its
-    buckets' hubs that it is not yet connected with; then come all pairs of a bucket that are still apart.
+    Candidates meet on bands of min-hashes. A bucket of near copies of one text must not become all its pairs, so in
+    ``ROUNDS`` rounds every kind is verified against one hub of each bucket, another in each round, as far as it is
+    not yet connected with it: at most BANDS pairs for a kind; then come the pairs of a bucket (``HOT`` kinds at most, or such as share two bands) that are still
+    apart. Size, fingerprint and sketch decide first; shingle sets, made once for each kind that meets another, for what is left.
     Connected kinds need no more links, so none is lost.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     prints = settle(_sketches(own, words).select("id", "mark", "s.*"), "prints")
-    kinds = settle(prints.groupBy("kind", "fp", "n", "salts").agg(F.min("id").alias("least"), F.min("mark").alias("mark")), "kinds")
-    rows = _salted_ball(kinds)
-    met = settle(rows.join(rows.groupBy("variant").agg(F.count("*").alias("k")).where("k > 1").select("variant"), "variant"), "met")
+    kinds = settle(prints.groupBy("kind").agg(*(F.first(c).alias(c) for c in ("fp", "n", "low", "high", "bands")), F.min("id").alias("least"), F.min("mark").alias("mark")), "kinds")
+    met = settle(_meeting(kinds, HOT), "met")
     wanted = kinds.join(met.select("kind").distinct(), "kind", "left_semi").select("kind", "mark")
     if count_at_most(wanted, BROADCAST_KINDS):
         wanted = F.broadcast(wanted)  # 16 bytes a row: below 20 MB
-    texts = settle(own.join(wanted, own["mark"].eqNullSafe(wanted["mark"])).groupBy("kind").agg(F.min("text").alias("text")), "texts")
+    texts = own.join(wanted, own["mark"].eqNullSafe(wanted["mark"])).groupBy("kind").agg(F.min("text").alias("text"))
+    sets = settle(_sets(texts, words), "sets")
     links, rooted = None, met.withColumn("root", F.col("kind"))
     for turn in range(ROUNDS + 1):
-        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "fp", "n", "root")).alias("hub")).where("low < high")
+        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "fp", "n", "low", "high", "root")).alias("hub")).where("low < high")
         apart = settle(apart.select("variant", "hub"), "apart")
         if apart.isEmpty():
             break
         open_rows = rooted.join(apart, "variant")
         if turn < ROUNDS:
-            pairs = open_rows.where("root <> hub.root and " + _near(similarity, "hub", "self").replace("self.", "")).groupBy(F.col("kind").alias("b")).agg(F.min("hub").alias("hub")).select(F.col("hub.kind").alias("a"), "b")
+            pairs = open_rows.where("root <> hub.root and " + _near(similarity, "hub", "self").replace("self.", "")).select(F.col("hub.kind").alias("a"), F.col("kind").alias("b")).distinct()
         else:
             one, two = open_rows.drop("hub").alias("x"), open_rows.drop("hub").alias("y")
             near = F.expr("x.variant = y.variant and x.kind < y.kind and x.root <> y.root and " + _near(similarity, "x", "y"))
             pairs = one.join(two, near).select(F.col("x.kind").alias("a"), F.col("y.kind").alias("b")).distinct()
-        found = settle(_alike(settle(pairs, "pairs"), texts, words, similarity), "alike")
+        found = settle(_alike(settle(pairs, "pairs"), sets, similarity), "alike")
         links = found if links is None else links.unionByName(found)
         roots = components(links).select(F.col("node").alias("kind"), "root")
         rooted = met.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
@@ -254,11 +292,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id) for each row: groups that links of at least ``similarity`` (Jaccard, distinct shingles) connect.
 
-    A similarity of 0.8 leaves two fingerprints 9.7 bits apart on average, so whole balls of half such a radius cannot be
-    written out. In place of one fingerprint a text has ``TABLES`` min-hashes of its shingles as salts (two texts share
-    one with a probability of their similarity), and under each the ball of radius 1 over ``PIECE`` bits of the fingerprint:
-    104 rows. At 0.8 a salt and two bits hold with 0.59, so a pair at the threshold is missed with 0.0008, one at 0.9
-    with about 10^-5. Texts must share a shingle to meet: rows meet by chance only where a passage is shared.
+    A similarity of 0.8 leaves two fingerprints 9.7 bits apart on average, so balls of half such a radius cannot be written out. Here texts meet on
+    ``BANDS`` bands of ``ROWS`` min-hashes of their shingles; the SimHash and a bit of each of ``SKETCH`` min-hashes refuse pairs before sets
+    are compared, and the similarity of the whole sets decides. At 0.8 a pair is missed with some 0.0001, in crowded bands with 0.001.
 
     Nulls and texts without words are alike; a text of fewer words is one shingle. Letters' case (A-Z) and kinds of white
     space do not count. Null ids count in no minimum. Other columns are ignored, an empty table gives no rows.

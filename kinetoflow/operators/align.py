@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..options import EngineOptions
-from .store import once, spread
+from .store import keep, once, spread
 
 #: K-mer rows of references up to which they are broadcast.
 BROADCAST_KMERS = 2_000_000
+#: Beyond that, places of a k-mer from which on it is hot, and the parts its seeds are dealt to.
+HOT_PLACES, PARTS = 1_000, 64
 
 
 def encode_refs(refs: DataFrame) -> DataFrame:
@@ -41,8 +43,22 @@ def seed_hits(both: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
     """(rd_id, reversed, pos, ref_idx, p): every k letters a seed, the last full one left out, at each place of a reference with it."""
     cut = F.transform(dna.count_to(F.floor(F.length("letters") / k) - 1), lambda i: F.substring("letters", i * k + 1, F.lit(k)))
     seeds = both.select("rd_id", "reversed", F.posexplode(cut).alias("i", "kmer")).select("rd_id", "reversed", (F.col("i") * k).alias("pos"), "kmer")
-    few = kmers.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS
-    return seeds.join(F.broadcast(kmers) if few else kmers, "kmer").select("rd_id", "reversed", "pos", "ref_idx", "p")
+    if kmers.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS:  # two numbers and k letters a row
+        return seeds.join(F.broadcast(kmers), "kmer").select("rd_id", "reversed", "pos", "ref_idx", "p")
+    return _dealt_join(seeds, kmers).select("rd_id", "reversed", "pos", "ref_idx", "p")
+
+
+def _dealt_join(seeds: DataFrame, kmers: DataFrame) -> DataFrame:
+    """Seeds and places that share a k-mer, by a shuffle in which no hot k-mer is one task's.
+
+    The seeds of a hot k-mer are dealt to ``PARTS`` parts by their read, its places are written to each; all others have one part.
+    """
+    hot = kmers.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PLACES).select("kmer", F.lit(PARTS).alias("parts"))
+    hot = keep(hot)
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = seeds.join(hot, "kmer", "left").withColumn("part", F.pmod(F.xxhash64("rd_id", "reversed", "pos"), parts).cast("int")).drop("parts")
+    spread_out = kmers.join(hot, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(spread_out, ["kmer", "part"])
 
 
 def seed_chains(hits: DataFrame, k: int) -> DataFrame:

@@ -352,6 +352,39 @@ def overlap_edges_editing(spark, d):
     return assembly.overlap_edges(assembly.nodes(found, options), options)
 
 
+@query(sql("""select l.ref_idx, l.rd_id as src, r.rd_id as dst, l.ref_e - r.ref_s as overlap, len(r.dr) - (l.ref_e - r.ref_s) as extend, l.ref_e - r.ref_s as value
+  from aligned l join aligned r on l.ref_idx = r.ref_idx and l.rd_id <> r.rd_id and l.ref_s <= r.ref_s and r.ref_e - l.ref_e > 10 and l.ref_e - r.ref_s > 10 and l.dr[r.ref_s - l.ref_s + 1:len(l.dr)] = r.dr[1:l.ref_e - r.ref_s]""", *ALIGNED))
+def edges_overlap(spark, d):
+    """Edges that prefer the longest overlap, duplicates included."""
+    return _graph(spark, d, EngineOptions(mode="overlap"))[1]
+
+
+def _coverage(edited: bool) -> str:
+    some = "es <> 0" if edited else "true"
+    return sql(f"select e.ref_idx, e.src, e.dst, e.overlap, e.extend, cast(v.support as integer) as value from edges e join votes v on v.ref_idx = e.ref_idx and v.rd_id = e.dst", *_EDGES, recursive=f"""sites as (select ref_idx, rd_id, ref_s + j as pos, dr[j + 1] as es from (select *, unnest(range(0, len(dr))) as j from dedup)),
+modes as (select ref_idx, pos, es as mode from (select ref_idx, pos, es, row_number() over (partition by ref_idx, pos order by count(*) desc, es) as r from sites where {some} group by ref_idx, pos, es) where r = 1),
+votes as (select ref_idx, rd_id, count(*) filter (where {some} and es = mode) as support from sites left join modes using (ref_idx, pos) group by ref_idx, rd_id)""").replace("with recursive", "with", 1)
+
+
+@query(_coverage(True))
+def edges_coverage(spark, d):
+    """Edges that prefer the next read that agrees with most edited sites' usual state."""
+    return _graph(spark, d, EngineOptions(mode="coverage"))[1]
+
+
+@query(_coverage(False))
+def edges_coverage_unedited(spark, d):
+    return _graph(spark, d, EngineOptions(mode="coverage_unedited"))[1]
+
+
+@query(sql("""select l.ref_idx, l.rd_id as l, r.rd_id as r, case when r.ref_e <= l.ref_e then 'within' else 'dovetail' end as layout, least(l.ref_e, r.ref_e) - r.ref_s as overlap, greatest(0, r.ref_e - l.ref_e) as extend
+  from dedup l join dedup r on l.ref_idx = r.ref_idx and l.ref_s <= r.ref_s and r.ref_s < l.ref_e and (l.ref_s < r.ref_s or l.ref_e > r.ref_e or (l.ref_e = r.ref_e and l.rd_id < r.rd_id))""", *_EDGES))
+def overlap_layouts(spark, d):
+    """All pairs of distinct alignments that share a site, with their layout."""
+    found, _ = inputs.alignments(spark, d)
+    return assembly.overlaps(keep(es.dedup(found)))
+
+
 @query(sql("select ref_idx, src, dst, overlap, extend, value, rank from ranked where rank <= 3", *_EDGES))
 def topk_edges(spark, d):
     return assembly.top_edges(_graph(spark, d)[1], 3)
@@ -372,6 +405,25 @@ def trace_paths(spark, d):
     return paths.select("ref_idx", "start", text(F.col("nodes"), ",").alias("nodes"), "n", "ref_s", text(F.col("dr")).alias("dr"))
 
 
+_WIDE_OPTIONS = EngineOptions(search_depth=-1, max_path=11)
+_WIDE = _PATHS.replace("e.rank <= 1", "e.rank <= 1 + cast(floor(0.03 * p.n) as integer) + cast(floor(0.01 * p.n * p.n) as integer) + cast(floor(0.002 * p.n * p.n * p.n) as integer)").replace("75", "11")
+
+
+@query(sql("select ref_idx, start, array_to_string(nodes, ',') as nodes, n, ref_s, array_to_string(dr, ';') as dr from ends", *_EDGES, recursive=_WIDE))
+def trace_adaptive(spark, d):
+    """Paths of up to 11 nodes that follow more edges the longer they are."""
+    own, edges, refs = _graph(spark, d, _WIDE_OPTIONS)
+    paths = assembly.trace_paths(own, keep(edges), refs, _WIDE_OPTIONS)
+    return paths.select("ref_idx", "start", text(F.col("nodes"), ",").alias("nodes"), "n", "ref_s", text(F.col("dr")).alias("dr"))
+
+
+@query(sql("select ref_idx, n, cast(count(*) as decimal(38, 0)) as paths from ends group by ref_idx, n", *_EDGES, recursive=_WIDE))
+def path_counts(spark, d):
+    """How many such paths of each number of nodes there are, counted without making them."""
+    own, edges, refs = _graph(spark, d, _WIDE_OPTIONS)
+    return assembly.count_paths(own, keep(edges), refs, _WIDE_OPTIONS).where("paths > 0")
+
+
 @query(sql("select l.ref_idx, e.src, e.dst, l.ref_s as ref_s, r.ref_e as ref_e, array_to_string(list_concat(l.dr, r.dr[e.overlap + 1:len(r.dr)]), ';') as dr from edges e join dedup l on l.ref_idx = e.ref_idx and l.rd_id = e.src join dedup r on r.ref_idx = e.ref_idx and r.rd_id = e.dst", *_EDGES))
 def merge_paths(spark, d):
     """Merged alignments of both ends of each edge."""

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinetoflow.functions import dna
@@ -44,37 +45,52 @@ def test_overlap_and_merge(spark):
     assert seq == "CTTTGATTTCTTATTGGTTACTTGTTGACCTATATTTCGGGTTTAC"
 
 
-def extension_by_loops(rd, rf, pos, p, covered, most):
-    """The extension of a chain, letter by letter."""
-    left, right, start = pos, pos + covered - 1, p
-    while start + right - left < len(rf) - 1 and right < len(rd) - 1 and rf[start + right - left + 1] == rd[right + 1]:
-        right += 1
-    most, mm = min(most, 2), 0
-    while start > 0 and left > 0 and mm < most:
-        mm += rf[start] != rd[left]
-        start, left = start - 1, left - 1
-    while start + right - left < len(rf) - 1 and right < len(rd) - 1 and mm < most:
-        mm += rf[start + right - left] != rd[right]
-        right += 1
-    return start, right - left, mm
+def unlike(rd, rf, d, places):
+    """Places of the read whose letter differs from the reference's on the diagonal ``d``."""
+    return [x for x in places if rd[x] != rf[x + d]]
 
 
-def test_extension_against_loops(spark):
+def test_extension_keeps_its_rules(spark):
     rnd = random.Random(3)
     rf = "".join(rnd.choice("ACG") for _ in range(60))
-    cases = []
+    cases = {}
     for i in range(120):
         s, m = rnd.randrange(0, 40), rnd.randrange(12, 30)
         rd = [c if rnd.random() > 0.12 else rnd.choice("ACG") for c in (rf + "".join(rnd.choice("ACG") for _ in range(10)))[s : s + m]]
         at = next((x for x in range(0, len(rd) - 4, 4) if "".join(rd[x : x + 4]) == rf[s + x : s + x + 4]), None)
         if at is not None and s + at + 4 <= len(rf):
-            cases.append((i, "".join(rd), at, s + at))
-    both = spark.createDataFrame([(i, False, rd, [0] * (len(rd) + 1)) for i, rd, _, _ in cases], "rd_id long, reversed boolean, letters string, runs array<int>")
-    best = spark.createDataFrame([(i, False, 0, at, p, 4) for i, _, at, p in cases], "rd_id long, reversed boolean, ref_idx int, pos int, p int, covered int")
+            cases[i] = ("".join(rd), at, s)
+    both = spark.createDataFrame([(i, False, rd, [0] * (len(rd) + 1)) for i, (rd, _, _) in cases.items()], "rd_id long, reversed boolean, letters string, runs array<int>")
+    best = spark.createDataFrame([(i, False, 0, at, s + at, 4) for i, (_, at, s) in cases.items()], "rd_id long, reversed boolean, ref_idx int, pos int, p int, covered int")
     for most in (0, 1, 2, 5):
-        got = {r["rd_id"]: (r["ref_s"], r["ref_e"] - r["ref_s"], r["mm"]) for r in align.extend(best, both, refs(spark, rf), EngineOptions(mismatch_max=most, min_segment=1, min_percent=0)).collect()}
-        want = {i: x for i, rd, at, p in cases if (x := extension_by_loops(rd, rf, at, p, 4, most))[1] > 1}
-        assert got == want
+        allowed, seen = min(most, 2), set()
+        for r in align.extend(best, both, refs(spark, rf), EngineOptions(mismatch_max=most, min_segment=1, min_percent=0)).collect():
+            rd, at, d = cases[r["rd_id"]]
+            left, right, last = r["ref_s"] - d, r["ref_e"] - d, min(len(rd), len(rf) - d) - 1
+            assert 0 <= left <= at and at + 3 <= right <= last
+            before = unlike(rd, rf, d, range(left + 1, at + 1))
+            stop = next(iter(unlike(rd, rf, d, range(at + 4, last + 1))), last + 1) - 1  # the exact match ends here
+            after = unlike(rd, rf, d, range(stop, right))
+            assert r["mm"] == len(before) + len(after) <= allowed
+            assert left == (at if most == 0 else 0) or (len(before) == allowed and before[0] == left + 1)
+            spent = len(before) == allowed
+            assert right == stop if spent else right == last or (r["mm"] == allowed and after[-1] == right - 1)
+            seen.add(r["rd_id"])
+        assert len(seen) > 60
+
+
+def test_hot_kmers_are_dealt_without_loss(spark, monkeypatch):
+    rnd = random.Random(6)
+    low = "AAAAAAAAGAAAAAAAAAAAAAAACAAAAAAA" * 12
+    r = refs(spark, low, "".join(rnd.choice("ACGT") for _ in range(300)), low[5:200])
+    own = reads(spark, *(low[k : k + 60] for k in range(30)), *("".join(rnd.choice("ACG") for _ in range(60)) for _ in range(5)))
+    both, kmers = align.strands(own), align.index_kmers(r, 10)
+    want = sorted(map(tuple, align.seed_hits(both, kmers, 10).collect()))
+    monkeypatch.setattr(align, "BROADCAST_KMERS", 10)
+    monkeypatch.setattr(align, "HOT_PLACES", 20)
+    monkeypatch.setattr(align, "PARTS", 5)
+    dealt = align.seed_hits(both, kmers, 10)
+    assert sorted(map(tuple, dealt.collect())) == want and len(want) > 5_000
 
 
 def test_empty_reads_and_short_references(spark):
@@ -104,6 +120,39 @@ def test_edges_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_overlaps_against_all_pairs(spark):
+    rnd = random.Random(7)
+    rows = [(k % 2, k, s := rnd.randrange(0, 300), s + rnd.choice([0, 1, 5, 40, 200])) for k in range(150)] + [(0, 900, 10, 20), (0, 901, 10, 20)]
+    for width in (1, 16, 64, 1000):
+        got = sorted(map(tuple, assembly.overlaps(spark.createDataFrame(rows, "ref_idx int, rd_id long, ref_s int, ref_e int"), width).collect()))
+        want = []
+        for a in rows:
+            for b in rows:
+                shared = min(a[3], b[3]) - max(a[2], b[2])
+                if a[0] == b[0] and shared > 0 and (a[2], -a[3], a[1]) < (b[2], -b[3], b[1]):
+                    want.append((a[0], a[1], b[1], "within" if b[3] <= a[3] else "dovetail", shared, max(0, b[3] - a[3])))
+        assert got == sorted(want) and {x[3] for x in got} == {"within", "dovetail"}
+
+
+def test_paths_are_counted_before_they_are_made(spark):
+    depth = 17  # two ways at each step: 131,072 paths
+    rows = [(0, 2 * k + j, 10 * k, 10 * k + 30, [j] * 30) for k in range(depth + 1) for j in (0, 1)]
+    own = spark.createDataFrame(rows, "ref_idx int, rd_id long, ref_s int, ref_e int, dr array<int>")
+    edges = spark.createDataFrame([(0, 2 * k + i, 2 * k + 2 + j, 20, 10, 10) for k in range(depth) for i in (0, 1) for j in (0, 1)], "ref_idx int, src long, dst long, overlap int, extend int, value int")
+    r = refs(spark, "ACG" * 200)
+    wide = EngineOptions(search_depth=2, start_share=0.001)
+    found = {x.n: int(x.paths) for x in assembly.count_paths(own, edges, r, wide).where("paths > 0").collect()}
+    assert found == {depth + 1: 2 ** (depth + 1)}
+    with pytest.raises(ValueError, match="262144 paths"):
+        assembly.trace_paths(own, edges, r, wide, most=100_000)
+    cut = EngineOptions(search_depth=2, start_share=0.001, max_path=6)
+    paths = assembly.trace_paths(own, edges, r, cut, most=64).collect()
+    assert len(paths) == 64 and all(p.truncated and p.n == 6 and len(p.dr) == 80 for p in paths) and len({tuple(p.nodes) for p in paths}) == 64
+    assert all(p.dr == [p.nodes[0] % 2] * 30 + [x % 2 for x in p.nodes[1:] for _ in range(10)] for p in paths)
+    assert {tuple(p.nodes) for p in assembly.trace_paths(own, edges, r, EngineOptions(start_share=0.001, max_path=1)).collect()} == {(0,), (1,)}
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000"
+
+
 def test_support_and_dedup(spark):
     df = spark.createDataFrame([(0, 1, 0, 2, [1, 0]), (0, 2, 0, 2, [1, 0]), (0, 3, 0, 2, [2, 0])], "ref_idx int, rd_id long, ref_s int, ref_e int, dr array<int>")
     assert sorted(r["rd_id"] for r in es.dedup(df).collect()) == [2, 3]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import align, es
+from ..operators.store import numbered
 
 
 def write_tsv(rows: DataFrame, path: str, *partition: str) -> None:
@@ -23,8 +23,8 @@ def write_taf(alignments: DataFrame, refs: DataFrame, path: str, numeric: bool =
 def fastq_lines(alignments: DataFrame, refs: DataFrame) -> DataFrame:
     """Records @tal1, @tal2, ... with the aligned sequences and J for every quality, in the order of reads."""
     rows = align.taf(alignments, refs).withColumn("id", F.expr("cast(substring(read, 2) as bigint)"))
-    n = F.row_number().over(W.orderBy("id", "ref"))
-    return rows.select(F.concat(F.lit("@tal"), n.cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("J"), F.length("seq"))).alias("value"))
+    rows = numbered(rows.select("id", "ref", "seq"), "id", "ref")
+    return rows.select(F.concat(F.lit("@tal"), F.col("number").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("J"), F.length("seq"))).alias("value"))
 
 
 def write_fastq(alignments: DataFrame, refs: DataFrame, path: str) -> None:

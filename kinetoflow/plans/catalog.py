@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import align, assembly, diffexp, es, guides, kmers, peptides
-from ..operators.store import keep
+from ..operators.store import folder, keep
 from ..options import EngineOptions
+from ..sources import readers, writers
 from . import inputs
 from .inputs import ALIGNED, RUNS, sql
 
@@ -327,6 +329,25 @@ def support_index(spark, d):
     return es.support_index(found)
 
 
+@query(sql(f"select row_number() over (order by rd_id, ref_name) as rd_id, 'tal' || row_number() over (order by rd_id, ref_name) as name, seq, repeat('J', length(seq)) as qual from (select rd_id, ref_name, {_ALIGNED_SEQ} as seq from aligned join crypto using (ref_idx))", *ALIGNED))
+def fastq_round_trip(spark, d):
+    """Aligned sequences written as FASTQ records and read back."""
+    found, refs = inputs.alignments(spark, d)
+    path = f"{folder(spark)}/fastq-{uuid.uuid4().hex}"
+    writers.write_fastq(keep(found), refs, path)
+    return readers.read_fastq(spark, path)
+
+
+@query(sql(f"select 'crypto' as ref, '@' || rd_id as read, ref_s, ref_e, array_to_string(dr, ';') as dr, {_ALIGNED_SEQ} as seq from aligned join crypto using (ref_idx)", *ALIGNED))
+def taf_round_trip(spark, d):
+    """Alignment lines written and read back."""
+    found, refs = inputs.alignments(spark, d)
+    path = f"{folder(spark)}/taf-{uuid.uuid4().hex}"
+    writers.write_taf(keep(found), refs, path)
+    lines = readers.read_taf(spark, path)
+    return lines.select("ref", "read", "ref_s", "ref_e", text(F.col("dr")).alias("dr"), "seq")
+
+
 # --- assembly ----------------------------------------------------------------------------------------------------------
 
 _OPTIONS = EngineOptions(min_orf_length=8)

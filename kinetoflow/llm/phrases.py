@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import words as words_of
-from .common import settle
+from .common import settle, small_batches
 
 #: Words of a phrase at most (three numbers of BITS bits fit into 63), and occurrences a candidate needs.
 WORDS = 3
@@ -32,10 +32,10 @@ TOP = 2000
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text worked on at a time; phrases that a task holds before subtrees leave; phrases of a container before it bursts; and what a
 #: partition is planned for.
-PORTION = 3_000_000
-HELD = 1_400_000
+PORTION = 2_000_000
+HELD = 1_000_000
 BURST = 4_096
-PARTITION = 2_000_000
+PARTITION = 1_200_000
 
 BITS = 21
 _LOW = (1 << BITS) - 1
@@ -194,6 +194,15 @@ def _count(parts: int, most: int, portion: int, held: int):
 _RUN_ARROW = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("bits", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _lines(texts: list[bytes]) -> pa.Array:
+    """The lines of all texts in turn, as one array, without an object for each."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    ends = np.append(np.flatnonzero(data == 10), len(data))
+    offsets = np.zeros(len(ends) + 1, np.int64)
+    offsets[1:] = ends - np.arange(len(ends))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
+
+
 def _merge(least: int):
     """Runs of one prefix partition -> its phrases with ``least`` occurrences or more, and for each language all occurrences of words (size 0)."""
 
@@ -201,19 +210,20 @@ def _merge(least: int):
         langs, sizes, phrases, counts = [], [], [], []
         for lang in rows["lang"].unique().to_pylist():
             runs = rows.filter(pc.equal(rows["lang"], lang)).to_pylist()
-            each = [x["words"].split(b"\n") for x in runs]
-            coded = pa.array([w for x in each for w in x], pa.binary()).dictionary_encode()
-            spelled, by_word = np.array(coded.dictionary.to_pylist(), object), pc.array_sort_indices(coded.dictionary).to_numpy()
+            coded = _lines([x["words"] for x in runs]).dictionary_encode()
+            by_word = pc.array_sort_indices(coded.dictionary).to_numpy()
+            spelled = coded.dictionary.take(pa.array(by_word))
             rank = np.empty(len(spelled), np.int64)
             rank[by_word] = np.arange(1, len(spelled) + 1)
-            ranks, spelled = rank[coded.indices.to_numpy()], spelled[by_word]
+            ranks = rank[coded.indices.to_numpy()]
             at, keys, every, low = 0, [], [], (1 << len(spelled).bit_length()) - 1
             width = len(spelled).bit_length()
             if 3 * width > 63:
                 raise ValueError("more than two million words in one prefix partition: lower PARTITION")
-            for x, words in zip(runs, each, strict=True):
-                own = np.concatenate([[0], ranks[at : at + len(words)]])
-                at += len(words)
+            for x in runs:
+                words = x["words"].count(b"\n") + 1
+                own = np.concatenate([[0], ranks[at : at + words]])
+                at += words
                 found = from_planes(x["keys"], int.from_bytes(x["counts"][-8:], "little"))
                 mask = (1 << x["bits"]) - 1
                 keys.append((own[found >> (2 * x["bits"])] << (2 * width)) | (own[(found >> x["bits"]) & mask] << width) | own[found & mask])
@@ -227,7 +237,7 @@ def _merge(least: int):
             langs.append(lang), sizes.append(0), phrases.append(b""), counts.append(int(every[single].sum()))
             often = every >= least
             for key, count in zip(keys[often].tolist(), every[often].tolist(), strict=True):
-                words = [spelled[k - 1] for k in (key >> (2 * width), (key >> width) & low, key & low) if k]
+                words = [spelled[k - 1].as_py() for k in (key >> (2 * width), (key >> width) & low, key & low) if k]
                 langs.append(lang), sizes.append(len(words)), phrases.append(b" ".join(words)), counts.append(count)
         return pa.table({"lang": pa.array(langs, pa.string()), "size": pa.array(sizes, pa.int32()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string(), safe=False), "f": pa.array(counts, pa.int64())})
 
@@ -241,6 +251,7 @@ def count_phrases(docs: DataFrame, most: int = WORDS, least: int = LEAST, lang_c
     """
     if not 1 <= most <= WORDS:
         raise ValueError(f"phrases have 1 to {WORDS} words")
+    small_batches(docs.sparkSession, 1000)
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = own.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size * most // (7 * PARTITION)))

@@ -194,9 +194,9 @@ def _tell(sent: DataFrame, wide: bool) -> DataFrame:
 
 
 def repeated_windows(kept: DataFrame, length: int = LENGTH, least: int = LEAST, longest: bool = False):
-    """Levels up to ``length`` over ``portions``: (bits of the last level, level settings to read them with).
+    """The levels over ``portions`` up to ``length``, or until no window repeats: for each its settings and the ``bits`` that buckets told portions.
 
-    With ``longest`` the levels go on by doubling until no window repeats; the result is then the list of all levels with their bits.
+    With ``longest`` the levels go on by doubling beyond ``length`` until no window repeats.
     """
     total = kept.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET))

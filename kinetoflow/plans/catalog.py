@@ -725,9 +725,32 @@ def library_sizes(spark, d):
     return c.groupBy("sample").agg(F.sum("n").alias("total"), F.count("*").alias("sites"))
 
 
-@query()
+_TMM = """,
+sizes as (select sample, cast(sum(n) as double) as total from site_counts group by sample),
+shares as (select key, sample, n, total, n / total as share from site_counts join sizes using (sample)),
+quartiles as (select sample, quantile_cont(share, 0.75) as q from shares group by sample),
+chosen as (select sample as ref from quartiles order by abs(q - (select avg(q) from quartiles)), sample limit 1),
+base as (select key, n as rn, total as rt from shares join chosen on sample = ref),
+ratios as (select sample, key, log2(share / (rn / rt)) as m, (log2(share) + log2(rn / rt)) / 2 as a, (total - n) / total / n + (rt - rn) / rt / rn as v from shares join base using (key)),
+ranked as (select *, row_number() over (partition by sample order by m, key) as rm, row_number() over (partition by sample order by a, key) as ra, count(*) over (partition by sample) as k from ratios),
+middle as (select * from ranked where rm between floor(k * 0.3) + 1 and k - floor(k * 0.3) and ra between floor(k * 0.05) + 1 and k - floor(k * 0.05) and v > 0),
+logs as (select sizes.sample, coalesce(sum(m / v) / sum(1 / v), 0) as ratio from sizes left join middle using (sample) group by sizes.sample)"""
+
+
+@query(sql("select sample, round(pow(2, ratio - (select avg(ratio) from logs)), 6) as factor from logs", *_INNER, recursive=_SAMPLES + _TMM).replace("with recursive", "with", 1))
 def de_tmm_factors(spark, d):
-    return diffexp.tmm_factors(_site_counts(spark, d))
+    """Scaling factors of the samples by trimmed means."""
+    return diffexp.tmm_factors(_site_counts(spark, d)).select("sample", F.round("factor", 6).alias("factor"))
+
+
+@query("""with tested as (select o_orderkey, pow((o_orderkey * 31 + o_custkey * 17) % 9973 + 1, 2) / pow(9973, 2) as p_value from orders),
+quotients as (select p_value, p_value * count(*) over () / count(*) over (order by p_value) as q from tested)
+select o_orderkey, round(fdr, 9) as fdr from tested join (select p_value, least(1, min(min(q)) over (order by p_value desc)) as fdr from quotients group by p_value) using (p_value)""")
+def de_fdr(spark, d):
+    """False discovery rates of p values, as the exact test gives them out."""
+    p = F.pow((F.col("o_orderkey") * 31 + F.col("o_custkey") * 17) % 9973 + 1, F.lit(2)) / F.pow(F.lit(9973), F.lit(2))
+    rows = inputs.table(spark, d, "orders").select("o_orderkey", p.alias("p_value"))
+    return diffexp.false_discovery(rows).select("o_orderkey", F.round("fdr", 9).alias("fdr"))
 
 
 _CONDITIONS = {f"s{i}": "control" if i < 3 else "treated" for i in range(6)}

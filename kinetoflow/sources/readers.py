@@ -48,13 +48,23 @@ def fasta_map(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str, longer_than: int = 1, dna_only: bool = True) -> DataFrame:
     """(rd_id, name, seq, qual): valid records of four lines; rd_id counts all records of the files from 1, rejected ones too.
 
-    Lines are numbered by the sizes of the files' splits, in the order of file and place: records may cross splits, and no task sees all lines.
-
     Valid: the first line starts with @, sequence and quality are equally long and longer than ``longer_than``; dna_only drops
     sequences with other letters than A, C, G, T.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    lines = ordinals(lines, "at", "i", "file", "block").withColumn("i", F.col("i") - 1)
+    return fastq_records(fastq_lines(spark.read.text(path)), longer_than, dna_only)
+
+
+def fastq_lines(text: DataFrame) -> DataFrame:
+    """(value, file, block): the lines of text files, also of a stream of files, and where each lies."""
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def fastq_records(lines: DataFrame, longer_than: int = 1, dna_only: bool = True) -> DataFrame:
+    """Records of such lines, as ``read_fastq`` gives them.
+
+    Lines are numbered by the sizes of the files' splits, in the order of file and place: records may cross splits, and no task sees all lines.
+    """
+    lines = ordinals(lines.withColumn("at", F.monotonically_increasing_id()), "at", "i", "file", "block").withColumn("i", F.col("i") - 1)
     of = lambda k: F.max(F.when(F.col("i") % 4 == k, F.regexp_replace("value", "\r$", "")))
     rows = lines.groupBy(F.floor(F.col("i") / 4).alias("n")).agg(of(0).alias("name"), of(1).alias("seq"), of(3).alias("qual"))
     good = F.col("name").startswith("@") & (F.length("seq") > longer_than) & (F.length("seq") == F.length("qual"))

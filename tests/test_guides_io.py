@@ -1,3 +1,4 @@
+import math
 import random
 
 from kinetoflow.functions import dna
@@ -5,6 +6,7 @@ from kinetoflow.operators import align, diffexp, es, guides, peptides
 from kinetoflow.options import EngineOptions, from_arguments
 from kinetoflow.sources import readers, writers
 from kinetoflow.streaming import histogram
+import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
@@ -156,6 +158,50 @@ def test_differential(spark):
     assert diffexp.exact_p(0, 0, 2, 2, 0.1) == 1.0 and abs(diffexp.exact_p(5, 5, 2, 2, 0.1) - 1.0) < 1e-9
 
 
+def test_false_discovery_against_loops(spark):
+    rnd = random.Random(4)
+    p = [rnd.choice((rnd.random() ** 3, 0.25, 1.0, 0.0)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(p)) + [(900, None)], "key int, p_value double").repartition(5)
+    found = {r["key"]: r["fdr"] for r in diffexp.false_discovery(rows).collect()}
+    for k, own in enumerate(p):
+        wanted = min(1.0, min(q * len(p) / sum(x <= q for x in p) for q in p if q >= own))
+        assert abs(found[k] - wanted) < 1e-12
+    assert found[900] is None and len(found) == 301
+    assert diffexp.false_discovery(rows.limit(0)).collect() == []
+
+
+def test_moderated_dispersion_against_sums_over_all_rows(spark):
+    rnd = np.random.default_rng(5)
+    mean, samples = rnd.choice([2, 30, 400], 150), "abcdef"
+    y = np.stack([rnd.poisson(mean * rnd.gamma(1 / d, d, len(mean))) for d in [0.2] * 6], axis=1)
+    y[:3] = 0
+    rows = [(f"k{i:03d}", s, int(y[i, j])) for i in range(len(y)) for j, s in enumerate(samples)]
+    conditions = {s: "u" if s < "d" else "v" for s in samples}
+    counts = spark.createDataFrame(rows, "key string, sample string, n long").repartition(3)
+    tested = {r["key"]: r for r in diffexp.exact_test(counts, conditions, "u", "v").collect()}
+    sizes = {r["sample"]: r["total"] * r["factor"] for r in diffexp.library_sizes(counts).join(diffexp.tmm_factors(counts), "sample").collect()}
+    common = math.exp(sum(math.log(x) for x in sizes.values()) / 6)
+    scaled = np.array([[math.floor(y[i, j] * (common / sizes[s]) + 0.5) for j, s in enumerate(samples)] for i in range(len(y))], float)
+
+    def likelihood(row, d):
+        """Log probability of each group's counts given their sum, up to what does not depend on the dispersion."""
+        r = 1 / d
+        return sum(sum(math.lgamma(v + r) - math.lgamma(r) for v in g) - math.lgamma(sum(g) + 3 * r) + math.lgamma(3 * r) for g in (row[:3], row[3:]))
+
+    level = [min(max(round(math.log2(sum(r) / 6 + 0.5)), 0), diffexp.LEVELS - 1) for r in scaled]
+    own = [[likelihood(r, d) for d in diffexp.GRID] for r in scaled]
+    full = [i for i, r in enumerate(scaled) if sum(r)]
+    for i in range(len(y)):
+        weights = {k: 1 / (1 + abs(level[k] - level[i])) for k in full if abs(level[k] - level[i]) <= diffexp.SPAN}
+        mean_of = [sum(w * own[k][g] for k, w in weights.items()) / sum(weights.values()) for g in range(len(diffexp.GRID))]
+        score = [own[i][g] + diffexp.PRIOR_DF / 4 * mean_of[g] for g in range(len(diffexp.GRID))]
+        used = diffexp.GRID.index(tested[f"k{i:03d}"]["dispersion"])
+        assert score[used] >= max(score) - 1e-6
+    assert 0.1 < np.median([r["dispersion"] for r in tested.values()]) < 0.4
+    x = np.array([1e-3, 0.3, 1.0, 7.5, 1e4, 1e7])
+    assert np.allclose(diffexp._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
 def test_options():
     assert from_arguments(["--seed", "8", "--mode", "editing"]).seed == 8
     for bad in ({"seed": "x"}, {"overlap_min": -1}, {"mode": "none"}):

@@ -4,6 +4,7 @@ from kinetoflow import runs
 from kinetoflow.operators import align, store
 from kinetoflow.options import EngineOptions
 from kinetoflow.sources import readers, writers
+from kinetoflow.streaming import reads
 
 SMALL = EngineOptions(seed=6, min_segment=8, overlap_min=5, extension_min=3, min_orf_length=10, start_share=0.9, each_orf_alignment=True)
 
@@ -84,3 +85,21 @@ def test_differential_run(spark, tmp_path):
     best = tested.orderBy("p_value").first()
     assert best.fdr < 0.001 and abs(best.log_fc) > 1 and best.fold != 0
     assert all(spark.read.text(str(tmp_path / f"out/dest/s{k}")).count() == 40 * len(ref.replace("T", "")) for k in range(4))
+
+
+def test_align_stream_equals_the_batch_run(spark, tmp_path):
+    data(tmp_path, 3)
+    out, kept = str(tmp_path / "out"), str(tmp_path / "kept")
+    refs = store.keep(align.encode_refs(readers.read_fasta(spark, str(tmp_path / "ref.fa"))))
+    (tmp_path / "come").mkdir()
+    columns = ("name", "ref_idx", "reversed", "ref_s", "ref_e", "dr", "mm")
+    for name in ("a.fq", "b.fq"):  # the second run goes on after the first
+        (tmp_path / "come" / name).write_text((tmp_path / "reads" / name).read_text().replace("@r", f"@{name[0]}"))
+        query = reads.align_stream(spark, str(tmp_path / "come"), refs, out, kept, SMALL)
+        assert query.awaitTermination(120) and query.exception() is None
+    found = spark.read.parquet(out)
+    batch = readers.read_fastq(spark, str(tmp_path / "come"))
+    wanted = align.align(batch, refs, SMALL).join(batch.select("rd_id", "name"), "rd_id")
+    rows = found.select(*columns).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, wanted.select(*columns).collect())) and len(rows) > 40
+    assert found.select("rd_id").distinct().count() == len(rows) and found.select("batch").distinct().count() == 2

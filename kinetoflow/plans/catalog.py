@@ -89,11 +89,12 @@ def codon_translate(spark, d):
     return rows.select("doc_id", *[dna.translate_frame(F.col("seq"), f).alias(f"frame{f}") for f in range(3)])
 
 
-_SITES = ", ".join(f"('{c}', {n!r})" for c, n in peptides.codon_sites())
+_CODE = ", ".join(f"('{codon}', '{acid}')" for codon, acid in dna.CODONS.items())
 
 
 @query(sql(f"""select doc_id, count(*) as codons, round(sum(sites), 6) as nonsyn_sites from (
-  select doc_id, substr(seq, i + 1, 3) as codon from (select doc_id, seq, unnest(range(0, length(seq) - 2, 3)) as i from docs_dna)) join (values {_SITES}) t(codon, sites) using (codon) group by doc_id""", "docs_dna"))
+  select doc_id, substr(seq, i + 1, 3) as codon from (select doc_id, seq, unnest(range(0, length(seq) - 2, 3)) as i from docs_dna)) join (
+  select a.codon, count(*) filter (where a.acid <> b.acid) / 3.0 as sites from (values {_CODE}) a(codon, acid) join (values {_CODE}) b(codon, acid) on hamming(a.codon, b.codon) = 1 group by a.codon) using (codon) group by doc_id""", "docs_dna"))
 def codon_nonsyn_sites(spark, d):
     """Non-synonymous sites summed over each document's codons."""
     table = spark.createDataFrame(peptides.codon_sites(), "codon string, sites double")

@@ -406,3 +406,35 @@ def test_surrogates_of_later_mentions_and_short_addresses(spark):
     assert f" {family} said that {first}'s, not Smithson's, was {family}'s;" in new
     other = re.search(r"Mr\. (\w+)'s", new)[1]
     assert f" met {other} at " in new and re.search(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] with [0-9a-f]{4}::[0-9a-f]{2}\.", new)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rnd = random.Random(8)
+    long = prose(rnd, 30_000)
+    rows = [(10, long, "en", "a", len(long), 1), (11, long + " more", "en", None, len(long) + 5, 2), (12, "before " + item + " after", "en", "a", 9, 3), (None, item, None, None, None, 4)]
+    docs = corpus_pipeline.settle(odd(spark).unionByName(spark.createDataFrame(rows, SCHEMA)))
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted((r["doc_id"] for r in df.collect()), key=lambda k: (k is None, k))
+    near = stages["SimHash near-dedup"](spark, docs, SF)
+    one, two = plain_shingles(item), plain_shingles(rows[2][1])
+    assert len(one & two) / len(one | two) >= 0.8  # so the bare item without an id goes with 12
+    assert near.columns == docs.columns and ids(near) == [1, 10, 12, None]
+    clean = stages["benchmark decontamination"](spark, docs, SF)
+    assert clean.columns == docs.columns and ids(clean) == [1, 2, 2, 3, 10, 11]
+    mixed = stages["mixing sources"](spark, docs, SF)
+    taken = Counter(ids(mixed))
+    assert mixed.columns == docs.columns and not set(taken) & {1, 2, 3} and max(taken[10], taken[11]) <= 2 and taken[10] + taken[11] > 0
+    good = stages["quality classifier"](spark, docs, SF)
+    assert good.columns == docs.columns and set(ids(good)) <= {1, 2, 3, 10, 11, 12, None}
+    packed = [(d, s) for r in stages["token packing"](spark, docs, SF).collect() for d, s in zip(r["doc_ids"], r["piece_starts"])]
+    assert Counter(d for d, s in packed if s == 0) == Counter(ids(docs)) and len(packed) > docs.count()
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.settle(stage(spark, docs, SF))
+        assert docs.count() == 0, name
+        if stage is corpus_pipeline.STAGES[-2][1]:
+            assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]

@@ -155,7 +155,8 @@ def exact_test(counts: DataFrame, conditions: dict[str, str], first: str, second
             np.add.at(sums, level, row_likelihoods(y, groups))
             seen += np.bincount(level, minlength=LEVELS)
         found = np.flatnonzero(seen)
-        yield pd.DataFrame({"level": found, "seen": seen[found], "ll": list(sums[found])})
+        if len(found):
+            yield pd.DataFrame({"level": found, "seen": seen[found], "ll": list(sums[found])})
 
     prior = None
     if freedom:

@@ -202,6 +202,15 @@ def test_moderated_dispersion_against_sums_over_all_rows(spark):
     assert np.allclose(diffexp._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
 
 
+def test_differential_without_replicates_or_rows(spark):
+    df = spark.createDataFrame([("k1", "a", 5), ("k1", "b", 5), ("k2", "a", 90), ("k2", "b", 90), ("k3", "a", 0), ("k3", "b", 0)], "key string, sample string, n long").repartition(7)
+    found = {r["key"]: r for r in diffexp.exact_test(df, {"a": "u", "b": "v"}, "u", "v").collect()}
+    assert len(found) == 3 and {r["dispersion"] for r in found.values()} == {0.1} and found["k3"]["p_value"] == found["k3"]["fdr"] == 1.0
+    four = {s: "u" if s < "c" else "v" for s in "abcd"}
+    assert diffexp.exact_test(df.limit(0), four, "u", "v").collect() == []
+    assert len(diffexp.exact_test(df, four, "u", "v").collect()) == 3  # samples without rows count as zeros
+
+
 def test_options():
     assert from_arguments(["--seed", "8", "--mode", "editing"]).seed == 8
     for bad in ({"seed": "x"}, {"overlap_min": -1}, {"mode": "none"}):

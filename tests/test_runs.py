@@ -103,3 +103,7 @@ def test_align_stream_equals_the_batch_run(spark, tmp_path):
     rows = found.select(*columns).collect()
     assert sorted(map(str, rows)) == sorted(map(str, wanted.select(*columns).collect())) and len(rows) > 40
     assert found.select("rd_id").distinct().count() == len(rows) and found.select("batch").distinct().count() == 2
+    fastq(tmp_path / "come" / "c.fq", ["ACGNACGT", "NN"])  # no valid read
+    query = reads.align_stream(spark, str(tmp_path / "come"), refs, out, kept, SMALL)
+    assert query.awaitTermination(120) and query.exception() is None
+    assert spark.read.parquet(out).count() == len(rows) and spark.read.schema(wanted.schema).parquet(f"{out}/batch=2").count() == 0

@@ -12,12 +12,20 @@ links that result are the same for every value of ``HOT``; the tests run with 1,
 
 A half shared by very many distinct fingerprints would pair quadratically. Fingerprints of such hot variants go
 another, equally exact way: balls over all 64 bits, and a star in place of pairs (see ``_hub_links``).
+
+Texts 0.8 alike (``similar_groups``) differ in more bits than such balls reach. They meet in the same way on blocks of a longer SimHash:
+each block emits its ball of half the radius, those that collide are verified by the Hamming distance of 128 bits, then by their shingles.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +36,19 @@ from .components import components
 RADIUS = 3
 #: Fingerprints at one variant from which on it is hot.
 HOT = 256
-#: By similarity: bands of min-hashes below which texts meet, min-hashes of a band, and min-hashes of which a bit is kept. At 0.8 a band is shared
-#: with 0.33, all of them missed with 0.00007.
-BANDS, ROWS, SKETCH = 24, 5, 128
-#: Bits in which fingerprints of texts 0.8 alike may differ (9.7 on average, deviation 2.9; not asked below FEW shingles), and sketches (12.8, 3.4).
-WIDE, FEW, APART = 22, 16, 30
-#: Rounds in which a kind is compared with one hub of each of its buckets, before the pairs that are still apart.
+#: By similarity: longs of a SimHash, the share of its bits in which two sets of shingles 0.8 alike differ at most (their angle over pi), and the share of such
+#: pairs that may meet on no block.
+LONGS, FLIPPED, MISSED = 4, 0.1515, 0.0005
+#: Bits of the first 64 and 128 in which texts 0.8 alike may differ (9.7 and 19.4 on average, deviation 2.9 and 4.1); below FEW shingles single ones weigh more (12 and 24).
+WIDE, APART, FEW, LOOSE = 24, 36, 16, 48
+#: Kinds at one cell from which on it is dealt out in pairs of tiles.
+TILE = 4096
+#: Rounds in which a kind is compared with one hub of each of its groups, before the pairs that are still apart.
 ROUNDS = 3
 #: Most rows (two longs each) that are broadcast to fetch texts.
 BROADCAST_KINDS = 1_000_000
+_ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def _shingle_hashes(text: str | None, words: int, seed: int):
@@ -161,61 +173,128 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _grouped(docs, id_col, text_col, hot).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def _min_hashes(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Least product of the hashes with each factor, by blocks; zeros without hashes."""
-    if not len(h):
-        return np.zeros(len(factors), np.uint64)
-    least = [np.multiply.outer(h[k : k + 2048], factors).min(axis=0) for k in range(0, len(h), 2048)]
-    return np.minimum.reduce(least)
+def _long_simhash(h: np.ndarray) -> np.ndarray:
+    """SimHash of ``LONGS`` longs of distinct shingle hashes: the hashes as they are, then mixed anew for each long; zeros without hashes."""
+    ones = np.zeros(64 * LONGS, np.int64)
+    for k in range(0, len(h), 8160):
+        own = h[k : k + 8160]
+        words = np.empty((len(own), LONGS), np.uint64)
+        words[:, 0] = own
+        mixed = (own ^ (own >> np.uint64(31)))[:, None] * _ODD
+        words[:, 1:] = mixed ^ (mixed >> np.uint64(29))
+        # a byte's bits as eight counters of a byte each: up to 255 hashes add up without a carry
+        sums = np.add.reduceat(_LANES[words.view(np.uint8)], np.arange(0, len(own), 255), axis=0)
+        ones += sums.view(np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Add ``s``: kind (hash of the shingle set), fp (SimHash of the distinct shingles), n (their number), bands, and the sketch's bits (low, high)."""
+    """Add ``s``: kind (hash of the shingle set), n (its size) and the longs s0, s1, ... of the SimHash of the distinct shingles."""
     small_batches(docs.sparkSession)
-    bands, rows = BANDS, ROWS
-    factors = np.random.default_rng(7).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    odd, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
+    names = [f"s{k}" for k in range(LONGS)]
 
-    @F.pandas_udf("kind long, fp long, n long, bands array<long>, low long, high long")
+    @F.pandas_udf("kind long, n long, " + ", ".join(f"{c} long" for c in names))
     def sketch(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             h = text_shingles(text, words)
-            least = _min_hashes(h, factors)
-            mixed = (least ^ (least >> shift)) * odd
-            band = np.zeros(bands, np.uint64)
-            for k in range(rows):
-                band = (band ^ mixed[k : bands * rows : rows]) * odd
-                band ^= band >> shift
-            bits = np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64).tolist()
-            first = np.array([xxhash.xxh3_64_intdigest(h.tobytes()), _majority([h])], np.uint64).view(np.int64).tolist()
-            out.append((*first, len(h), band.view(np.int64).tolist(), *bits))
-        return pd.DataFrame(out, columns=["kind", "fp", "n", "bands", "low", "high"])
+            kind = np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64).view(np.int64)
+            out.append((*kind.tolist(), len(h), *_long_simhash(h).view(np.int64).tolist()))
+        return pd.DataFrame(out, columns=["kind", "n", *names])
 
     return docs.withColumn("s", sketch("text"))
 
 
-_OWN = ("kind", "fp", "n", "low", "high")
+_OWN = ("kind", "n", "s0", "s1")
+
+
+def _blocks(kinds: int) -> tuple[int, int]:
+    """(bits, blocks) for so many kinds: a cell has some hundred rows at any size, and balls of radius 1 on the blocks bring a pair within 2 bits on one of
+    them but for the share MISSED."""
+    bits = min(28, max(8, math.ceil(math.log2(max(kinds, 1))) - 6))
+    within = sum(math.comb(bits, i) * FLIPPED**i * (1 - FLIPPED) ** (bits - i) for i in range(3))
+    return bits, math.ceil(math.log(MISSED) / math.log(1 - within))
+
 
+def _cells(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(cell, kind, n, s0, s1): every block of a kind's SimHash, as it is and with each one bit changed; twice as many blocks below FEW shingles."""
+    def block(t: int):
+        return F.shiftrightunsigned(f"s{t % LONGS}", t // LONGS * bits % (65 - bits)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + F.lit(t << 32).cast("long")
 
-def _meeting(kinds: DataFrame, hot: int) -> DataFrame:
-    """(variant, kind, fp, n, low, high): kinds by the bands they share with others.
+    own = F.when(F.col("n") < FEW, F.array(*map(block, range(2 * blocks)))).otherwise(F.array(*map(block, range(blocks))))
+    rows = kinds.select(*_OWN, F.explode(own).alias("block")).withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))))
+    return rows.select(F.expr("case when bit < 0 then block else block ^ shiftleft(1L, bit) end").alias("cell"), *_OWN)
 
-    Rows of a band that more than ``hot`` kinds share, as a common passage makes them, go on as pairs of this band with each other band, which
-    kinds 0.8 alike share as well (both missed with 0.0009) and others hardly do.
+
+def _labels(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, similarity: float) -> np.ndarray:
+    """For each kind of a cell the first one that pairs near by their bits connect it with."""
+    label = np.arange(len(n))
+    for a in range(0, len(n), 256):
+        x, y = np.nonzero(np.bitwise_count(s0[a : a + 256, None] ^ s0[None, a:]) <= WIDE)
+        x, y = x[x < y] + a, y[x < y] + a
+        least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        apart = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])
+        near = (apart <= np.where(least < FEW, LOOSE, APART)) & (least >= similarity * most)
+        x, y = x[near], y[near]
+        while True:
+            low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            if not (low < high).any():
+                break
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def _meeting(kinds: DataFrame, similarity: float) -> DataFrame:
+    """(variant, kind, n, s0, s1): kinds whose blocks' balls collide, by groups that pairs near by their bits connect; groups alike are one variant.
+
+    Rows of a cell that more than ``TILE`` kinds share are dealt out: every two tiles of them meet in a cell of their own, so that no pair is lost.
     """
-    rows = kinds.select(*_OWN, F.posexplode("bands").alias("t", "band")).withColumn("variant", F.xxhash64("t", "band"))
-    sizes = settle(rows.groupBy("variant").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
-    usual = rows.join(sizes.where(F.col("k") <= hot).select("variant"), "variant").select("variant", *_OWN)
-    heavy = sizes.where(F.col("k") > hot).select("variant")
-    if heavy.isEmpty():
-        return usual
-    crowded = rows.join(heavy, "variant").select("kind", "t")
-    pairs = crowded.join(kinds, "kind").select(*_OWN, "t", "bands", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("u")).where("t <> u")
-    value = F.xxhash64(F.least("t", "u"), F.greatest("t", "u"), F.get("bands", F.least("t", "u")), F.get("bands", F.greatest("t", "u")))
-    pairs = pairs.select(value.alias("variant"), *_OWN).distinct()
-    shared = pairs.groupBy("variant").agg(F.count("*").alias("k")).where("k > 1").select("variant")
-    return usual.unionByName(pairs.join(shared, "variant"))
+    bits, blocks = _blocks(kinds.count())
+    rows = _cells(kinds, bits, blocks)
+    heavy = settle(rows.groupBy("cell").count().where(F.col("count") > TILE).select("cell", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "heavy")
+    if not heavy.isEmpty():
+        dealt = rows.join(heavy, "cell").withColumn("tile", F.pmod(F.xxhash64("kind"), "tiles").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
+        dealt = dealt.select(F.xxhash64("cell", F.least("tile", "o"), F.greatest("tile", "o")).alias("cell"), *_OWN)
+        rows = rows.join(heavy, "cell", "left_anti").unionByName(dealt)
+
+    def groups(columns: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        kind, n, s0, s1 = columns
+        label = _labels(n, s0.view(np.uint64), s1.view(np.uint64), similarity)
+        for first in np.flatnonzero(np.bincount(label, minlength=1) > 1).tolist():
+            found = np.unique(kind[label == first])
+            yield xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), found
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in chain(batches, [None]):  # a cell ends where the next one begins, or with its task's rows
+            columns = None if batch is None else [c.to_numpy() for c in batch.columns]
+            found = []
+            if columns is None or len(columns[0]):
+                if held and (columns is None or columns[0][0] != held[-1][0][-1]):
+                    found += groups([np.concatenate(c) for c in zip(*held)][1:])
+                    held = []
+                if columns is not None:
+                    ends = [*(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
+                    start = 0
+                    for end in ends:
+                        piece = [c[start:end] for c in columns]
+                        if end == len(columns[0]):
+                            held.append(piece)
+                        elif held:
+                            found += groups([np.concatenate(c) for c in zip(*held, piece)][1:])
+                            held = []
+                        elif end - start > 1:
+                            found += groups(piece[1:])
+                        start = end
+            if found:
+                variants = np.repeat(np.array([v for v, _ in found], np.int64), [len(k) for _, k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(variants), pa.array(np.concatenate([k for _, k in found]))], names=["variant", "kind"])
+
+    small_batches(kinds.sparkSession, 1 << 16)  # numbers only: the session's own number
+    found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "variant long, kind long").distinct()
+    return found.join(kinds.select(*_OWN), "kind")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -243,23 +322,23 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def _near(similarity: float, a: str, b: str) -> str:
     """Condition on two kinds' columns that all pairs as alike as that meet but for about 4 in 100,000 by their bits."""
-    fingerprints = f"(least({a}.n, {b}.n) < {FEW} or bit_count({a}.fp ^ {b}.fp) <= {WIDE})"
-    return f"{fingerprints} and bit_count({a}.low ^ {b}.low) + bit_count({a}.high ^ {b}.high) <= {APART} and least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
+    apart = f"bit_count({a}.s0 ^ {b}.s0) + bit_count({a}.s1 ^ {b}.s1) <= if(least({a}.n, {b}.n) < {FEW}, {LOOSE}, {APART})"
+    return f"{apart} and least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(id, mark, kind, component_id, root) of every row; groups connect texts whose shingle sets are ``similarity`` alike or more.
 
-    Candidates meet on bands of min-hashes. A bucket of near copies of one text must not become all its pairs, so in
-    ``ROUNDS`` rounds every kind is verified against one hub of each bucket, another in each round, as far as it is
-    not yet connected with it: at most BANDS pairs for a kind; then come the pairs of a bucket (``HOT`` kinds at most, or such as share two bands) that are still
-    apart. Size, fingerprint and sketch decide first; shingle sets, made once for each kind that meets another, for what is left.
+    Candidates are groups of kinds whose balls collide (``_meeting``). A group of near copies of one text must not become all its pairs, so in
+    ``ROUNDS`` rounds every kind is verified against one hub of each group, another in each round, as far as it is
+    not yet connected with it; then come the pairs of a group that are still
+    apart. Sizes and SimHashes decide first; shingle sets, made once for each kind that meets another, for what is left.
     Connected kinds need no more links, so none is lost.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     prints = settle(_sketches(own, words).select("id", "mark", "s.*"), "prints")
-    kinds = settle(prints.groupBy("kind").agg(*(F.first(c).alias(c) for c in ("fp", "n", "low", "high", "bands")), F.min("id").alias("least"), F.min("mark").alias("mark")), "kinds")
-    met = settle(_meeting(kinds, HOT), "met")
+    kinds = settle(prints.groupBy("kind").agg(*(F.first(c).alias(c) for c in ("n", *(f"s{k}" for k in range(LONGS)))), F.min("id").alias("least"), F.min("mark").alias("mark")), "kinds")
+    met = settle(_meeting(kinds, similarity), "met")
     wanted = kinds.join(met.select("kind").distinct(), "kind", "left_semi").select("kind", "mark")
     if count_at_most(wanted, BROADCAST_KINDS):
         wanted = F.broadcast(wanted)  # 16 bytes a row: below 20 MB
@@ -267,7 +346,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     sets = settle(_sets(texts, words), "sets")
     links, rooted = None, met.withColumn("root", F.col("kind"))
     for turn in range(ROUNDS + 1):
-        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "fp", "n", "low", "high", "root")).alias("hub")).where("low < high")
+        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "n", "s0", "s1", "root")).alias("hub")).where("low < high")
         apart = settle(apart.select("variant", "hub"), "apart")
         if apart.isEmpty():
             break
@@ -292,9 +371,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, component_id) for each row: groups that links of at least ``similarity`` (Jaccard, distinct shingles) connect.
 
-    A similarity of 0.8 leaves two fingerprints 9.7 bits apart on average, so balls of half such a radius cannot be written out. Here texts meet on
-    ``BANDS`` bands of ``ROWS`` min-hashes of their shingles; the SimHash and a bit of each of ``SKETCH`` min-hashes refuse pairs before sets
-    are compared, and the similarity of the whole sets decides. At 0.8 a pair is missed with some 0.0001, in crowded bands with 0.001.
+    A similarity of 0.8 leaves two fingerprints 9.7 of 64 bits apart on average, so balls of half such a radius over all bits cannot be written out. Here
+    balls of radius 1 are written for blocks of a SimHash of 64 * ``LONGS`` bits, as many as bring two texts 0.8 alike within 2 bits on one of them
+    but for 0.0005; colliding pairs are verified by the distance of 128 bits, then by the similarity of the whole sets.
 
     Nulls and texts without words are alike; a text of fewer words is one shingle. Letters' case (A-Z) and kinds of white
     space do not count. Null ids count in no minimum. Other columns are ignored, an empty table gives no rows.

@@ -438,3 +438,42 @@ def test_pipeline_stages_on_an_empty_table(spark):
         assert docs.count() == 0, name
         if stage is corpus_pipeline.STAGES[-2][1]:
             assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_texts_meet_by_balls_of_simhash_blocks(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash_dedup, "TILE", tile)
+    rnd = random.Random(5)
+    bits, blocks = simhash_dedup._blocks(400)
+    assert simhash_dedup._blocks(10**9)[0] == 24 and blocks * bits <= 64 * simhash_dedup.LONGS
+    rows = []
+    for n in (8, 40):
+        for _ in range(20):
+            base = [rnd.getrandbits(64) for _ in range(4)]
+            for _ in range(10):  # up to about a quarter of the bits changed
+                share = rnd.random() * 0.25
+                rows.append((len(rows), n + rnd.randrange(3), *[b ^ sum((rnd.random() < share) << i for i in range(64)) for b in base]))
+    def block(r, t):
+        return r[2 + t % 4] >> (t // 4 * bits % (65 - bits)) & (1 << bits) - 1
+    pairs = []
+    for a in rows:
+        for b in rows[: a[0]]:
+            small, apart = min(a[1], b[1]) < 16, bin(a[2] ^ b[2]).count("1") + bin(a[3] ^ b[3]).count("1")
+            meet = any(bin(block(a, t) ^ block(b, t)).count("1") <= 2 for t in range(blocks * (2 if small else 1)))
+            if meet and bin(a[2] ^ b[2]).count("1") <= 24 and apart <= (48 if small else 36) and min(a[1], b[1]) >= 0.8 * max(a[1], b[1]):
+                pairs.append((a[0], b[0]))
+    signed = [(*r[:2], *[x - (1 << 64) if x >> 63 else x for x in r[2:]]) for r in rows]
+    kinds = spark.createDataFrame(signed, "kind long, n long, s0 long, s1 long, s2 long, s3 long")
+    found = {}
+    for r in simhash_dedup._meeting(kinds, 0.8).collect():
+        found.setdefault(r["variant"], []).append(r["kind"])
+    links = [(g[0], x) for g in found.values() for x in g[1:]]
+    assert len(pairs) > 300 and grouped(links, range(len(rows))) == grouped(pairs, range(len(rows)))
+
+
+def test_simhash_of_four_longs():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    for n in (0, 1, 2, 255, 256, 511, 20_000):
+        own = simhash_dedup._long_simhash(h[:n])
+        assert len(own) == 4 and int(own[0]) == simhash_dedup._majority([h[:n]])
+        assert n < 255 or all(10 < bin(int(own[a] ^ own[b])).count("1") < 54 for a in range(4) for b in range(a))

@@ -1,15 +1,17 @@
 """Merkle manifest of a table: a tree of hashes for each group of rows, one over the groups, and for every row a proof that folds to the root.
 
 Rows are ordered by one range partitioning; blocks of ``SPAN`` consecutive leaves are subtrees. A first pass reduces each block to its top node,
-the few nodes above are made by grouping eight at a time, and then each block's leaves meet the outer nodes that its proofs need, cogrouped by block:
-that one call reduces the block, joins the proofs and folds them.
+the few nodes above are made by grouping eight at a time, and then each block's leaves meet the outer nodes that its proofs need, sorted by block:
+tasks read blocks one after the other from their Arrow batches, reduce each, join the proofs and fold them. So a task holds one block and one batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,19 +109,37 @@ def _levels(leaves: list[str], most: int) -> list[list[str]]:
     return out
 
 
-def _reduce(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("place")
-    top = _levels(rows["leaf"].tolist(), int(rows["local"].iloc[0]))[-1][0]
-    return rows[["tree", "block"]].head(1).assign(node=top)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block in turn, of batches sorted by tree and block."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, block = batch["tree"].to_numpy(), batch["block"].to_numpy()
+        cuts = (np.flatnonzero((np.diff(tree) != 0) | (np.diff(block) != 0)) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if held and last != (tree[start], block[start]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = tree[start], block[start]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _blocks(batches):
+        top = _levels(rows["leaf"].to_pylist(), rows["local"][0].as_py())[-1][0]
+        yield pa.RecordBatch.from_arrays([rows["tree"][:1].combine_chunks(), rows["block"][:1].combine_chunks(), pa.array([top])], names=["tree", "block", "node"])
 
 
 def _fold(proofs: bool):
-    def run(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        local = _levels(rows["leaf"].tolist(), int(rows["local"].iloc[0]) if len(rows) else 0)
-        outer = outer.sort_values(["part", "level"])
-        beyond = list(zip(outer["before"], outer["after"], strict=True))
-        own = int((outer["part"] == 0).sum())
+    def run(rows: pa.Table) -> pa.RecordBatch:
+        part = rows["part"].to_numpy()
+        outer, rows = rows.slice(0, int((part < 2).sum())), rows.slice(int((part < 2).sum())).combine_chunks()
+        local = _levels(rows["leaf"].to_pylist(), rows["local"][0].as_py())
+        beyond = list(zip(outer["before"].to_pylist(), outer["after"].to_pylist(), strict=True))
+        own = int((part == 0).sum())
         node, ups = local[-1][0], []
         for before, after in beyond:
             ups.append(node)
@@ -127,7 +147,7 @@ def _fold(proofs: bool):
         ups.append(node)
         above = "".join(b + a for b, a in beyond)
         hashed, folded, paths = [], [], []
-        for k, claimed in enumerate(rows["claimed"].tolist()):
+        for k, claimed in enumerate(rows["claimed"].to_pylist()):
             steps, at = [], k
             for level in local[:-1]:
                 first = at - at % FAN
@@ -139,10 +159,16 @@ def _fold(proofs: bool):
             hashed.append(_hash("".join(b + a for b, a in steps) + above))
             if proofs:
                 paths.append([{"before": b, "after": a} for b, a in steps + beyond])
-        out = rows[["__key", "leaf"]].assign(subroot=ups[own], root=ups[-1], proof_sha256=hashed, folded_root=folded)
-        return out.assign(proof=paths) if proofs else out
+        out = {"__key": rows["__key"], "leaf": rows["leaf"], "subroot": [ups[own]] * len(rows), "root": [ups[-1]] * len(rows), "proof_sha256": hashed, "folded_root": folded}
+        if proofs:
+            out["proof"] = pa.array(paths, pa.list_(pa.struct([("before", pa.string()), ("after", pa.string())])))
+        return pa.table(out).combine_chunks().to_batches()[0]
+
+    return lambda batches: map(run, _blocks(batches))
+
 
-    return run
+def _by_block(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("tree", "block").sortWithinPartitions("tree", "block", *order)
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, claimed: dict[str, Column] | None = None, tree: str = "lang", key: str = "doc_id", proofs: bool = False) -> DataFrame:
@@ -164,7 +190,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, claimed: dict[st
     local = F.least("height", F.lit(DEPTH))
     leaves = settle(met.select("tree", F.floor(F.col("place") / SPAN).cast("long").alias("block"), "place", "__key", "leaf", "claimed", local.alias("local")), "blocks")
 
-    blocks = leaves.select("tree", "block", "place", "leaf", "local").groupBy("tree", "block").applyInPandas(_reduce, "tree long, block long, node string")
+    blocks = _by_block(leaves.select("tree", "block", "place", "leaf", "local"), "place").mapInArrow(_reduce, "tree long, block long, node string")
     nodes = settle(blocks.join(trees.select("tree", (F.col("height") - F.least("height", F.lit(DEPTH))).alias("up")), "tree").select("tree", F.col("block").alias("place"), "node", "up"), "nodes")
     families, tops = upper(nodes)
     levels = trees.agg(height(F.count("*"))).first()[0]
@@ -175,7 +201,9 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, claimed: dict[st
     outer = inner.unionByName(nodes.select("tree", "place").join(outmost, "tree").withColumn("part", F.lit(1))).withColumnRenamed("place", "block")
 
     schema = f"__key {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string" + (", proof array<struct<before:string,after:string>>" if proofs else "")
-    folded = leaves.groupBy("tree", "block").cogroup(outer.groupBy("tree", "block")).applyInPandas(_fold(proofs), schema)
+    # outer nodes come before the leaves of their block, from the lowest up: of the tree (part 0), then of the tree over the trees (1)
+    both = leaves.withColumn("part", F.lit(2)).unionByName(outer.select("tree", "block", "part", F.col("level").cast("long").alias("place"), "before", "after"), allowMissingColumns=True)
+    folded = _by_block(both, "part", "place").mapInArrow(_fold(proofs), schema)
     return folded.withColumn("verified", F.col("folded_root") == F.col("root")).withColumnRenamed("__key", key)
 
 

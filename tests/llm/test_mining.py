@@ -152,6 +152,23 @@ def test_manifest_of_one_row_and_of_none(spark):
     assert manifest.manifest(spark.createDataFrame([], MANIFEST)).collect() == []
 
 
+def test_manifest_by_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(manifest, "DEPTH", 2)
+    monkeypatch.setattr(manifest, "SPAN", 64)
+    rows = [{"doc_id": k, "source": "a", "lang": [None, "en", "de"][k % 7 % 3], "n_chars": k, "text": f"Text {k}"} for k in range(700)]
+    table = spark.createDataFrame([(*r.values(), 1, 2, "n") for r in rows], MANIFEST)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, "7")  # blocks begin and end inside batches
+    try:
+        found = manifest.manifest(table, claimed={"text": manifest.tampered_text()})
+        assert sorted(map(tuple, found.collect()), key=str) == manifest_by_loops(rows)
+        plan = found._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMap" not in plan  # no whole group of rows is handed over at once
+    finally:
+        spark.conf.set(key, own)
+
+
 def collocations_by_loops(rows, least, top):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     f, n = defaultdict(Counter), Counter()

@@ -115,9 +115,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     prints = _fingerprints(pieces, key)
     item_prints = _fingerprints(grams, ["kind", "n"])
     width = 64 // BLOCKS
-    masks = _variants(width, radius // BLOCKS)
+    masks = ",".join(map(str, _variants(width, radius // BLOCKS)))  # one literal: an expression for each would be some thousand in every plan
     block = F.posexplode(F.array(*[F.shiftrightunsigned("fp", b * width).bitwiseAND((1 << width) - 1) for b in range(BLOCKS)])).alias("b", "v")
-    wide = item_prints.select("kind", "n", "fp", block).withColumn("mask", F.explode(F.lit(masks).cast("array<long>"))).select("n", "b", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "kind", F.col("fp").alias("item_fp"))
+    wide = item_prints.select("kind", "n", "fp", block).withColumn("mask", F.explode(F.split(F.lit(masks), ",").cast("array<long>"))).select("n", "b", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "kind", F.col("fp").alias("item_fp"))
     # many rows grow out of few items: their estimated size says nothing, so neither side may be broadcast
     near = prints.select(*key, "m", "fp", block).hint("merge").join(wide, ["n", "b", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select(*key, "m", "kind").distinct()
     # exact weighted Jaccard: sum of minima over sum of maxima of the shingle counts; m are the window's shingles

@@ -45,6 +45,8 @@ WIDE, APART, FEW, LOOSE = 24, 36, 16, 48
 TILE = 4096
 #: Rounds in which a kind is compared with one hub of each of its groups, before the pairs that are still apart.
 ROUNDS = 3
+#: Kinds up to which a group waits for its pairs after the first round.
+CROWD = 16
 #: Most rows (two longs each) that are broadcast to fetch texts.
 BROADCAST_KINDS = 1_000_000
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -217,21 +219,26 @@ def _blocks(kinds: int) -> tuple[int, int]:
 
 
 def _cells(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(cell, kind, n, s0, s1): every block of a kind's SimHash, as it is and with each one bit changed; twice as many blocks below FEW shingles."""
+    """(cell, bit, kind, n, s0, s1): every block of a kind's SimHash, as it is (bit -1) and with each one bit changed; twice as many blocks below FEW shingles."""
     def block(t: int):
         return F.shiftrightunsigned(f"s{t % LONGS}", t // LONGS * bits % (65 - bits)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + F.lit(t << 32).cast("long")
 
     own = F.when(F.col("n") < FEW, F.array(*map(block, range(2 * blocks)))).otherwise(F.array(*map(block, range(blocks))))
     rows = kinds.select(*_OWN, F.explode(own).alias("block")).withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))))
-    return rows.select(F.expr("case when bit < 0 then block else block ^ shiftleft(1L, bit) end").alias("cell"), *_OWN)
+    return rows.select(F.expr("case when bit < 0 then block else block ^ shiftleft(1L, bit) end").alias("cell"), F.col("bit").cast("byte").alias("bit"), *_OWN)
 
 
-def _labels(n: np.ndarray, s0: np.ndarray, s1: np.ndarray, similarity: float) -> np.ndarray:
-    """For each kind of a cell the first one that pairs near by their bits connect it with."""
+def _labels(bit: np.ndarray, kind: np.ndarray, n: np.ndarray, s0: np.ndarray, s1: np.ndarray, similarity: float) -> np.ndarray:
+    """For each kind of a cell the first one that pairs near by their bits connect it with.
+
+    A pair collides in every cell of its balls where its blocks are equal, and in two where they differ: one of them counts.
+    """
     label = np.arange(len(n))
     for a in range(0, len(n), 256):
         x, y = np.nonzero(np.bitwise_count(s0[a : a + 256, None] ^ s0[None, a:]) <= WIDE)
         x, y = x[x < y] + a, y[x < y] + a
+        once = np.where(bit[x] == bit[y], bit[x] < 0, (bit[x] < bit[y]) == (kind[x] < kind[y]))
+        x, y = x[once], y[once]
         least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         apart = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])
         near = (apart <= np.where(least < FEW, LOOSE, APART)) & (least >= similarity * most)
@@ -256,12 +263,12 @@ def _meeting(kinds: DataFrame, similarity: float) -> DataFrame:
     heavy = settle(rows.groupBy("cell").count().where(F.col("count") > TILE).select("cell", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "heavy")
     if not heavy.isEmpty():
         dealt = rows.join(heavy, "cell").withColumn("tile", F.pmod(F.xxhash64("kind"), "tiles").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
-        dealt = dealt.select(F.xxhash64("cell", F.least("tile", "o"), F.greatest("tile", "o")).alias("cell"), *_OWN)
+        dealt = dealt.select(F.xxhash64("cell", F.least("tile", "o"), F.greatest("tile", "o")).alias("cell"), "bit", *_OWN)
         rows = rows.join(heavy, "cell", "left_anti").unionByName(dealt)
 
     def groups(columns: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        kind, n, s0, s1 = columns
-        label = _labels(n, s0.view(np.uint64), s1.view(np.uint64), similarity)
+        bit, kind, n, s0, s1 = columns
+        label = _labels(bit, kind, n, s0.view(np.uint64), s1.view(np.uint64), similarity)
         for first in np.flatnonzero(np.bincount(label, minlength=1) > 1).tolist():
             found = np.unique(kind[label == first])
             yield xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), found
@@ -331,7 +338,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 
     Candidates are groups of kinds whose balls collide (``_meeting``). A group of near copies of one text must not become all its pairs, so in
     ``ROUNDS`` rounds every kind is verified against one hub of each group, another in each round, as far as it is
-    not yet connected with it; then come the pairs of a group that are still
+    not yet connected with it (after the first, only while a group has over ``CROWD`` kinds); then come the pairs of a group that are still
     apart. Sizes and SimHashes decide first; shingle sets, made once for each kind that meets another, for what is left.
     Connected kinds need no more links, so none is lost.
     """
@@ -345,12 +352,15 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     texts = own.join(wanted, own["mark"].eqNullSafe(wanted["mark"])).groupBy("kind").agg(F.min("text").alias("text"))
     sets = settle(_sets(texts, words), "sets")
     links, rooted = None, met.withColumn("root", F.col("kind"))
-    for turn in range(ROUNDS + 1):
-        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "n", "s0", "s1", "root")).alias("hub")).where("low < high")
-        apart = settle(apart.select("variant", "hub"), "apart")
+    turn = 0
+    while turn <= ROUNDS:
+        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "n", "s0", "s1", "root")).alias("hub"), F.count("*").alias("k")).where("low < high")
+        apart = settle(apart.select("variant", "hub", "k"), "apart")
         if apart.isEmpty():
             break
-        open_rows = rooted.join(apart, "variant")
+        if turn and apart.where(F.col("k") > CROWD).isEmpty():
+            turn = ROUNDS
+        open_rows = rooted.join(apart.drop("k"), "variant")
         if turn < ROUNDS:
             pairs = open_rows.where("root <> hub.root and " + _near(similarity, "hub", "self").replace("self.", "")).select(F.col("hub.kind").alias("a"), F.col("kind").alias("b")).distinct()
         else:
@@ -362,6 +372,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
         roots = components(links).select(F.col("node").alias("kind"), "root")
         rooted = met.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
         rooted = settle(rooted, "rooted") if turn < ROUNDS else rooted
+        turn += 1
     tops = kinds.select("kind", "least")
     tops = tops.withColumn("root", F.col("kind")) if links is None else tops.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
     labels = tops.join(tops.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("kind", "component_id", "root")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle
+from .common import SPACE, count_at_most, settle
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -22,6 +22,8 @@ MOST = 2.0
 CHUNK = 128
 #: Sources up to which their table is broadcast.
 BROADCAST_SOURCES = 10_000
+#: Units (a source, an id and three numbers each) up to which those taken are broadcast to their documents; more are joined by a shuffle of the texts.
+BROADCAST_UNITS = 400_000
 EPS = 1e-9
 
 
@@ -152,6 +154,7 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     units = settle(_units(docs, id_col, text_col, source_col, weights, total, most, chunk), "mix").where("whole > 0")
     keys = units.select(F.col("source").alias("__s"), F.col("id").alias("__i"), F.col("size").alias("__n"), F.floor(F.col("whole") / F.col("n")).alias("__each"), (F.col("whole") % F.col("n")).alias("__more"))
+    keys = F.broadcast(keys) if count_at_most(units, BROADCAST_UNITS) else keys
     own = docs.withColumn("__size", word_count(F.col(text_col)))
     met = own.join(keys, F.col(source_col).eqNullSafe(F.col("__s")) & F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__size") == F.col("__n")))
     times = lambda df, n: df.withColumn("__k", F.explode(F.expr(f"case when {n} > 0 then sequence(1L, {n}) else cast(array() as array<bigint>) end"))).select(*docs.columns)

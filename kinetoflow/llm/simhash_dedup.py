@@ -14,7 +14,7 @@ A half shared by very many distinct fingerprints would pair quadratically. Finge
 another, equally exact way: balls over all 64 bits, and a star in place of pairs (see ``_hub_links``).
 
 Texts 0.8 alike (``similar_groups``) differ in more bits than such balls reach. They meet in the same way on blocks of a longer SimHash:
-each block emits its ball of half the radius, those that collide are verified by the Hamming distance of 128 bits, then by their shingles.
+each block emits its ball of half the radius, those that collide are verified by the Hamming distance of 192 bits, then by their shingles.
 """
 
 from __future__ import annotations
@@ -39,14 +39,16 @@ HOT = 256
 #: By similarity: longs of a SimHash, the share of its bits in which two sets of shingles 0.8 alike differ at most (their angle over pi), and the share of such
 #: pairs that may meet on no block.
 LONGS, FLIPPED, MISSED = 4, 0.1515, 0.0005
-#: Bits of the first 64 and 128 in which texts 0.8 alike may differ (9.7 and 19.4 on average, deviation 2.9 and 4.1); below FEW shingles single ones weigh more (12 and 24).
-WIDE, APART, FEW, LOOSE = 24, 36, 16, 48
+#: Shingles below which single ones weigh more; the pipeline's sets of fewer meet on their rarest shingles instead.
+FEW = 16
+#: Bits of the first 64 in which texts 0.8 alike may differ, and by longs compared those of all of them: from FEW shingles on, and below (9.7, 19.4 and 29 on average of 64, 128
+#: and 192, deviation 2.9, 4.1 and 5). Texts without a common shingle differ in 96 of 192, deviation 7: among 10^9 less than one is near a given one by chance, so that
+#: chance does not join groups; of 128 bits some hundred would be.
+WIDE, APART = 24, {2: (36, 48), 3: (50, 66)}
 #: Kinds at one cell from which on it is dealt out in pairs of tiles.
 TILE = 4096
-#: Rounds in which a kind is compared with one hub of each of its groups, before the pairs that are still apart.
-ROUNDS = 3
-#: Kinds up to which a group waits for its pairs after the first round.
-CROWD = 16
+#: Kinds and shingles of a group from which on it is verified in pairs of parts.
+PART, WEIGHT = 512, 1 << 20
 #: Most rows (two longs each) that are broadcast to fetch texts.
 BROADCAST_KINDS = 1_000_000
 _ODD = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
@@ -207,9 +209,6 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.withColumn("s", sketch("text"))
 
 
-_OWN = ("kind", "n", "s0", "s1")
-
-
 def _blocks(kinds: int) -> tuple[int, int]:
     """(bits, blocks) for so many kinds: a cell has some hundred rows at any size, and balls of radius 1 on the blocks bring a pair within 2 bits on one of
     them but for the share MISSED."""
@@ -218,30 +217,31 @@ def _blocks(kinds: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISSED) / math.log(1 - within))
 
 
-def _cells(kinds: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(cell, bit, kind, n, s0, s1): every block of a kind's SimHash, as it is (bit -1) and with each one bit changed; twice as many blocks below FEW shingles."""
+def _cells(kinds: DataFrame, bits: int, blocks: int, longs: int) -> DataFrame:
+    """(cell, bit, kind, n, s0, s1, ...): every block of a kind's SimHash, as it is (bit -1) and with each one bit changed; twice as many blocks below FEW shingles."""
     def block(t: int):
         return F.shiftrightunsigned(f"s{t % LONGS}", t // LONGS * bits % (65 - bits)).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + F.lit(t << 32).cast("long")
 
+    columns = ["kind", "n", *(f"s{k}" for k in range(longs))]
     own = F.when(F.col("n") < FEW, F.array(*map(block, range(2 * blocks)))).otherwise(F.array(*map(block, range(blocks))))
-    rows = kinds.select(*_OWN, F.explode(own).alias("block")).withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))))
-    return rows.select(F.expr("case when bit < 0 then block else block ^ shiftleft(1L, bit) end").alias("cell"), F.col("bit").cast("byte").alias("bit"), *_OWN)
+    rows = kinds.select(*columns, F.explode(own).alias("block")).withColumn("bit", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))))
+    return rows.select(F.expr("case when bit < 0 then block else block ^ shiftleft(1L, bit) end").alias("cell"), F.col("bit").cast("byte").alias("bit"), *columns)
 
 
-def _labels(bit: np.ndarray, kind: np.ndarray, n: np.ndarray, s0: np.ndarray, s1: np.ndarray, similarity: float) -> np.ndarray:
+def _labels(bit: np.ndarray, kind: np.ndarray, n: np.ndarray, s: list[np.ndarray], similarity: float) -> np.ndarray:
     """For each kind of a cell the first one that pairs near by their bits connect it with.
 
     A pair collides in every cell of its balls where its blocks are equal, and in two where they differ: one of them counts.
     """
     label = np.arange(len(n))
     for a in range(0, len(n), 256):
-        x, y = np.nonzero(np.bitwise_count(s0[a : a + 256, None] ^ s0[None, a:]) <= WIDE)
+        x, y = np.nonzero(np.bitwise_count(s[0][a : a + 256, None] ^ s[0][None, a:]) <= WIDE)
         x, y = x[x < y] + a, y[x < y] + a
         once = np.where(bit[x] == bit[y], bit[x] < 0, (bit[x] < bit[y]) == (kind[x] < kind[y]))
         x, y = x[once], y[once]
         least, most = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        apart = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y])
-        near = (apart <= np.where(least < FEW, LOOSE, APART)) & (least >= similarity * most)
+        apart = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int64) for c in s)
+        near = (apart <= np.where(least < FEW, *APART[len(s)][::-1])) & (least >= similarity * most)
         x, y = x[near], y[near]
         while True:
             low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
@@ -253,128 +253,166 @@ def _labels(bit: np.ndarray, kind: np.ndarray, n: np.ndarray, s0: np.ndarray, s1
     return label
 
 
-def _meeting(kinds: DataFrame, similarity: float) -> DataFrame:
-    """(variant, kind, n, s0, s1): kinds whose blocks' balls collide, by groups that pairs near by their bits connect; groups alike are one variant.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[pa.Array]]]:
+    """The columns behind the first one of each run of rows that are equal in it: lists of runs, as the batches bring them."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):  # a run ends where the next one begins, or with its task's rows
+        found: list[list[pa.Array]] = []
+
+        def close() -> None:
+            if held:
+                found.append([pa.concat_arrays([b.column(c) for b in held]) for c in range(1, held[0].num_columns)])
+                held.clear()
+
+        if batch is None:
+            close()
+        elif batch.num_rows:
+            keys = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[0].as_py() != keys[0]:
+                close()
+            bounds = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for start, end in zip(bounds, bounds[1:]):
+                if start:
+                    close()
+                held.append(batch.slice(start, end - start))
+        if found:
+            yield found
+
+
+def _meeting(kinds: DataFrame, similarity: float, longs: int = 2) -> DataFrame:
+    """(variant, kind): kinds whose blocks' balls collide, in each cell by groups that pairs near by their first ``longs`` longs connect; the variant is a group's smallest kind.
 
     Rows of a cell that more than ``TILE`` kinds share are dealt out: every two tiles of them meet in a cell of their own, so that no pair is lost.
     """
     bits, blocks = _blocks(kinds.count())
-    rows = _cells(kinds, bits, blocks)
+    rows = _cells(kinds, bits, blocks, longs)
     heavy = settle(rows.groupBy("cell").count().where(F.col("count") > TILE).select("cell", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "heavy")
     if not heavy.isEmpty():
         dealt = rows.join(heavy, "cell").withColumn("tile", F.pmod(F.xxhash64("kind"), "tiles").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, tiles - 1)")))
-        dealt = dealt.select(F.xxhash64("cell", F.least("tile", "o"), F.greatest("tile", "o")).alias("cell"), "bit", *_OWN)
+        dealt = dealt.select(F.xxhash64("cell", F.least("tile", "o"), F.greatest("tile", "o")).alias("cell"), *rows.columns[1:])
         rows = rows.join(heavy, "cell", "left_anti").unionByName(dealt)
 
-    def groups(columns: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        bit, kind, n, s0, s1 = columns
-        label = _labels(bit, kind, n, s0.view(np.uint64), s1.view(np.uint64), similarity)
-        for first in np.flatnonzero(np.bincount(label, minlength=1) > 1).tolist():
-            found = np.unique(kind[label == first])
-            yield xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63), found
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in chain(batches, [None]):  # a cell ends where the next one begins, or with its task's rows
-            columns = None if batch is None else [c.to_numpy() for c in batch.columns]
+        for runs in _runs(batches):
             found = []
-            if columns is None or len(columns[0]):
-                if held and (columns is None or columns[0][0] != held[-1][0][-1]):
-                    found += groups([np.concatenate(c) for c in zip(*held)][1:])
-                    held = []
-                if columns is not None:
-                    ends = [*(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
-                    start = 0
-                    for end in ends:
-                        piece = [c[start:end] for c in columns]
-                        if end == len(columns[0]):
-                            held.append(piece)
-                        elif held:
-                            found += groups([np.concatenate(c) for c in zip(*held, piece)][1:])
-                            held = []
-                        elif end - start > 1:
-                            found += groups(piece[1:])
-                        start = end
-            if found:
-                variants = np.repeat(np.array([v for v, _ in found], np.int64), [len(k) for _, k in found])
-                yield pa.RecordBatch.from_arrays([pa.array(variants), pa.array(np.concatenate([k for _, k in found]))], names=["variant", "kind"])
+            for columns in runs:
+                if len(columns[0]) > 1:
+                    bit, kind, n, *s = (c.to_numpy() for c in columns)
+                    order = np.argsort(kind)
+                    kind = kind[order]
+                    label = _labels(bit[order], kind, n[order], [c[order].view(np.uint64) for c in s], similarity)
+                    own = np.flatnonzero(np.bincount(label)[label] > 1)
+                    found.append(np.stack([kind[label[own]], kind[own]]))
+            if found and (rows := np.unique(np.concatenate(found, axis=1), axis=1)).size:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["variant", "kind"])
 
     small_batches(kinds.sparkSession, 1 << 16)  # numbers only: the session's own number
-    found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "variant long, kind long").distinct()
-    return found.join(kinds.select(*_OWN), "kind")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "variant long, kind long").distinct()
+
+
+def _most_small(similarity: float) -> int:
+    """The most shingles of a set that may be alike to one of fewer than ``FEW``."""
+    return int((FEW - 1) / similarity + 1e-9)
+
+
+def _small_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all kinds that are alike where one has fewer than ``FEW`` shingles; no such pair is lost.
+
+    Sets of n shingles that are alike share ``similarity`` * n of them, so in an order of all shingles, the rarest first, they share one of those
+    with which so many begin that fewer are left.
+    """
+    own = sets.where(F.col("n").between(1, _most_small(similarity)))
+    rows = own.select("kind", "n", F.explode(F.expr("transform(sequence(1, n), i -> substring(shingles, 8 * i - 7, 8))")).alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = F.sort_array(F.collect_list(F.struct("often", "shingle")))
+    first = F.slice(order, F.lit(1), F.first("n") - F.ceil(F.first("n") * F.lit(similarity) - 1e-9).cast("int") + 1)
+    first = rows.join(often, "shingle").groupBy("kind").agg(first.alias("first")).select("kind", F.explode("first").alias("f")).where("f.often > 1").select("kind", "f.shingle")
+    first = settle(first, "first")
+    heads = first.groupBy("shingle").agg(F.min("kind").alias("a"))
+    return first.join(heads, "shingle").where("a <> kind").select("a", F.col("kind").alias("b")).distinct()
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(kind, shingles): the distinct shingle hashes of (kind, text) as bytes, in order."""
+    """(kind, n, shingles): number of the distinct shingle hashes of (kind, text), and they as bytes, in order."""
     small_batches(texts.sparkSession)
 
     @F.pandas_udf("binary")
     def shingles(column: pd.Series) -> pd.Series:
         return pd.Series([text_shingles(t, words).tobytes() for t in column], dtype=object)
 
-    return texts.select("kind", shingles("text").alias("shingles"))
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: kinds) whose shingle sets are at least ``similarity`` alike."""
-    small_batches(pairs.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def alike(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([similarity_of(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(first, second)], dtype=bool)
-
-    one, two = sets.select(F.col("kind").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("kind").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").where(alike("sa", "sb")).select("a", "b")
+    return texts.select("kind", shingles("text").alias("shingles")).select("kind", (F.length("shingles") / 8).cast("int").alias("n"), "shingles")
+
+
+def _forest(kind: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of kinds that are alike, as many as connect all that such pairs do. Of two parts only pairs across count: each has a run of its own."""
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    has, own = np.zeros(len(ids), bool), np.split(ids, np.cumsum(sizes)[:-1])
+    label, across = np.arange(len(kind)), part.min() < part.max()
+    found = []
+    for x in range(len(kind) - 1):
+        open_ = (label[x + 1 :] != label[x]) & (np.minimum(sizes[x + 1 :], sizes[x]) >= similarity * np.maximum(sizes[x + 1 :], sizes[x]))
+        if across:
+            open_ &= part[x + 1 :] != part[x]
+        others = np.flatnonzero(open_) + x + 1
+        if not len(others):
+            continue
+        has[own[x]] = True
+        shared = np.add.reduceat(has[np.concatenate([own[y] for y in others.tolist()])], np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+        has[own[x]] = False
+        for y in others[shared / (sizes[others] + sizes[x] - shared) >= similarity].tolist():
+            if label[x] != label[y]:
+                found.append((int(kind[x]), int(kind[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def _alike(met: DataFrame, sets: DataFrame, similarity: float, part: int = PART) -> DataFrame:
+    """(a, b): pairs of kinds that are at least ``similarity`` alike, as many as connect the kinds of each group of ``met`` (node, root) that such pairs do.
+
+    A task has a group's sets once and gives links that connect something new, so no pairs are written. Groups of more than ``part`` kinds or ``WEIGHT`` shingles are
+    dealt out: every two parts meet, which is exact, with the tests quadratic in such a group and each of its sets sent once for each part.
+    """
+    known = met.select(F.col("node").alias("kind"), "root").join(sets.select("kind", "n"), "kind")
+    parts = known.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / part), F.ceil(F.sum("n") / WEIGHT)).cast("int").alias("parts"))
+    dealt = known.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("kind"), "parts").cast("int")).withColumn("o", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select(F.xxhash64("root", F.least("part", "o"), F.greatest("part", "o")).alias("run"), "kind", "part")
 
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in _runs(batches):
+            found = []
+            for kind, own, shingles in runs:
+                if len(kind) > 1:
+                    found += _forest(kind.to_numpy(), own.to_numpy(), [np.frombuffer(x, np.uint64) for x in shingles.to_pylist()], similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-def _near(similarity: float, a: str, b: str) -> str:
-    """Condition on two kinds' columns that all pairs as alike as that meet but for about 4 in 100,000 by their bits."""
-    apart = f"bit_count({a}.s0 ^ {b}.s0) + bit_count({a}.s1 ^ {b}.s1) <= if(least({a}.n, {b}.n) < {FEW}, {LOOSE}, {APART})"
-    return f"{apart} and least({a}.n, {b}.n) >= {similarity} * greatest({a}.n, {b}.n)"
+    small_batches(met.sparkSession)
+    rows = dealt.join(sets.select("kind", "shingles"), "kind").select("run", "kind", "part", "shingles")
+    return rows.repartition("run").sortWithinPartitions("run").mapInArrow(links, "a long, b long")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(id, mark, kind, component_id, root) of every row; groups connect texts whose shingle sets are ``similarity`` alike or more.
 
-    Candidates are groups of kinds whose balls collide (``_meeting``). A group of near copies of one text must not become all its pairs, so in
-    ``ROUNDS`` rounds every kind is verified against one hub of each group, another in each round, as far as it is
-    not yet connected with it (after the first, only while a group has over ``CROWD`` kinds); then come the pairs of a group that are still
-    apart. Sizes and SimHashes decide first; shingle sets, made once for each kind that meets another, for what is left.
-    Connected kinds need no more links, so none is lost.
+    Candidates are groups of kinds that chains of near pairs connect: by blocks whose balls collide (``_meeting``), small sets by their rarest shingles
+    (``_small_links``). The shingle sets of a group, made once for each kind that meets another, meet in one task, or by pairs of parts, and are compared there
+    as long as they are not connected (``_alike``). Connected kinds need no more links, so none is lost.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     prints = settle(_sketches(own, words).select("id", "mark", "s.*"), "prints")
     kinds = settle(prints.groupBy("kind").agg(*(F.first(c).alias(c) for c in ("n", *(f"s{k}" for k in range(LONGS)))), F.min("id").alias("least"), F.min("mark").alias("mark")), "kinds")
-    met = settle(_meeting(kinds, similarity), "met")
-    wanted = kinds.join(met.select("kind").distinct(), "kind", "left_semi").select("kind", "mark")
+    near = settle(_meeting(kinds.where(F.col("n") >= FEW), similarity, longs=3), "near")
+    small = kinds.where(F.col("n").between(1, _most_small(similarity))).select("kind")
+    wanted = kinds.join(near.select("kind").unionByName(small).distinct(), "kind", "left_semi").select("kind", "mark")
     if count_at_most(wanted, BROADCAST_KINDS):
         wanted = F.broadcast(wanted)  # 16 bytes a row: below 20 MB
     texts = own.join(wanted, own["mark"].eqNullSafe(wanted["mark"])).groupBy("kind").agg(F.min("text").alias("text"))
     sets = settle(_sets(texts, words), "sets")
-    links, rooted = None, met.withColumn("root", F.col("kind"))
-    turn = 0
-    while turn <= ROUNDS:
-        apart = rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("kind", F.lit(turn)).alias("at"), "kind", "n", "s0", "s1", "root")).alias("hub"), F.count("*").alias("k")).where("low < high")
-        apart = settle(apart.select("variant", "hub", "k"), "apart")
-        if apart.isEmpty():
-            break
-        if turn and apart.where(F.col("k") > CROWD).isEmpty():
-            turn = ROUNDS
-        open_rows = rooted.join(apart.drop("k"), "variant")
-        if turn < ROUNDS:
-            pairs = open_rows.where("root <> hub.root and " + _near(similarity, "hub", "self").replace("self.", "")).select(F.col("hub.kind").alias("a"), F.col("kind").alias("b")).distinct()
-        else:
-            one, two = open_rows.drop("hub").alias("x"), open_rows.drop("hub").alias("y")
-            near = F.expr("x.variant = y.variant and x.kind < y.kind and x.root <> y.root and " + _near(similarity, "x", "y"))
-            pairs = one.join(two, near).select(F.col("x.kind").alias("a"), F.col("y.kind").alias("b")).distinct()
-        found = settle(_alike(settle(pairs, "pairs"), sets, similarity), "alike")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links).select(F.col("node").alias("kind"), "root")
-        rooted = met.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
-        rooted = settle(rooted, "rooted") if turn < ROUNDS else rooted
-        turn += 1
+    met = settle(components(near.toDF("a", "b").unionByName(_small_links(sets, similarity))), "met")
+    roots = components(settle(_alike(met, sets, similarity), "alike")).select(F.col("node").alias("kind"), "root")
     tops = kinds.select("kind", "least")
-    tops = tops.withColumn("root", F.col("kind")) if links is None else tops.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
+    tops = tops.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
     labels = tops.join(tops.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("kind", "component_id", "root")
     return prints.select("id", "mark", "kind").join(labels, "kind")
 
@@ -384,7 +422,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A similarity of 0.8 leaves two fingerprints 9.7 of 64 bits apart on average, so balls of half such a radius over all bits cannot be written out. Here
     balls of radius 1 are written for blocks of a SimHash of 64 * ``LONGS`` bits, as many as bring two texts 0.8 alike within 2 bits on one of them
-    but for 0.0005; colliding pairs are verified by the distance of 128 bits, then by the similarity of the whole sets.
+    but for 0.0005; colliding pairs are verified by the distance of 192 bits, then by the similarity of the whole sets. Texts alike to one of fewer than ``FEW``
+    shingles meet on their rarest shingles, which misses none.
 
     Nulls and texts without words are alike; a text of fewer words is one shingle. Letters' case (A-Z) and kinds of white
     space do not count. Null ids count in no minimum. Other columns are ignored, an empty table gives no rows.

@@ -349,6 +349,51 @@ def test_similar_groups_against_all_pairs(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(got.values()) and kept.columns == docs.columns
 
 
+def test_similar_groups_write_no_pairs_of_texts_that_stay_apart(spark, monkeypatch):
+    rnd = random.Random(8)
+    bag, written = [f"w{i}" for i in range(5000)], Counter()
+    crowd = rnd.choices(bag, k=300)
+    texts = []
+    for _ in range(240):  # all about 0.6 alike to each other: near by their bits, none linked
+        copy = list(crowd)
+        for at in range(0, 300, 42):
+            copy[at + rnd.randrange(42) if at < 252 else at] = rnd.choice(bag)
+        texts.append(" ".join(copy))
+    keep = simhash_dedup.settle
+
+    def settle(df, name="t"):
+        out = keep(df, name)
+        written[name] = max(written[name], out.count())
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "settle", settle)
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, i) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs).collect()}
+    own = [plain_shingles(t) for t in texts]
+    links = [(a, b) for a in range(240) for b in range(a) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])]
+    assert got == grouped(links, range(240)) and max(written.values()) <= 20 * 240, written
+
+
+@pytest.mark.parametrize("part", [512, 5])
+def test_small_and_parted_sets_against_all_pairs(spark, part):
+    rnd = random.Random(9)
+    common = [rnd.getrandbits(64) for _ in range(12)]  # shingles of many sets
+    sets = []
+    for _ in range(40):
+        base = rnd.sample(common, rnd.randrange(4)) + [rnd.getrandbits(64) for _ in range(rnd.randrange(1, 16))]
+        for _ in range(4):
+            sets.append(np.unique(np.array([h for h in base if rnd.random() > 0.07] + [rnd.getrandbits(64) for _ in range(rnd.randrange(2))] or base, np.uint64)))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if min(len(sets[a]), len(sets[b])) < 16 and simhash_dedup.similarity_of(sets[a], sets[b]) >= 0.8]
+    kinds = spark.createDataFrame([(k, len(h), bytearray(h.tobytes())) for k, h in enumerate(sets)], "kind long, n int, shingles binary").repartition(3)
+    near = components.components(simhash_dedup._small_links(kinds, 0.8))
+    met = {r["node"]: r["root"] for r in near.collect()}
+    assert len(pairs) > 60 and all(met[a] == met[b] for a, b in pairs)
+    links = [tuple(r) for r in simhash_dedup._alike(near, kinds, 0.8, part).collect()]
+    assert all(simhash_dedup.similarity_of(sets[a], sets[b]) >= 0.8 for a, b in links)
+    short = {k for k, h in enumerate(sets) if len(h) < 16}
+    assert all(grouped(links, range(len(sets)))[a] == grouped(links, range(len(sets)))[b] for a, b in pairs) and len(short) > 100
+
+
 def test_similar_groups_odd_rows(spark):
     assert sorted((r["component_id"] for r in simhash_dedup.similar_groups(odd(spark)).collect()), key=str) == [1, 1, 1, 1, 1, None]
     assert sorted((r["doc_id"] for r in simhash_dedup.keep_one(odd(spark), words=5, similarity=0.8).collect()), key=str) == [1, None]

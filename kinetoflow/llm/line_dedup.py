@@ -16,8 +16,8 @@
 Blocks are not pieces of the SimHash: lines 0.8 alike differ in up to 17 of its 64 bits, and 18 pieces of three or four bits would
 hold everything in common. ``tests/llm`` measures the recall against all pairs by edit similarity alone.
 
-Blocks that more than ``HOT`` unconnected kinds share are compared in tiles of kinds: a task takes two tiles, tests all pairs, and gives
-only links that connect something new, so no task holds a group and pairs are not emitted.
+Only of blocks of up to ``PAIRED`` kinds the pairs are written, so they grow with the kinds. Larger blocks are compared in place, in tiles of ``HOT`` kinds: a task takes
+a tile or two, tests the pairs of kinds that are not in one group, and gives only links that connect something new, so no task holds a group and pairs are not emitted.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from .components import components
 
 SIMILARITY = 0.8
 HOT = 256
+#: Kinds of a block up to which its pairs are written and verified once each.
+PAIRED = 16
 KEYS, DRAWN = 8, 3
 SHORT, LONGER, FEW, BRIEF = 14, 40, 5, 14
 #: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
@@ -302,7 +304,8 @@ def _tile_links(similarity: float):
         lids, prints, texts, first = group["lid"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["norm"].tolist(), group["tile"].to_numpy()
         loose = group["words"].to_numpy() < FIRM
         low, high = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        up = list(range(len(lids)))
+        codes, firsts = np.unique(group["root"].to_numpy(), return_inverse=True, return_index=True)[1:][::-1]
+        up = firsts[codes].tolist()  # kinds of one group are connected already
 
         def root(x: int) -> int:
             while up[x] != x:
@@ -373,9 +376,8 @@ def fuzzy_links(own: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY
     # pairs with the head are settled: what is left are blocks in which two other kinds are in different groups
     apart = met.where("lid <> head").groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("block")
     met = met.where("lid <> head").join(apart, "block").join(p, "lid")
-    roots = met.groupBy("block", "root").agg(F.count("*").alias("c")).groupBy("block").agg(F.sum("c").alias("n"), F.count("*").alias("roots"))
-    met = settle(met.join(roots, "block"), "met")
-    cold, tiled = met.where(F.col("roots") <= hot), met.where(F.col("roots") > hot)
+    met = settle(met.join(met.groupBy("block").agg(F.count("*").alias("n")), "block"), "met")
+    cold, tiled = met.where(F.col("n") <= min(PAIRED, hot)), met.where(F.col("n") > min(PAIRED, hot))
     left = cold.select("block", F.col("lid").alias("a"), F.col("p").alias("pa"), F.col("root").alias("ra"))
     pairs = left.join(cold.select("block", F.col("lid").alias("b"), F.col("p").alias("pb"), F.col("root").alias("rb")), "block")
     pairs = settle(pairs.where(f"ra < rb and {_near('pa', 'pb', similarity)}").select("a", "b").distinct(), "pairs")
@@ -387,7 +389,7 @@ def fuzzy_links(own: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY
     links = first.unionByName(_verified(pairs, texts, similarity))
     if any_tiled:
         tiles = tiled.withColumn("tiles", F.ceil(F.col("n") / hot)).withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
-        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "p.fp", "p.words")
+        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "root", "p.fp", "p.words")
         links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity), "a long, b long"))
     return links
 

@@ -429,6 +429,26 @@ def test_keyed_line_dedup_against_edit_similarity_alone(spark, hot):
     assert line_dedup.dedup(odd(spark)).count() == 6 and line_dedup.dedup(odd(spark).limit(0)).count() == 0
 
 
+def test_lines_of_a_large_block_write_no_pairs(spark, monkeypatch):
+    rnd = random.Random(23)
+    lines = ["".join(rnd.choice("abcdefghij") for _ in range(40)) for _ in range(100)]  # unlike, of one block
+    lines[60] = lines[30][:-1] + "x"
+    own = spark.createDataFrame([(i, i, line) for i, line in enumerate(lines)], "id long, mark long, text string")
+    rows = [(i, (False, i, i, 0), 0, 3, 40, 1, *[100 * k + i for k in range(1, 8)], None) for i in range(100)]
+    keys = ", ".join(f"k{k} long" for k in range(8))
+    kinds = spark.createDataFrame(rows, f"lid long, first struct<none: boolean, id: long, mark: long, line: int>, fp long, words int, size int, {keys}, more array<long>")
+    keep, written = line_dedup.settle, {}
+
+    def settle(df, name="t"):
+        out = keep(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "settle", settle)
+    assert [sorted(r) for r in line_dedup.fuzzy_links(own, kinds).collect()] == [[30, 60]]
+    assert written["pairs"] <= 8 * 100, written
+
+
 def test_decontamination_of_cut_short_and_swapped_items(spark):
     rnd = random.Random(17)
     item = prose(rnd, 60).split()

@@ -8,7 +8,7 @@
    all they become by as many deletions as edits are allowed, which misses no pair; lines of up to ``FEW`` words and ``LONGER`` letters
    one for what any one deletion leaves, which misses none that one edit parts.
 3. Of kinds that meet, pairs remain whose lengths allow the similarity (exact) and, from ``FIRM`` words on, whose SimHashes differ in at
-   most ``WIDE`` bits and who have ``SHARED`` of the longer line's letters in common words. Their texts are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line. First
+   most ``WIDE`` bits. Their texts are fetched, and pairs verified: edit distance at most (1 - ``SIMILARITY``) of the longer line, computed for many pairs together. First
    the pairs of a block's first kind with its others are, which connects most copies; then only pairs of blocks whose kinds are not
    yet in one group, of kinds from different groups. Pairs inside a group would add nothing.
 4. Links join kinds to groups; of each group the first occurrence (by id, then line) stays.
@@ -22,12 +22,10 @@ a tile or two, tests the pairs of kinds that are not in one group, and gives onl
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -37,113 +35,102 @@ from pyspark.sql import functions as F
 
 from .common import settle, small_batches
 from .components import components
+from .words import portions
 
 SIMILARITY = 0.8
 HOT = 256
 #: Kinds of a block up to which its pairs are written and verified once each.
 PAIRED = 16
 KEYS, DRAWN = 8, 3
+#: Distances are computed for so many 64-bit lanes of pairs at a time, texts of so many letters are gathered for it.
+LANES_AT_ONCE, GATHERED, LETTERS = 65_536, 12_000_000, 128
 SHORT, LONGER, FEW, BRIEF = 14, 40, 5, 14
 #: SimHashes of single words tell little of short lines: they are used from FIRM words on, up to WIDE bits.
-FIRM, WIDE, SHARED = 12, 24, 0.6
+FIRM, WIDE = 12, 24
 #: Buckets in which words are counted: the table of counts has one size for all inputs.
 BUCKETS = 1 << 18
 #: Lists of lines that are broadcast hold at most so many documents and lines (some 30 MB); beyond, documents are shuffled.
 BROADCAST_DOCS, BROADCAST_LINES = 250_000, 2_000_000
-WORD, DIGIT = re.compile(r"\w+"), re.compile(r"\d")
-_MEMO, _WORDS, _PIECE = 400_000, 50_000, 16_384
+_WORDS, _PIECE = 50_000, 16_384
+_PLACES = np.random.default_rng(11).integers(1 << 62, 1 << 63, 4096).astype(np.uint64) | np.uint64(1)
 _KEYS = [f"k{n}" for n in range(KEYS)]
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, KEYS).astype(np.uint64)[None, :]
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(DIGIT.sub("0", word).encode("utf-8", "surrogatepass"), 1)
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point: 0 if it is in no word, else the one to read in its place (lower case, 0 for digits)."""
+    points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
+    lower = pc.utf8_lower(pa.array(points)).to_pylist()
+    return np.array([0 if not (c.isalnum() or c == "_") else 48 if c.isdecimal() else ord(c) for c in lower], np.uint32)
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(46)).astype(np.int64)
 
 
-def _tokens(texts: pa.Array) -> pa.Array:
-    """Lists of what stands between white space, in lower case; null texts have none."""
-    return pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+class _Words:
+    """Words of the texts of a batch, in order: their hashes, sizes, first letters and lines; null texts have none.
 
+    ``letters`` has all texts, one after the other, each ended by a line break, ``breaks`` where lines end. A word's hash is a sum of its letters times
+    random numbers by their places.
+    """
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(BUCKETS, np.int64), Counter()
-
-    def flush() -> None:
-        pairs = [(_hash(w), n) for token, n in seen.items() for w in ((token,) if token.isalpha() else WORD.findall(token))]
-        if pairs:
-            h, n = zip(*pairs)
-            np.add.at(total, _bucket(np.array(h, np.uint64)), np.array(n, np.int64))
-        seen.clear()
+    def __init__(self, texts: pa.Array, table: np.ndarray) -> None:
+        own = [x or "" for x in texts.to_pylist()]
+        points = np.frombuffer("\n".join([*own, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+        self.letters = table[points]
+        self.breaks = np.flatnonzero(points == 10)
+        inside = self.letters > 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the last letter is in no word
+        if len(inside) and inside[0]:
+            edges = np.append(0, edges)
+        self.firsts, self.sizes = edges[::2], edges[1::2] - edges[::2]
+        begins = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(int(self.sizes.sum())) - np.repeat(begins, self.sizes)
+        terms = self.letters[inside].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            terms *= _PLACES[place & 4095]
+            if len(place) and place.max() > 4095:
+                terms *= 2 * (place >> 12).astype(np.uint64) + np.uint64(1)
+            self.hashes = pair_hash(np.add.reduceat(terms, begins), self.sizes.astype(np.uint64)) if len(begins) else np.empty(0, np.uint64)
+
+    def text(self, low: int, high: int) -> str:
+        """Words between two places, joined by spaces."""
+        part = self.letters[low:high]
+        return " ".join(np.where(part > 0, part, 32).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split())
+
+
+def _counts(table: Broadcast):
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(_Words(batch.column(0), table.value).hashes), minlength=BUCKETS)
+        rows = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(total[rows])], names=["bucket", "n"])
 
-    for batch in batches:
-        found = _tokens(batch.column(0)).flatten().value_counts()
-        seen.update(dict(zip(found.field(0).to_numpy(zero_copy_only=False), found.field(1).to_numpy().tolist())))
-        if len(seen) > _MEMO:
-            flush()
-    flush()
-    rows = np.nonzero(total)[0]
-    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(total[rows])], names=["bucket", "n"])
+    return counts
 
 
-def word_weights(own: DataFrame) -> np.ndarray:
+def word_weights(own: DataFrame, table: Broadcast) -> np.ndarray:
     """Weight of each bucket's words: square of the logarithm of all words over the bucket's."""
-    found = own.select("text").mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    found = own.select("text").mapInArrow(_counts(table), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     n = np.ones(BUCKETS)
     n[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(float)
     return (np.log(1 + n.sum() / n) ** 2).astype(np.float32)
 
 
-class _Draws(dict):
-    """Numbers of the words of each token between white space.
-
-    ``names`` has the words, the rows of ``hashes``, ``sizes`` and ``values`` their hashes, lengths and min-hash values.
-    """
-
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights, self.names, self.known, self.at = weights, [], 0, {}
-        self.hashes, self.sizes, self.values = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, KEYS), np.float32)
-
-    def __missing__(self, token: str) -> list[int]:
-        out = []
-        for word in (token,) if token.isalpha() else WORD.findall(token):
-            n = self.at.get(word)
-            if n is None:
-                n = self.at[word] = len(self.names)
-                self.names.append(word)
-            out.append(n)
-        self[token] = out
-        return out
-
-    def words(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of all tokens, in order, and how many words each token has."""
-        coded = tokens.dictionary_encode()
-        lists = [self[t] for t in coded.dictionary.to_numpy(zero_copy_only=False)]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        values, first = np.array([w for x in lists for w in x], np.int64), np.cumsum(counts) - counts
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        n = counts[codes]
-        ends = np.cumsum(n)
-        return values[np.repeat(first[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n
-
-    def fill(self) -> None:
-        end = len(self.names)
-        if end > len(self.hashes):
-            self.hashes, self.sizes = np.append(self.hashes, np.empty(end, np.uint64)), np.append(self.sizes, np.empty(end, np.int64))
-            self.values = np.append(self.values, np.empty((end, KEYS), np.float32), axis=0)
-        for at in range(self.known, end, 4096):
-            words = self.names[at : min(end, at + 4096)]
-            h = np.fromiter(map(_hash, words), np.uint64, len(words))
-            with np.errstate(over="ignore"):
-                u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(40)).astype(np.float32)
-            self.hashes[at : at + len(words)] = h
-            self.sizes[at : at + len(words)] = np.fromiter(map(len, words), np.int64, len(words))
-            self.values[at : at + len(words)] = -np.log((u + np.float32(0.5)) / np.float32(1 << 24)) / self.weights[_bucket(h)][:, None]
-        self.known = end
+def _draws(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Min-hash values of words, a column for each key."""
+    out = np.empty((len(hashes), KEYS), np.float32)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096]
+        with np.errstate(over="ignore"):
+            u = (pair_hash(h[:, None], _SEEDS) >> np.uint64(40)).astype(np.float32)
+        out[at : at + len(h)] = -np.log((u + np.float32(0.5)) / np.float32(1 << 24)) / weights[_bucket(h)][:, None]
+    return out
 
 
 def _keys(values: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -203,46 +190,42 @@ def _fingerprints(h: np.ndarray, starts: list[int]) -> np.ndarray:
     return np.packbits(2 * ones > size, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def _line_rows(memo: _Draws, words: np.ndarray, starts: np.ndarray, similarity: float) -> list[pa.Array]:
-    """Columns key, fp, words, size, blocks and more blocks of the lines whose words are in ``words``; no line is empty."""
-    memo.fill()
-    h, bounds = memo.hashes[words], np.append(starts, len(words))
-    counts = np.diff(bounds)
-    sizes = np.add.reduceat(memo.sizes[words], starts) + counts - 1
-    raw, ends = h.tobytes(), bounds.tolist()
-    keys = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(ends, ends[1:])]
-    drawn, brief = _keys(memo.values, words, starts)
+def _line_rows(found: _Words, words: slice, codes: np.ndarray, values: np.ndarray, starts: np.ndarray, bounds: np.ndarray, similarity: float) -> list[pa.Array]:
+    """Columns key, fp, words, size, blocks and more blocks of lines; no line is empty. ``starts`` are their first words, ``bounds`` their places."""
+    h, ends = found.hashes[words], np.append(starts, words.stop - words.start)
+    counts = np.diff(ends)
+    sizes = np.add.reduceat(found.sizes[words], starts) + counts - 1
+    raw, at = h.tobytes(), (8 * ends).tolist()
+    keys = [xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(at, at[1:])]
+    drawn, brief = _keys(values, codes[words], starts)
     more: list[list[int] | None] = [None] * len(starts)
     for n in np.nonzero(counts <= BRIEF)[0].tolist():
         more[n] = brief[n].tolist()
         if sizes[n] <= SHORT or sizes[n] <= LONGER and counts[n] <= FEW:
-            text = DIGIT.sub("0", " ".join([memo.names[w] for w in words[ends[n] : ends[n + 1]].tolist()]))
-            more[n] += [xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(text, similarity)]
+            more[n] += [xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 2) - (1 << 63) for v in _shorter(found.text(*bounds[n]), similarity)]
     return [pa.array(keys, pa.binary()), pa.array(_fingerprints(h, starts)), pa.array(counts.astype(np.int32)), pa.array(sizes.astype(np.int32)), *map(pa.array, np.ascontiguousarray(drawn.T)), pa.array(more, pa.list_(pa.int64()))]
 
 
-def _lines(similarity: float, weights: Broadcast):
+def _lines(similarity: float, table: Broadcast, weights: Broadcast):
     names = ["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "more"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Draws(weights.value)
         for batch in batches:
-            if len(memo) > _MEMO:
-                memo = _Draws(weights.value)
-            split = pc.split_pattern(pc.fill_null(batch.column(2).cast(pa.large_string()), ""), "\n")
-            docs, first = pc.list_parent_indices(split).to_numpy(), split.offsets.to_numpy()
-            numbers = np.arange(len(docs)) - (first - first[0])[docs]
-            tokens = _tokens(split.flatten())
-            flat, n = memo.words(tokens.flatten())
-            words = np.bincount(pc.list_parent_indices(tokens).to_numpy(), weights=n, minlength=len(docs)).astype(np.int64)
-            has = np.nonzero(words)[0]
-            ends = np.cumsum(words[has])
+            found = _Words(batch.column(2), table.value)
+            docs = np.searchsorted(found.ends, found.breaks, "right")
+            numbers = np.arange(len(docs)) - np.searchsorted(docs, docs)
+            line = np.searchsorted(found.breaks, found.firsts)
+            first = np.flatnonzero(np.diff(line, prepend=-1))
+            has = line[first]
+            coded = pa.array(found.hashes).dictionary_encode()
+            codes, values = coded.indices.to_numpy(), _draws(coded.dictionary.to_numpy(), weights.value)
+            low, ends = np.append(-1, found.breaks)[has] + 1, np.append(first, len(line))
+            bounds = np.stack((low, found.breaks[has]), axis=1)
             at = 0
             while at < len(has):  # lines of some 50,000 words at a time
-                low = ends[at] - words[has[at]]
-                to = max(at + 1, int(np.searchsorted(ends, low + _WORDS)))
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + _WORDS, "right")) - 1)
                 own = [batch.column(c).take(pa.array(docs[has[at:to]])) for c in (0, 1)]
-                rows = _line_rows(memo, flat[low : ends[to - 1]], ends[at:to] - words[has[at:to]] - low, similarity)
+                rows = _line_rows(found, slice(int(ends[at]), int(ends[to])), codes, values, first[at:to] - first[at], bounds[at:to], similarity)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(numbers[has[at:to]].astype(np.int32)), *rows], names=names)
                 at = to
 
@@ -278,53 +261,185 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(d, most + 1)
 
 
+def _most(a: str, b: str, similarity: float) -> int:
+    return int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit distance is at most (1 - similarity) of the longer string.
+    """Whether the edit distance is at most (1 - similarity) of the longer string."""
+    most = _most(a, b, similarity)
+    return _replaced(a, b, most) or edit_distance(a, b, most) <= most
 
-    Putting one line's words in place of the other's, where they have as many, is a way to edit it: if that is cheap enough, no
-    distance need be computed. Nor is it for lines of ``FIRM`` and more words with too few letters in common words.
-    """
-    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
+
+def _replaced(a: str, b: str, most: int) -> bool:
+    """Whether putting one line's words in place of the other's, where they have as many, takes at most ``most`` edits: then no distance need be computed."""
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most:
-        return True
-    if min(len(x), len(y)) >= FIRM:
-        xs, ys = set(x), set(y)
-        shared = min(sum(len(w) for w in x if w in ys), sum(len(w) for w in y if w in xs))
-        if shared < SHARED * (max(len(a), len(b)) - max(len(x), len(y)) + 1):
-            return False
-    return edit_distance(a, b, most) <= most
+    return len(x) == len(y) and sum(max(len(u), len(v)) for u, v in zip(x, y) if u != v) <= most
+
+
+def all_alike(texts: list[str], left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """``alike`` for pairs of numbers of ``texts``: the same bit-parallel distances, for thousands of pairs at a time."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    swap = sizes[left] > sizes[right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    most = ((1 - similarity) * sizes[right] + 1e-9).astype(np.int64)
+    out = np.zeros(len(left), bool)
+    lanes = np.exp2(np.ceil(np.log2(np.maximum(-(-sizes[left] // 64), 1)))).astype(np.int64)  # at most so many, in powers of two
+    fit = np.nonzero(sizes[right] - sizes[left] <= most)[0]
+    fit = fit[np.lexsort((sizes[right][fit], lanes[fit]))]
+    for own in np.split(fit, np.nonzero(np.diff(lanes[fit]))[0] + 1):
+        if len(own) and lanes[own[0]] > 8:
+            out[own] = [_replaced(texts[a], texts[b], m) for a, b, m in zip(left[own].tolist(), right[own].tolist(), most[own].tolist())]
+            own = own[~out[own]]
+        step = max(256, LANES_AT_ONCE // int(lanes[own[0]])) if len(own) else 1
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            if len(part) < 32 or lanes[part[0]] > 32:  # too few, or too long, for arrays
+                out[part] = [edit_distance(texts[a], texts[b], m) <= m for a, b, m in zip(left[part].tolist(), right[part].tolist(), most[part].tolist())]
+            else:
+                out[part] = _distances_within(texts, left[part], right[part], most[part])
+    return out
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(all letters as small numbers, first of each text, letters for each number, number of letters)."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.nonzero(np.bincount(points))[0]
+    table = np.zeros(int(letters[-1]) + 1, np.uint8)
+    table[letters] = np.arange(len(letters)) % LETTERS
+    return table[points], np.cumsum(sizes) - sizes, sizes, len(letters)
+
+
+def _distances_within(texts: list[str], left: np.ndarray, right: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether each pair's distance is at most ``most``; the right texts, which are no shorter, ascend in length.
+
+    Columns of all pairs advance together, lanes only within ``most`` of the diagonal. A distance is at least what stands
+    in any column on its last diagonal, so pairs leave as soon as that passes ``most``.
+    """
+    used, index = np.unique(np.concatenate((left, right)), return_inverse=True)
+    codes, first, sizes, letters = _codes([texts[x] for x in used.tolist()])
+    left, right = index[: len(left)], index[len(left) :]
+    kinds, row = np.unique(left, return_inverse=True)
+    lanes, width, one = max(1, int(-(-sizes[left].max() // 64))), min(letters, LETTERS), np.uint64(1)
+    place = np.arange(int(sizes[kinds].sum())) - np.repeat(np.cumsum(sizes[kinds]) - sizes[kinds], sizes[kinds])
+    owner = np.repeat(np.arange(len(kinds)), sizes[kinds])
+    bits = np.zeros((lanes, len(kinds) * width), np.uint64)
+    np.bitwise_or.at(bits, (place >> 6, owner * width + codes[first[kinds][owner] + place]), one << (place & 63).astype(np.uint64))
+    n, ahead = sizes[right], sizes[right] - sizes[left]
+    out, alive, base, start = np.zeros(len(left), bool), np.arange(len(left)), row * width, first[right]
+    plus, minus = np.full((lanes, len(left)), ~np.uint64(0)), np.zeros((lanes, len(left)), np.uint64)
+    limits, band, last = most, int(most.max()), -1
+    foot = np.zeros(len(left), np.int64)  # value under the lowest lane
+    top = np.uint64(63)
+
+    def value(own: slice, column: int) -> np.ndarray:
+        """What stands on the last diagonal in ``column``."""
+        rows, found = column - ahead[own], foot[own].copy()
+        for lane in range(max(0, int(rows.min()) >> 6), last + 1):
+            left_over = np.clip(64 * (lane + 1) - rows, 0, 64)  # rows of the lane that lie below
+            mask = np.where(left_over > 0, ~np.uint64(0) << np.clip(64 - left_over, 0, 63).astype(np.uint64), np.uint64(0))
+            found -= np.bitwise_count(plus[lane, own] & mask).astype(np.int64) - np.bitwise_count(minus[lane, own] & mask)
+        return found
+
+    column = 0
+    while len(alive):
+        while last < min(lanes - 1, (column + 1 + band) >> 6):
+            last, foot = last + 1, foot + 64
+        at = base + codes[start + column]
+        column += 1
+        up, down = one, np.uint64(0)  # the value above the first lane rises by one
+        for lane in range(min(last, max(0, (column - band - 1) >> 6)), last + 1):
+            p, m, eq = plus[lane], minus[lane], bits[lane].take(at)
+            vertical = eq | m
+            eq |= down
+            across = (((eq & p) + p) ^ p) | eq
+            gain, loss = m | ~(across | p), p & across
+            new_up, new_down = gain >> top, loss >> top
+            gain, loss = gain << one | up, loss << one | down
+            plus[lane], minus[lane] = loss | ~(vertical | gain), gain & vertical
+            up, down = new_up, new_down
+        foot += up.astype(np.int64) - down.astype(np.int64)
+        high = int(np.searchsorted(n, column, "right"))
+        if high:  # pairs whose longer text ends here
+            out[alive[:high]] = value(slice(0, high), column) <= most[:high]
+        if high or not column % 16:
+            stay = np.arange(len(alive)) >= high
+            late = slice(high, len(alive))
+            if not column % 16 and high < len(alive):
+                rows = column - ahead[late]
+                stay[late] &= (rows <= 0) | (value(late, column) <= most[late])
+            if high or stay.mean() < 0.9:
+                alive, base, start, n, ahead, most, foot = (x[stay] for x in (alive, base, start, n, ahead, most, foot))
+                plus, minus = np.ascontiguousarray(plus[:, stay]), np.ascontiguousarray(minus[:, stay])
+                band = int(most.max()) if len(most) else 0
+    if letters > LETTERS:  # letters that share a number make a distance too small, never too great
+        for k in np.nonzero(out)[0].tolist():
+            a, b = texts[used[left[k]]], texts[used[right[k]]]
+            out[k] = edit_distance(a, b, len(b)) <= limits[k]
+    return out
+
+
+def _candidates(tile: pa.Table, offset: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a tile that are to be compared; ``offset`` is the row of its first."""
+    first, size, words, prints, root = (tile[c].to_numpy() for c in ("tile", "size", "words", "fp", "root"))
+    own = tile["i"][0].as_py() == tile["j"][0].as_py()  # pairs inside a tile are tested where it meets itself
+    found = []
+    for k in range(tile.num_rows - 1):
+        o = slice(k + 1, None)
+        near = (root[o] != root[k]) & (np.abs(size[o] - size[k]) <= (1 - similarity) * np.maximum(size[o], size[k]) + 1e-6)
+        near &= (np.bitwise_count(prints[o] ^ prints[k]) <= WIDE) | (np.minimum(words[o], words[k]) < FIRM)
+        if not own:
+            near &= first[o] != first[k]
+        near = np.nonzero(near)[0]
+        found.append(np.stack((np.full(len(near), offset + k), offset + k + 1 + near)))
+    return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _tile_links(similarity: float):
-    def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("lid").sort_values("lid")
-        lids, prints, texts, first = group["lid"].to_numpy(), group["fp"].to_numpy().view(np.uint64), group["norm"].tolist(), group["tile"].to_numpy()
-        loose = group["words"].to_numpy() < FIRM
-        low, high = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        codes, firsts = np.unique(group["root"].to_numpy(), return_inverse=True, return_index=True)[1:][::-1]
-        up = firsts[codes].tolist()  # kinds of one group are connected already
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        found = []
-        for k in range(len(lids)):
-            near = np.nonzero((np.bitwise_count(prints[k] ^ prints[k + 1 :]) <= WIDE) | loose[k] | loose[k + 1 :])[0] + k + 1
-            for o in near.tolist():
-                if low != high and first[k] == first[o]:  # pairs inside a tile are tested where it meets itself
-                    continue
-                a, b = root(k), root(o)
-                if a != b:
-                    if alike(texts[k], texts[o], similarity):
-                        up[a] = b
-                        found.append((lids[k], lids[o]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    """Links of whole tiles that connect something new. Rows come sorted by tile; pairs of many tiles are compared together."""
+
+    def linked(tiles: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(tiles)
+        starts = np.cumsum([0, *(t.num_rows for t in tiles)])
+        a, b = (np.concatenate(x) for x in zip(*(_candidates(t, int(k), similarity) for t, k in zip(tiles, starts))))
+        group = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        lids, texts, found, take = rows["lid"].to_numpy(), rows["norm"].to_pylist(), [], 1
+        while len(a):
+            # a few pairs of any two groups first, then more: those that are one group by then need no test
+            low, high = np.minimum(group[a], group[b]), np.maximum(group[a], group[b])
+            order = np.lexsort((high, low))
+            new = np.append(True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            now = order[rank < take]
+            rest = order[rank >= take]
+            for k in now[all_alike(texts, a[now], b[now], similarity)].tolist():
+                x, y = group[a[k]], group[b[k]]
+                if x != y:
+                    group[group == y] = x
+                    found.append((lids[a[k]], lids[b[k]]))
+            a, b, take = a[rest], b[rest], 4 * take
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
+        return pa.RecordBatch.from_arrays([pa.array(np.array([f[k] for f in found], np.int64)) for k in (0, 1)], names=["a", "b"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tiles, letters = [], [], 0
+        for table in portions(batches, "norm", GATHERED):
+            at = [table[c].to_numpy() for c in ("block", "i", "j")]
+            cuts = np.nonzero(np.any([np.diff(x) != 0 for x in at], axis=0))[0] + 1
+            for low, high in zip([0, *cuts], [*cuts, table.num_rows]):
+                part = table.slice(low, high - low)
+                if held and any(held[-1][c][0] != part[c][0] for c in ("block", "i", "j")):
+                    tiles.append(pa.concat_tables(held))
+                    held = []
+                held.append(part)
+            letters += table["norm"].nbytes
+            if letters > GATHERED and tiles:
+                yield linked(tiles)
+                tiles, letters = [], 0
+        if held:
+            yield linked([*tiles, pa.concat_tables(held)])
 
     return links
 
@@ -351,12 +466,14 @@ def _texts(own: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of kinds whose texts are alike."""
 
-    @F.pandas_udf("boolean")
-    def holds(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([alike(x, y, similarity) for x, y in zip(left, right)], dtype=bool)
+    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "ta", GATHERED):
+            n = batch.num_rows
+            ok = all_alike(batch["ta"].to_pylist() + batch["tb"].to_pylist(), np.arange(n), np.arange(n, 2 * n), similarity)
+            yield from batch.select(["a", "b"]).filter(pa.array(ok)).to_batches()
 
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
-    return both.where(holds("ta", "tb")).select("a", "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(holds, "a long, b long")
 
 
 def fuzzy_links(own: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
@@ -389,8 +506,9 @@ def fuzzy_links(own: DataFrame, kinds: DataFrame, similarity: float = SIMILARITY
     links = first.unionByName(_verified(pairs, texts, similarity))
     if any_tiled:
         tiles = tiled.withColumn("tiles", F.ceil(F.col("n") / hot)).withColumn("tile", F.pmod(F.xxhash64("lid"), "tiles").cast("int"))
-        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "root", "p.fp", "p.words")
-        links = links.unionByName(parts.join(texts, "lid").groupBy("block", "i", "j").applyInPandas(_tile_links(similarity), "a long, b long"))
+        parts = tiles.withColumn("o", F.explode(F.expr("sequence(0, cast(tiles as int) - 1)"))).select("block", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "lid", "root", "p.fp", "p.words", "p.size")
+        parts = parts.join(texts, "lid").repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "i", "j").sortWithinPartitions("block", "i", "j", "lid")
+        links = links.unionByName(parts.mapInArrow(_tile_links(similarity), "a long, b long"))
     return links
 
 
@@ -404,10 +522,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    weights = docs.sparkSession.sparkContext.broadcast(word_weights(own))
+    table = docs.sparkSession.sparkContext.broadcast(_letters())
+    weights = docs.sparkSession.sparkContext.broadcast(word_weights(own, table))
     id_type = own.schema["id"].dataType.simpleString()
     fields = f"id {id_type}, mark long, line int, key binary, fp long, words int, size int, {', '.join(k + ' long' for k in _KEYS)}, more array<long>"
-    lines = settle(own.mapInArrow(_lines(similarity, weights), fields), "lines")
+    lines = settle(own.mapInArrow(_lines(similarity, table, weights), fields), "lines")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "line")
     same = [F.any_value(c).alias(c) for c in ("fp", "words", "size", *_KEYS, "more")]
     kinds = lines.groupBy("key").agg(*same, F.min(place).alias("first"), F.count("*").alias("n"))

@@ -449,6 +449,36 @@ def test_lines_of_a_large_block_write_no_pairs(spark, monkeypatch):
     assert written["pairs"] <= 8 * 100, written
 
 
+def test_distances_of_many_pairs_as_of_each():
+    rnd, texts, pairs = random.Random(24), ["", "a"], [(0, 1)]
+    for alphabet in ("ab ", "abcdefghij ", "".join(chr(0x4E00 + k) for k in range(300))):
+        for n in (3, 20, 63, 64, 65, 130):
+            for _ in range(12):
+                a = [rnd.choice(alphabet) for _ in range(n + rnd.randrange(-2, 3))]
+                b = list(a)
+                for _ in range(int(n * rnd.choice((0, 0.1, 0.19, 0.21, 0.3)))):
+                    at = rnd.randrange(len(b))
+                    b[at : at + rnd.randrange(2)] = rnd.choice(("", rnd.choice(alphabet), rnd.choice(alphabet)))
+                texts += ["".join(a), "".join(b)]
+                pairs.append((len(texts) - 2, len(texts) - 1))
+    pairs += [(rnd.randrange(len(texts)), rnd.randrange(len(texts))) for _ in range(400)]
+    left, right = np.array(pairs).T
+    want = [distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9) for a, b in pairs]
+    assert line_dedup.all_alike(texts, left, right, 0.8).tolist() == want and 60 < sum(want) < 300
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_lines_with_noise_in_every_word_are_linked(spark, n):
+    rnd = random.Random(25)
+    words = [["".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(20)] for _ in range(n)]
+    words[n - 1] = [w[:4] + "x" + w[5:] for w in words[n - 2]]  # no word in common, nine tenths alike
+    own = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(words)], "id long, mark long, text string")
+    rows = [(i, (False, i, i, 0), 0, 20, 199, 1, *[100 * k + i for k in range(1, 8)], None) for i in range(n)]
+    keys = ", ".join(f"k{k} long" for k in range(8))
+    kinds = spark.createDataFrame(rows, f"lid long, first struct<none: boolean, id: long, mark: long, line: int>, fp long, words int, size int, {keys}, more array<long>")
+    assert [sorted(r) for r in line_dedup.fuzzy_links(own, kinds).collect()] == [[n - 2, n - 1]]
+
+
 def test_decontamination_of_cut_short_and_swapped_items(spark):
     rnd = random.Random(17)
     item = prose(rnd, 60).split()

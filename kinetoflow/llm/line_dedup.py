@@ -51,6 +51,8 @@ FIRM, WIDE = 12, 24
 BUCKETS = 1 << 18
 #: Lists of lines that are broadcast hold at most so many documents and lines (some 30 MB); beyond, documents are shuffled.
 BROADCAST_DOCS, BROADCAST_LINES = 250_000, 2_000_000
+#: Bytes of texts whose letters are held as numbers at a time (some 40 bytes each); a longer text by itself.
+PORTION = 4_000_000
 _WORDS, _PIECE = 50_000, 16_384
 _PLACES = np.random.default_rng(11).integers(1 << 62, 1 << 63, 4096).astype(np.uint64) | np.uint64(1)
 _KEYS = [f"k{n}" for n in range(KEYS)]
@@ -77,7 +79,7 @@ class _Words:
     random numbers by their places.
     """
 
-    def __init__(self, texts: pa.Array, table: np.ndarray) -> None:
+    def __init__(self, texts: pa.ChunkedArray, table: np.ndarray) -> None:
         own = [x or "" for x in texts.to_pylist()]
         points = np.frombuffer("\n".join([*own, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
@@ -106,8 +108,8 @@ class _Words:
 def _counts(table: Broadcast):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            total += np.bincount(_bucket(_Words(batch.column(0), table.value).hashes), minlength=BUCKETS)
+        for part in portions(batches, "text", PORTION):
+            total += np.bincount(_bucket(_Words(part["text"], table.value).hashes), minlength=BUCKETS)
         rows = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(total[rows])], names=["bucket", "n"])
 
@@ -210,8 +212,8 @@ def _lines(similarity: float, table: Broadcast, weights: Broadcast):
     names = ["id", "mark", "line", "key", "fp", "words", "size", *_KEYS, "more"]
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _Words(batch.column(2), table.value)
+        for part in portions(batches, "text", PORTION):
+            found = _Words(part["text"], table.value)
             docs = np.searchsorted(found.ends, found.breaks, "right")
             numbers = np.arange(len(docs)) - np.searchsorted(docs, docs)
             line = np.searchsorted(found.breaks, found.firsts)
@@ -224,7 +226,7 @@ def _lines(similarity: float, table: Broadcast, weights: Broadcast):
             at = 0
             while at < len(has):  # lines of some 50,000 words at a time
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + _WORDS, "right")) - 1)
-                own = [batch.column(c).take(pa.array(docs[has[at:to]])) for c in (0, 1)]
+                own = [part[c].take(pa.array(docs[has[at:to]])).combine_chunks() for c in ("id", "mark")]
                 rows = _line_rows(found, slice(int(ends[at]), int(ends[to])), codes, values, first[at:to] - first[at], bounds[at:to], similarity)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(numbers[has[at:to]].astype(np.int32)), *rows], names=names)
                 at = to

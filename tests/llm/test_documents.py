@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -467,6 +469,20 @@ def test_distances_of_many_pairs_as_of_each():
     assert line_dedup.all_alike(texts, left, right, 0.8).tolist() == want and 60 < sum(want) < 300
 
 
+def test_long_texts_of_a_batch_are_read_in_portions(monkeypatch):
+    rnd = random.Random(26)
+    texts = [None, "", *[prose(rnd, 400) + "\n" + prose(rnd, 3) for _ in range(60)], "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["id", "mark", "text"])
+    table, seen, keep = SimpleNamespace(value=line_dedup._letters()), [], line_dedup._Words
+    weights = SimpleNamespace(value=np.ones(line_dedup.BUCKETS, np.float32))
+    monkeypatch.setattr(line_dedup, "_Words", lambda own, letters: seen.append(sum(len(x or "") for x in own.to_pylist())) or keep(own, letters))
+    run = lambda: (pa.Table.from_batches(line_dedup._counts(table)(iter([batch.select(["text"])]))), pa.Table.from_batches(line_dedup._lines(0.8, table, weights)(iter([batch]))))
+    want, whole = run(), max(seen)
+    seen.clear()
+    monkeypatch.setattr(line_dedup, "PORTION", 10_000)
+    assert run() == want and max(seen) <= 10_000 < whole and want[1].num_rows == 121
+
+
 @pytest.mark.parametrize("n", [3, 40])
 def test_lines_with_noise_in_every_word_are_linked(spark, n):
     rnd = random.Random(25)

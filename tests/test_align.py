@@ -158,3 +158,23 @@ def test_support_and_dedup(spark):
     assert sorted(r["rd_id"] for r in es.dedup(df).collect()) == [2, 3]
     assert {r["rd_id"]: r["support"] for r in es.support_index(df).collect()} == {1: 1, 2: 1, 3: 0}
     assert {r["rd_id"]: r["support"] for r in es.support_index(df, edited=False).collect()} == {1: 2, 2: 2, 3: 1}
+
+
+def test_longest_chains_without_hits(spark, monkeypatch):
+    """The longest chains equal those of all hits, for long strands, several references and repeats, and hits of small references are not made."""
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("AAAACG") for _ in range(n))
+    seqs = [text(150), text(90) + "A" * 60, "ACG" * 40, "AC", ""]
+    r = refs(spark, *seqs)
+    own = [rnd.choice(seqs[:3])[s : s + rnd.randrange(9, 110)] for s in (rnd.randrange(0, 60) for _ in range(150))] + ["A" * 70, text(80), "G" * 40]
+    own = ["".join(c if rnd.random() > 0.03 else rnd.choice("ACG") for c in x) for x in own]
+    both = align.strands(reads(spark, *own), SMALL)
+    wanted = align.best_chains(align.seed_chains(align.seed_hits(both, align.index_kmers(r, 4), 4), 4))
+    columns = ["rd_id", "reversed", "ref_idx", "pos", "p", "covered"]
+    wanted = sorted(map(tuple, wanted.select(columns).collect()))
+    assert max(x[-1] for x in wanted) > 40
+    monkeypatch.setattr(align, "seed_hits", None)
+    for most in (2, 5, 16):
+        monkeypatch.setattr(align, "WINDOWED", most)
+        assert sorted(map(tuple, align.longest_chains(both, r, 4).select(columns).collect())) == wanted
+    assert align.align(reads(spark, *own), r, SMALL).count() > 50

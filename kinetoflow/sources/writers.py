@@ -21,9 +21,12 @@ def write_taf(alignments: DataFrame, refs: DataFrame, path: str, numeric: bool =
 
 
 def fastq_lines(alignments: DataFrame, refs: DataFrame) -> DataFrame:
-    """Records @tal1, @tal2, ... with the aligned sequences and J for every quality, in the order of reads."""
+    """Records @tal1, @tal2, ... with the aligned sequences and J for every quality, in the order of reads.
+
+    Rows are dealt out by their numbers: neither the join that numbers them nor the files it reads keep their order.
+    """
     rows = align.taf(alignments, refs).withColumn("id", F.expr("cast(substring(read, 2) as bigint)"))
-    rows = numbered(rows.select("id", "ref", "seq"), "id", "ref")
+    rows = numbered(rows.select("id", "ref", "seq"), "id", "ref").repartitionByRange("number").sortWithinPartitions("number")
     return rows.select(F.concat(F.lit("@tal"), F.col("number").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("J"), F.length("seq"))).alias("value"))
 
 

@@ -218,3 +218,21 @@ def test_options():
             EngineOptions().set(**bad)
     with pytest.raises(KeyError):
         EngineOptions().set(nothing=1)
+
+
+def test_fastq_records_lie_in_the_order_of_their_numbers(spark, tmp_path):
+    """Also where the join that numbers records shuffles them."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        r = align.encode_refs(spark.createDataFrame([(0, "r", "ACGTTACGGATTTACAG" * 9)], "ref_idx int, ref_name string, seq string"))
+        own = spark.range(900).select(F.lit(0).alias("ref_idx"), ((F.col("id") * 7919) % 900).alias("rd_id"), (F.col("id") % 50).cast("int").alias("ref_s"), F.array([F.lit(0)] * 12).alias("dr"))
+        own = own.repartition(11).withColumn("ref_e", F.col("ref_s") + 12)
+        writers.write_fastq(own, r, str(tmp_path / "fq"))
+        found = sorted(map(tuple, readers.read_fastq(spark, str(tmp_path / "fq")).select("rd_id", "name").collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == [(i, f"tal{i}") for i in range(1, 901)]

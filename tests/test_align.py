@@ -1,10 +1,13 @@
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinetoflow.functions import dna
 from kinetoflow.operators import align, assembly, es
+from kinetoflow.operators.store import keep
 from kinetoflow.options import EngineOptions
 
 SMALL = EngineOptions(seed=4, min_segment=5)  # the worked examples skip the length gate of reads, 8 + 4 letters
@@ -178,3 +181,41 @@ def test_longest_chains_without_hits(spark, monkeypatch):
         monkeypatch.setattr(align, "WINDOWED", most)
         assert sorted(map(tuple, align.longest_chains(both, r, 4).select(columns).collect())) == wanted
     assert align.align(reads(spark, *own), r, SMALL).count() > 50
+
+
+def test_graph_of_kept_alignments_is_shuffled(spark):
+    """A file of states is far smaller than its rows: no side of the overlap join is sent to all, and paths keep only edges they can follow."""
+    rows = [(0, i, i, i + 30, [1] * 30, 30) for i in range(40)]
+    own = keep(spark.createDataFrame(rows, "ref_idx int, rd_id long, ref_s int, ref_e int, dr array<int>, esd int"))
+    edges = assembly.overlap_edges(own, EngineOptions())
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    met = assembly.meeting(own).select("src", "dst", F.size("ldr").alias("l"), F.size("rdr").alias("r")).collect()
+    assert len(met) == edges.count() == sum(10 < b - a < 20 for a in range(40) for b in range(40)) and all(x.l == x.r == 30 for x in met)
+    steps = {r["src"]: r["rank"] for r in assembly._steps(edges, EngineOptions()).collect()}
+    assert len(steps) == assembly._steps(edges, EngineOptions()).count() == 29 and set(steps.values()) == {1}
+    r = refs(spark, "A" * 100)
+    paths = {p.start: (p.nodes, len(p.dr)) for p in assembly.trace_paths(own, edges, r, EngineOptions()).collect()}
+    assert paths[0] == ([0, 19, 38], 68) and paths[35] == ([35], 30) and len(paths) == 40
+    assert {x.n: int(x.paths) for x in assembly.count_paths(own, edges, r, EngineOptions()).where("paths > 0").collect()} == {n: sum(len(p[0]) == n for p in paths.values()) for n in {len(p[0]) for p in paths.values()}}
+
+
+def test_pair_view_of_a_long_reference(spark):
+    """Rows cost the aligned letters, not the square of the reference's: 300 rows of 20,000 letters end within seconds."""
+    rnd = random.Random(8)
+    seq = "".join(rnd.choice("ACGT") for _ in range(27_000))
+    r = refs(spark, seq).withColumn("places", dna.letter_places(F.col("seq")))
+    runs = [len(x) for x in re.split("[^T]", seq)]
+    letters = seq.replace("T", "")
+    places = [i for i, c in enumerate(seq) if c != "T"]
+    cases = [(i, s := rnd.randrange(0, len(letters) - 50), [rnd.randrange(-runs[s + j + 1], 3) for j in range(rnd.randrange(0, 45))]) for i in range(300)]
+    own = spark.createDataFrame(cases, "rd_id long, ref_s int, dr array<int>").repartition(4).crossJoin(F.broadcast(r))
+    begun = time.time()
+    found = own.select("rd_id", dna.pair_view(F.col("letters"), F.col("runs"), F.col("ref_s"), F.col("dr"), F.col("seq"), F.col("places")).alias("v")).collect()
+    assert time.time() - begun < 30
+    for x in found:
+        _, s, dr = cases[x.rd_id]
+        assert len(x.v.ref_row) == len(x.v.read_row) and x.v.ref_row.replace("-", "") == seq
+        a, b = places[s], len(seq) - places[s + len(dr)] - 1
+        assert x.v.read_row[:a] == "-" * a and x.v.read_row[len(x.v.read_row) - b :] == "-" * b
+        assert x.v.read_row.replace("-", "").upper() == letters[s] + "".join("T" * (runs[s + j + 1] + d) + letters[s + j + 1] for j, d in enumerate(dr))

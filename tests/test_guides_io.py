@@ -236,3 +236,19 @@ def test_fastq_records_lie_in_the_order_of_their_numbers(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert found == [(i, f"tal{i}") for i in range(1, 901)]
+
+
+def test_edit_graph_expands_each_window_once(spark):
+    """Windows are dealt out before they are expanded, equal ones of several guides once; paths are those of their actions."""
+    m = spark.createDataFrame([("m0", "GGACAGAAGCA", [1, 0, 2, 0, 1, 0, 0, 3, 0, 1, 0, 2]), ("m1", "AGGACAG", [0] * 8)], "target string, letters string, runs array<int>")
+    seq = "GATCATTAGAATCA"
+    names = [f"g{i}" for i in range(5)]
+    g = spark.createDataFrame([(n, seq) for n in names] + [("g0", seq), ("other", "A" + seq)], "guide string, gseq string").coalesce(1)
+    hits = guides.edit_graph_hits(g, m, window=9, least=5, scoring=guides.Scoring(score_min=20))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(w" in plan[plan.index("MapInPandas") :]
+    rows = hits.withColumn("again", F.array_join(dna.edit_path(F.col("action"), F.col("rf_begin"), F.when(F.col("target") == "m1", F.array([F.lit(0)] * 8)).otherwise(F.array(*[F.lit(x) for x in (1, 0, 2, 0, 1, 0, 0, 3, 0, 1, 0, 2)]))).cast("array<string>"), ",")).collect()
+    assert all(r["path"] == r["again"] for r in rows)
+    by = {n: sorted((r["target"], r["rf_begin"], r["p"], r["score"], r["aligned_rf"], r["action"]) for r in rows if r["guide"] == n) for n in [*names, "other"]}
+    assert by["g0"] and all(by[n] == by["g0"] for n in names) and len(set(by["g0"])) == len(by["g0"])
+    assert [(t, b, p + 1, *x) for t, b, p, *x in by["g0"]] == [x for x in by["other"] if x[2] > 0]

@@ -252,3 +252,26 @@ def test_edit_graph_expands_each_window_once(spark):
     by = {n: sorted((r["target"], r["rf_begin"], r["p"], r["score"], r["aligned_rf"], r["action"]) for r in rows if r["guide"] == n) for n in [*names, "other"]}
     assert by["g0"] and all(by[n] == by["g0"] for n in names) and len(set(by["g0"])) == len(by["g0"])
     assert [(t, b, p + 1, *x) for t, b, p, *x in by["g0"]] == [x for x in by["other"] if x[2] > 0]
+
+
+def test_edit_graph_classes_grow_each_window_once(spark, monkeypatch):
+    """States are kept for windows, not for each guide that has them; guides of one name, and repeated ones, add up."""
+    m = spark.createDataFrame([("m0", "GGACAGAAGCA"), ("m1", "AGGACAG")], "target string, letters string")
+    seq, scoring = "GATCATTAGAATCA", guides.Scoring(score_min=20)
+    one = lambda rows: {tuple(r)[:2] + tuple(r)[3:-1]: r["n"] for r in guides.edit_graph_classes(spark.createDataFrame(rows, "guide string, gseq string"), m, window=9, least=4, scoring=scoring).collect()}
+    sizes, real = [], guides.keep
+
+    def counted(df):
+        kept = real(df)
+        sizes.extend([kept.count()] if "score" in df.columns else [])
+        return kept
+
+    monkeypatch.setattr(guides, "keep", counted)
+    alone = one([("g", seq)])
+    small, sizes[:] = list(sizes), []
+    rows = guides.edit_graph_classes(spark.createDataFrame([(f"g{i}", seq) for i in range(7)], "guide string, gseq string"), m, window=9, least=4, scoring=scoring).collect()
+    assert sizes == small and alone and len(rows) == 7 * len(alone)
+    assert all(alone[tuple(r)[:2] + tuple(r)[3:-1]] == r["n"] for r in rows)
+    other = one([("g", "TTAGGAATTCAGGA")])
+    both = {k: 2 * alone.get(k, 0) + other.get(k, 0) for k in alone | other}
+    assert one([("g", seq), ("g", seq), ("g", "TTAGGAATTCAGGA")]) == both

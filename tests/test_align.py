@@ -219,3 +219,25 @@ def test_pair_view_of_a_long_reference(spark):
         a, b = places[s], len(seq) - places[s + len(dr)] - 1
         assert x.v.read_row[:a] == "-" * a and x.v.read_row[len(x.v.read_row) - b :] == "-" * b
         assert x.v.read_row.replace("-", "").upper() == letters[s] + "".join("T" * (runs[s + j + 1] + d) + letters[s + j + 1] for j, d in enumerate(dr))
+
+
+def test_lines_of_a_long_reference(spark):
+    """Places of both ends come from one pass over the reference, not from a sum for each line: 2,000 lines of 100,000 letters end within seconds."""
+    rnd = random.Random(9)
+    seq = "".join(rnd.choice("ACGT") for _ in range(130_000))
+    places = [i for i, c in enumerate(seq) if c != "T"]
+    own = spark.createDataFrame([(0, i, s := rnd.randrange(0, len(places) - 12), s + 11, [0] * 11) for i in range(2_000)], "ref_idx int, rd_id long, ref_s int, ref_e int, dr array<int>").repartition(4)
+    begun = time.time()
+    found = align.taf(own, refs(spark, seq)).collect()
+    assert time.time() - begun < 30 and len(found) == 2_000
+    assert all((x.s_seq, x.e_seq, x.seq) == (places[x.ref_s], places[x.ref_e], seq[places[x.ref_s] : places[x.ref_e] + 1]) for x in found)
+
+
+def test_support_counts_windows_once(spark):
+    rows = [(0, i, 0, 6, [0, 1, 0, 2, 0, i % 2]) for i in range(5)]
+    own = spark.createDataFrame(rows, "ref_idx int, rd_id long, ref_s int, ref_e int, dr array<int>")
+    found = es.support(own, own, 4)
+    assert {r["rd_id"]: round(r["value"], 6) for r in found.collect()} == {i: round(2 + (1 + (2 if i % 2 else 3)) / 6, 6) for i in range(5)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and plan.count("Generate explode") == 3
+    assert sorted(r["gram"] for r in es.grams(own.limit(1), 4).collect())[0].count(";") == 3
